@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, language_id, mixing, ordinal, pii, quality_rules, sharding, warc
+from ledgerlens.llm import decontamination, language_id, mixing, near_dedup, ordinal, pii, quality_rules, sharding, suffix_dedup, warc
 from ledgerlens.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without strings of 100 bytes that start earlier."""
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside occurrences of benchmark windows, by the positional index."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
@@ -58,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_warc, op5_pii, op6_language_id, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_mixing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_decontamination, op4_warc, op5_pii, op6_language_id, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
