@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def _bits(rows: int) -> int:
     """Bits of a hash that part so many rows into ranges of about RANGE_ROWS."""
-    return min(20, max(4, (max(1, rows) // RANGE_ROWS).bit_length() + 1))
+    return min(20, max(8, (max(1, rows) // RANGE_ROWS).bit_length() + 1))
 
 
 def _range(h: Column, bits: int) -> Column:
