@@ -201,18 +201,19 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs (id, p, n) of windows of docs (id, text) that start earlier: the n windows from byte p on."""
     found = scratch.keep(docs.mapInArrow(_anchors, "g long, x long, id long, p int, n short, off short"), "anchors")
-    more = found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    # Written first: a join of two plain exchanges is one whose hot keys Spark can split.
+    more = scratch.keep(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "more")
     found = scratch.keep(found.join(more, "g"), "repeated")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "more")
     first = scratch.keep(found.groupBy("g", "x").agg(F.min(F.struct("id", "p", "n", "off")).alias("f"), F.count(F.lit(1)).alias("c")), "pieces")
     again = found.join(first.where("c > 1").select("g", "x", F.col("f.id").alias("i"), F.col("f.p").alias("q")), ["g", "x"]).where("id <> i or p <> q").select("id", "p", F.col("n").cast("int").alias("n"))
     out = scratch.keep(again, "again")
     scratch.drop("repeated")
-    unlike = first.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    unlike = scratch.keep(first.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "unlike")
     own = first.join(unlike, "g").groupBy("f.id").agg(F.collect_list(F.struct("f.p", "f.n", "f.off", "g", "m")).alias("own"))
     texts = docs.join(own, "id").select("id", "text", "own").mapInArrow(_cut, "id long, p int, n short, off short, g long, m long, bytes binary")
     texts = scratch.keep(texts, "texts")
-    scratch.drop("pieces")
+    scratch.drop("pieces", "unlike")
     cold = texts.where(F.col("m") <= HOT).repartition("g").sortWithinPartitions("g").mapInArrow(_block_repeats, "id long, p int, n int")
     out = out.unionByName(scratch.keep(cold, "sorted"))
     hot = texts.where(F.col("m") > HOT)
