@@ -27,8 +27,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    hit = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__hit"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__hit")), "left_anti")
+    rows = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns).where("not contaminated")
+    return rows.select(*[F.col(f"`__kept_{c}`").alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ class Phrases:
         self.by = [(n, np.frombuffer(b"".join(x), U).reshape(-1, n), list(x.values())) for n, x in by.items()]
 
 
-def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, id_col: str, last: bool, gap: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, own_columns: list[str], last: bool, gap: int) -> Iterator[pa.RecordBatch]:
     """Per text: words, bitmap of hit words and found items, joined to those of earlier blocks; at last their digest."""
     for batch in batches:
         for part, texts in slices(batch, "__text"):
@@ -135,25 +135,30 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, id_col: str, la
                 items.append(sorted({*(phrases.names[k] for k in found[i]), *(earlier[i] or ())}, key=lambda x: x.encode()))
             if last:
                 columns = [pa.array([int(x) for x in shard.counts], pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([bool(h.any()) for h in hits]), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), *columns], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own_columns], *columns], names=[*own_columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
             else:
-                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("__text"), pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[id_col, "__text", "__hit", "__items"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own_columns], part.column("__text"), pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*own_columns, "__text", "__hit", "__items"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """Per document: words, words hit by a window of an item, items with windows that occur, and their list."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """Per document: words, words hit by a window of an item, items with windows that occur, and their list.
+
+    keep: columns to return as they are instead of the id alone, each as __kept_ and its name.
+    """
     spark = docs.sparkSession
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), whole(F.col("text")).alias("text")).where("item is not null")
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col), F.col("text").alias("__text"), F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__items"))
+    kinds = dict(docs.dtypes)
+    own_columns = [f"__kept_{c}" for c in keep] if keep else [id_col]
+    kind = ", ".join(f"`{n}` {kinds[c]}" for n, c in zip(own_columns, keep or [id_col]))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(own_columns, keep or [id_col])], F.col("text").alias("__text"), F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__items"))
     for b in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else tests
         shared = spark.sparkContext.broadcast(Phrases([(r.item, r.text.encode()) for r in own.toLocalIterator()], window))
         last = b == blocks - 1
-        schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>" if last else f"`{id_col}` {kind}, __text string, __hit binary, __items array<string>"
-        rows = rows.mapInArrow(lambda it, s=shared, e=last: _search(it, s.value, id_col, e, window), schema)
+        schema = f"{kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>" if last else f"{kind}, __text string, __hit binary, __items array<string>"
+        rows = rows.mapInArrow(lambda it, s=shared, e=last: _search(it, s.value, own_columns, e, window), schema)
     return rows
 
 
