@@ -66,10 +66,9 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray, texts: np.ndarray):
         self.languages = languages
-        smooth = counts + SMOOTH
-        per_order = smooth.reshape(len(languages), len(ORDERS), -1)
-        self.table = np.log(per_order / per_order.sum(axis=2, keepdims=True)).reshape(len(languages), -1).T.astype(np.float32).copy()
-        self.prior = np.log(texts / texts.sum())
+        per_order = (counts + SMOOTH).reshape(len(languages), len(ORDERS), 1 << BITS)
+        self.table = np.log(per_order / per_order.sum(axis=2, keepdims=True)).reshape(len(languages), BUCKETS).T.astype(np.float32).copy()
+        self.prior = np.log(texts / max(1, texts.sum()))
 
     def score(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         buckets, starts, letters = grams(texts)

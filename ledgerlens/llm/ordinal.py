@@ -3,9 +3,10 @@
 P(grade > k) = sigmoid(w.x - t_k): one weight per hashed feature, shared by
 all grades, and ordered thresholds t_0 < t_1 < .... Features are the presence
 of words (lower-cased) and of character pairs. Those whose presence goes with
-the grade beyond chance are fitted; the others have weight 0.
+lower grades beyond chance are fitted, with weights of at most 0: they are
+defects, so a grade doesn't rise with a text's length. Others have weight 0.
 
-Grades of a label: 0 bad, 1 good but toxic, 2 good. Null texts have no
+Grades of a label: 0 toxic, 1 bad, 2 good. Null texts have no
 features and get the grade that the thresholds alone give. Without labels, or
 with one grade only, every document has the same probabilities. Repeated rows
 and labels count as often as they occur.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.kernels import ALNUM, joined_hashes, slices
 
-BITS, GRADES = 18, 3
+BITS, GRADES = 22, 3
 #: About so many labelled rows, chosen by a hash of the id, are fitted; all if there are fewer.
 TRAIN_ROWS = 20_000
 MAX_FEATURES, LEAST_Z, STEPS, RATE, RIDGE = 4096, 4.0, 300, 0.1, 1e-4
@@ -54,13 +55,22 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """weights: of all features, kept as those that aren't 0; thresholds: in order."""
+
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+        self.at = np.flatnonzero(weights)
+        self.values, self.thresholds = weights[self.at], thresholds
+
+    def weight(self, feature: np.ndarray) -> np.ndarray:
+        if not len(self.at):
+            return np.zeros(len(feature))
+        i = np.minimum(np.searchsorted(self.at, feature), len(self.at) - 1)
+        return np.where(self.at[i] == feature, self.values[i], 0.0)
 
     def tails(self, texts: list[bytes]) -> np.ndarray:
         """Per text: P(grade > k) for each threshold."""
         t, f = features(texts)
-        x = np.bincount(t, self.weights[f], minlength=len(texts)) if len(t) else np.zeros(len(texts))
+        x = np.bincount(t, self.weight(f), minlength=len(texts)) if len(t) else np.zeros(len(texts))
         return 1 / (1 + np.exp(-np.clip(x[:, None] - self.thresholds, -40, 40)))
 
 
@@ -74,8 +84,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     text, feature = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
     seen = np.bincount(feature, minlength=1 << BITS)
     z = np.bincount(feature, (grades - grades.mean())[text], minlength=1 << BITS) / np.sqrt(np.maximum(seen * (1 - seen / n), 1) * grades.var())
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES])
-    chosen = chosen[np.abs(z[chosen]) >= LEAST_Z]
+    chosen = np.sort(np.argsort(z, kind="stable")[:MAX_FEATURES])
+    chosen = chosen[z[chosen] <= -LEAST_Z]
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     fine = place[feature] >= 0
@@ -97,14 +107,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         m[0] = 0.9 * m[0] + 0.1 * g
         m[1] = 0.99 * m[1] + 0.01 * g * g
         change = RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8) * min(1, 2 * (1 - step / (STEPS + 1)))
-        w, gaps = w - change[: len(w)], gaps - change[len(w) :]
+        w, gaps = np.minimum(w - change[: len(w)], 0.0), gaps - change[len(w) :]
     weights[chosen] = w
     return Model(weights, np.cumsum(np.concatenate((gaps[:1], np.exp(gaps[1:])))))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
     """Fits a bounded number of labelled documents; their features, not their texts, come to the driver."""
-    graded = labels.where("quality is not null").select(F.col(id_col).alias("__id"), (F.col("quality") * (2 - F.coalesce(F.col("toxic"), F.lit(0)))).cast("long").alias("__grade"))
+    graded = labels.where("quality is not null").select(F.col(id_col).alias("__id"), F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1).cast("long").alias("__grade"))
     total = graded.count()
     if total > train_rows:
         graded = graded.where(F.pmod(F.xxhash64(F.lit("grade"), "__id"), F.lit(1_000_000)) < int(1e6 * train_rows / total))
