@@ -75,7 +75,35 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+#: The words of a text, for op3.
+SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+             w AS (SELECT doc_id, i, array_slice(b, i + 1, i + 100) AS s FROM d, unnest(range(0, greatest(n - 99, 0))) AS t(i)),
+             r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, i) AS k FROM w) WHERE k > 1),
+             g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+             h AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+             s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM h GROUP BY doc_id, run),
+             u AS (SELECT doc_id, sum(e - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id),
+             c AS (SELECT doc_id, a AS upto, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS begin FROM s
+                   UNION ALL SELECT d.doc_id, d.n, coalesce(max(s.e), 0) FROM d LEFT JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id GROUP BY d.doc_id, d.n),
+             k AS (SELECT c.doc_id, string_agg(hex(array_slice(d.b, begin + 1, upto)), '' ORDER BY begin) AS kept FROM c JOIN d ON c.doc_id IS NOT DISTINCT FROM d.doc_id WHERE upto > begin GROUP BY c.doc_id)
+        SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(u.removed, 0)::BIGINT AS n_removed, coalesce(u.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN u ON d.doc_id IS NOT DISTINCT FROM u.doc_id LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+""",
+    "op3_decontamination": f"""
+        WITH b AS (SELECT item_id::VARCHAR AS item, {SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+             bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS s FROM b, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS t(i) WHERE len(w) > 0),
+             sizes AS (SELECT DISTINCT n FROM bw),
+             d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+             o AS (SELECT doc_id, i, bw.n, item FROM (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM d, sizes, unnest(range(0, greatest(len(w) - n + 1, 0))) AS t(i)) x JOIN bw ON x.n = bw.n AND x.s = bw.s),
+             p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM o, unnest(range(i, i + n)) AS t(q) GROUP BY doc_id),
+             it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id LEFT JOIN it ON d.doc_id IS NOT DISTINCT FROM it.doc_id
+""",
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
              f AS (SELECT d, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY d)
