@@ -42,11 +42,16 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, "false")
+        self.spark.conf.set(setting, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
