@@ -14,8 +14,13 @@ one member of each goes on. Members of a band's bucket are linked by a
 maximum spanning forest of estimated similarity, in chunks of bounded size
 whose roots meet in further rounds, so that links stay linear in members.
 Every link is then verified by exact multiset overlap of the two texts, and
-classes are the components of the links, found by rounds of large and small
-stars on written tables. No group of documents is held by one task or the driver.
+components of the links are found by rounds of large and small stars on
+written tables. The forest is only a short cut: where members of a bucket are
+still in different components, all their pairs of estimate MAYBE or more are
+compared too, in cells of two blocks of bounded size, and the components of
+both kinds of links are the classes. So all pairs of a bucket are compared or
+connected; a bucket of n unlike members costs up to n^2 / 2 comparisons. No
+group of documents is held by one task or the driver.
 
 Texts without words and rows without an id are alone. Texts of fewer words
 than a shingle have one shingle of all their words. Rows that repeat an id
@@ -38,10 +43,12 @@ from ledgerlens.llm.kernels import PLAIN, U, joined_hashes, mix, shingles, slice
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
 M = BANDS * ROWS
-#: Estimates below this are not verified: 0.8 less about 4.5 standard deviations. From SURE on, a link to the bucket's first member is as good as any.
+#: Estimates below MAYBE are not verified: 0.8 less about 4.5 standard deviations. From SURE on, forests link to the bucket's first member.
 MAYBE, SURE = 0.64, 0.88
 #: Members of a bucket that are compared with each other at once, and links that share one copy of a text.
 CHUNK, SHARE = 256, 64
+#: Members, and shingles, of a block of a bucket that is searched pair by pair.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 
 def bag_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +102,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     up = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(ROWS)], U)
     for batch in batches:
         for part, texts in slices(batch, "text"):
-            own = bag_minhash(*bag_shingles(texts), len(texts))
+            hashes, text = bag_shingles(texts)
+            own = bag_minhash(hashes, text, len(texts))
             keys = mix((own.reshape(-1, BANDS, ROWS) * up).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U))
             plain = [b" ".join(t.translate(PLAIN).split()) for t in texts]
             columns = [
                 pa.array([xxhash.xxh3_128_digest(p) if p else None for p in plain], pa.binary()), pa.array([x.tobytes() for x in own.astype(np.uint16)], pa.binary()),
-                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(np.bincount(text, minlength=len(texts)), pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "words", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "words", "sig", "keys", "size"])
 
 
 def forest(sigs: np.ndarray) -> list[tuple[int, int]]:
@@ -203,6 +211,93 @@ def _bucket_links(rows: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
         before, turn = left, turn + 1
 
 
+def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Schema, list[tuple]]]:
+    """Runs of rows that agree in the first n columns."""
+    kept: list[tuple] = []
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if kept and r[:n] != kept[0][:n]:
+                yield schema, kept
+                kept = []
+            kept.append(r)
+    if kept:
+        yield schema, kept
+
+
+def unlike_pairs(rows: list[tuple]) -> list[tuple]:
+    """Pairs (a, b) of a cell's rows (key, i, j, block, doc_id, root, size, sig) in different components that may be SIMILAR."""
+    names: dict = {}
+    root = np.array([names.setdefault(r[5], len(names)) for r in rows])
+    if len(names) < 2:
+        return []
+    block, size = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
+    sigs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), M)
+    out = []
+    for p in range(len(rows) - 1):
+        q = slice(p + 1, None)
+        fine = (root[q] != root[p]) & (np.minimum(size[q], size[p]) >= SIMILAR * np.maximum(size[q], size[p]) - 1e-6)  # no similarity exceeds the ratio of sizes
+        if rows[p][1] != rows[p][2]:
+            fine &= block[q] != block[p]
+        at = np.flatnonzero(fine) + p + 1
+        at = at[(sigs[at] == sigs[p]).mean(axis=1) >= MAYBE]
+        out += [(min(rows[p][4], rows[i][4]), max(rows[p][4], rows[i][4])) for i in at]
+    return out
+
+
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for schema, rows in _groups(batches, 3):
+        found = unlike_pairs(rows)
+        for at in range(0, len(found), 20_000):
+            a, b = zip(*found[at : at + 20_000])
+            kind = schema.field("doc_id").type
+            cells = [pa.array([v] * len(a), pa.int64()) for v in rows[0][:3]]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(a, kind), pa.array(b, kind)], names=["key", "i", "j", "a", "b"])
+
+
+def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, a, b, text), of each cell first its texts, by b null, then its pairs: the SIMILAR pairs."""
+    now, bags = None, {}
+    for batch in batches:
+        texts, fine = batch.column("text"), []
+        for n, (key, i, j, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "a", "b")))):
+            if (key, i, j) != now:
+                now, bags = (key, i, j), {}
+            if b is None:
+                bags[a] = np.unique(bag_shingles([(texts[n].as_py() or "").encode()])[0], return_counts=True)
+                fine.append(False)
+                continue
+            (x, k), (y, m) = bags[a], bags[b]
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = np.where(x[at] == y, np.minimum(k[at], m), 0).sum()
+            fine.append(bool(both / (k.sum() + m.sum() - both) >= SIMILAR))
+        yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+
+def _across(rows: DataFrame, members: DataFrame, roots: DataFrame, links: DataFrame, docs: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
+    """Verified links between members of a bucket that links haven't connected: of rows (key, doc_id), with members' sig and size."""
+    own = rows.join(members.select("doc_id", "size"), "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    own = scratch.keep(own, "rooted")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = scratch.keep(sizes.where("n > 2 and low <> high").select("key", "n", blocks.alias("blocks")), "unlike")  # two members were compared; written, so that a join can split hot keys
+    block, other = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = own.join(sizes, "key").join(members.select("doc_id", "sig"), "doc_id").withColumn("block", block).withColumn("other", other)
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "size", "sig")
+    cell = ["key", "i", "j"]
+    found = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_unlike, f"key long, i long, j long, a {kind}, b {kind}")
+    once = found.groupBy("a", "b").agg(F.min(F.struct(*cell)).alias("c")).select("c.*", "a", "b")
+    pairs = scratch.keep(once.join(links, ["a", "b"], "left_anti"), "pairs")
+    ends = scratch.keep(pairs.select(*cell, "a").unionByName(pairs.select(*cell, F.col("b").alias("a"))).distinct(), "pairends")
+    used = docs.join(ends.select(F.col("a").alias("e")).distinct().hint("merge"), F.col("doc_id") == F.col("e"), "left_semi").dropDuplicates(["doc_id"])  # the same plan at every size
+    used = scratch.keep(used, "pairtexts")
+    texts = ends.join(used, F.col("a") == F.col("doc_id")).select(*cell, "a", F.lit(None).cast(kind).alias("b"), "text")
+    both = texts.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
+    checked = both.repartition(*cell).sortWithinPartitions(*cell, F.col("b").asc_nulls_first()).mapInArrow(_verify_cells, f"a {kind}, b {kind}")
+    return scratch.keep(checked, "across")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node of its component."""
     now = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star0")
@@ -228,14 +323,17 @@ def classes(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     kind = dict(docs.dtypes)["doc_id"]
     own = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = scratch.keep(own.mapInArrow(_sign, f"doc_id {kind}, words binary, sig binary, keys array<long>"), "signed")
-    exact = signed.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"), F.min("keys").alias("keys"))  # equal words have equal signatures
+    signed = scratch.keep(own.mapInArrow(_sign, f"doc_id {kind}, words binary, sig binary, keys array<long>, size long"), "signed")
+    exact = signed.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"), F.min("keys").alias("keys"), F.min("size").alias("size"))  # equal words have equal signatures
     exact = scratch.keep(exact, "exact")
     rows = exact.select(F.explode("keys").alias("key"), F.col("first").alias("doc_id"))
     shared = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     rows = scratch.keep(rows.join(shared, "key"), "shared")
     links = scratch.keep(_bucket_links(rows.join(exact.select(F.col("first").alias("doc_id"), "sig"), "doc_id"), scratch, kind), "links")
     roots = components(scratch.keep(_verified(links, own, scratch), "verified"), scratch)
+    more = _across(rows, exact.select(F.col("first").alias("doc_id"), "sig", "size"), roots, links, own, scratch, kind)
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), Scratch(docs.sparkSession, "near"))
     exact = exact.select("words", "first").join(roots, F.col("first") == F.col("node"), "left").select("words", F.coalesce("root", "first").alias("class"))
     rows = signed.select("doc_id", "words").join(exact, "words", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("class_id"))

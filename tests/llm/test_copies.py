@@ -146,6 +146,21 @@ def test_classes_match_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in got.items() if d == c)
 
 
+def shingled(rng, n_words, edits):
+    """A text of distinct words, and a copy with each position of edits replaced, per list of edits."""
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(n_words)]
+    return [" ".join(f"e{rng.randint(0, 10**9)}" if i in at else w for i, w in enumerate(base)) for at in edits]
+
+
+def test_links_beside_a_sure_one(spark):
+    """Edits of 0.88 to a base of larger id, and of 0.78 to each other: all of them belong to the base."""
+    rng = random.Random(11)
+    texts = [t for _ in range(40) for t in shingled(rng, 100, [*({k, k + 1} for k in range(5, 95, 12)), ()])]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 9 for d, _ in rows}
+
+
 def test_classes_of_a_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     want = brute_classes([tuple(r) for r in docs.collect()])
