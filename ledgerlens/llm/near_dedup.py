@@ -17,10 +17,11 @@ Every link is then verified by exact multiset overlap of the two texts, and
 components of the links are found by rounds of large and small stars on
 written tables. The forest is only a short cut: where members of a bucket are
 still in different components, all their pairs of estimate MAYBE or more are
-compared too, in cells of two blocks of bounded size, and the components of
-both kinds of links are the classes. So all pairs of a bucket are compared or
-connected; a bucket of n unlike members costs up to n^2 / 2 comparisons. No
-group of documents is held by one task or the driver.
+compared too unless links have connected them by then, in cells of two blocks
+of bounded size that give a spanning forest of what they verify, and the
+components of both kinds of links are the classes. So all pairs of a bucket
+are compared or connected; a bucket of n unlike members costs up to n^2 / 2
+comparisons, and a copy of each text for every BLOCK of them. No group of documents is held by one task or the driver.
 
 Texts without words and rows without an id are alone. Texts of fewer words
 than a shingle have one shingle of all their words. Rows that repeat an id
@@ -48,7 +49,7 @@ MAYBE, SURE = 0.64, 0.88
 #: Members of a bucket that are compared with each other at once, and links that share one copy of a text.
 CHUNK, SHARE = 256, 64
 #: Members, and shingles, of a block of a bucket that is searched pair by pair.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def bag_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,56 +227,65 @@ def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Sche
         yield schema, kept
 
 
-def unlike_pairs(rows: list[tuple]) -> list[tuple]:
-    """Pairs (a, b) of a cell's rows (key, i, j, block, doc_id, root, size, sig) in different components that may be SIMILAR."""
-    names: dict = {}
-    root = np.array([names.setdefault(r[5], len(names)) for r in rows])
-    if len(names) < 2:
-        return []
+def unlike_pairs(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of a cell's rows (key, i, j, block, doc_id, root, size, sig, ...) and later rows in other components that may be SIMILAR to it."""
+    root = _codes([r[5] for r in rows])
     block, size = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
     sigs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), M)
-    out = []
-    for p in range(len(rows) - 1):
+    for p in range(len(rows) - 1 if root.any() else 0):
         q = slice(p + 1, None)
         fine = (root[q] != root[p]) & (np.minimum(size[q], size[p]) >= SIMILAR * np.maximum(size[q], size[p]) - 1e-6)  # no similarity exceeds the ratio of sizes
         if rows[p][1] != rows[p][2]:
             fine &= block[q] != block[p]
         at = np.flatnonzero(fine) + p + 1
         at = at[(sigs[at] == sigs[p]).mean(axis=1) >= MAYBE]
-        out += [(min(rows[p][4], rows[i][4]), max(rows[p][4], rows[i][4])) for i in at]
-    return out
+        if len(at):
+            yield p, at
+
+
+def _codes(names: list) -> np.ndarray:
+    codes: dict = {}
+    return np.array([codes.setdefault(n, len(codes)) for n in names])
 
 
 def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that are in any of its unlike_pairs()."""
     for schema, rows in _groups(batches, 3):
-        found = unlike_pairs(rows)
-        for at in range(0, len(found), 20_000):
-            a, b = zip(*found[at : at + 20_000])
-            kind = schema.field("doc_id").type
-            cells = [pa.array([v] * len(a), pa.int64()) for v in rows[0][:3]]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(a, kind), pa.array(b, kind)], names=["key", "i", "j", "a", "b"])
+        has = np.zeros(len(rows), bool)
+        for p, at in unlike_pairs(rows):
+            has[p] = has[at] = True
+        if has.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(rows[i] for i in np.flatnonzero(has))), schema)], schema=schema)
 
 
-def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, a, b, text), of each cell first its texts, by b null, then its pairs: the SIMILAR pairs."""
-    now, bags = None, {}
-    for batch in batches:
-        texts, fine = batch.column("text"), []
-        for n, (key, i, j, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "a", "b")))):
-            if (key, i, j) != now:
-                now, bags = (key, i, j), {}
-            if b is None:
-                bags[a] = np.unique(bag_shingles([(texts[n].as_py() or "").encode()])[0], return_counts=True)
-                fine.append(False)
+def cell_links(rows: list[tuple]) -> list[tuple]:
+    """SIMILAR pairs (a, b) of a cell's rows with their texts, that connect what all such pairs connect."""
+    root = _codes([r[5] for r in rows])
+    bags = [np.unique(bag_shingles([(r[8] or "").encode()])[0], return_counts=True) for r in rows]
+    out = []
+    for p, at in unlike_pairs(rows):
+        x, k = bags[p]
+        for q in at:
+            if root[p] == root[q]:
                 continue
-            (x, k), (y, m) = bags[a], bags[b]
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = np.where(x[at] == y, np.minimum(k[at], m), 0).sum()
-            fine.append(bool(both / (k.sum() + m.sum() - both) >= SIMILAR))
-        yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+            y, m = bags[q]
+            i = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = np.where(x[i] == y, np.minimum(k[i], m), 0).sum()
+            if both / (k.sum() + m.sum() - both) >= SIMILAR:
+                out.append((min(rows[p][4], rows[q][4]), max(rows[p][4], rows[q][4])))
+                root[root == root[q]] = root[p]
+    return out
+
+
+def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for schema, rows in _groups(batches, 3):
+        found = cell_links(rows)
+        if found:
+            kind = schema.field("doc_id").type
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found)], names=["a", "b"])
 
 
-def _across(rows: DataFrame, members: DataFrame, roots: DataFrame, links: DataFrame, docs: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
+def _across(rows: DataFrame, members: DataFrame, roots: DataFrame, docs: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
     """Verified links between members of a bucket that links haven't connected: of rows (key, doc_id), with members' sig and size."""
     own = rows.join(members.select("doc_id", "size"), "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     own = scratch.keep(own, "rooted")
@@ -286,16 +296,12 @@ def _across(rows: DataFrame, members: DataFrame, roots: DataFrame, links: DataFr
     cells = own.join(sizes, "key").join(members.select("doc_id", "sig"), "doc_id").withColumn("block", block).withColumn("other", other)
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "size", "sig")
     cell = ["key", "i", "j"]
-    found = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_unlike, f"key long, i long, j long, a {kind}, b {kind}")
-    once = found.groupBy("a", "b").agg(F.min(F.struct(*cell)).alias("c")).select("c.*", "a", "b")
-    pairs = scratch.keep(once.join(links, ["a", "b"], "left_anti"), "pairs")
-    ends = scratch.keep(pairs.select(*cell, "a").unionByName(pairs.select(*cell, F.col("b").alias("a"))).distinct(), "pairends")
-    used = docs.join(ends.select(F.col("a").alias("e")).distinct().hint("merge"), F.col("doc_id") == F.col("e"), "left_semi").dropDuplicates(["doc_id"])  # the same plan at every size
-    used = scratch.keep(used, "pairtexts")
-    texts = ends.join(used, F.col("a") == F.col("doc_id")).select(*cell, "a", F.lit(None).cast(kind).alias("b"), "text")
-    both = texts.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
-    checked = both.repartition(*cell).sortWithinPartitions(*cell, F.col("b").asc_nulls_first()).mapInArrow(_verify_cells, f"a {kind}, b {kind}")
-    return scratch.keep(checked, "across")
+    found = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_unlike, cells.schema)
+    found = scratch.keep(found, "unlikerows")
+    ends = found.select(F.col("doc_id").alias("e")).distinct()
+    used = scratch.keep(docs.join(ends.hint("merge"), F.col("doc_id") == F.col("e"), "left_semi").dropDuplicates(["doc_id"]), "unliketexts")  # the same plan at every size
+    full = found.join(used, "doc_id").select(*cells.columns, "text")
+    return scratch.keep(full.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify_cells, f"a {kind}, b {kind}"), "across")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -331,7 +337,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(rows.join(shared, "key"), "shared")
     links = scratch.keep(_bucket_links(rows.join(exact.select(F.col("first").alias("doc_id"), "sig"), "doc_id"), scratch, kind), "links")
     roots = components(scratch.keep(_verified(links, own, scratch), "verified"), scratch)
-    more = _across(rows, exact.select(F.col("first").alias("doc_id"), "sig", "size"), roots, links, own, scratch, kind)
+    more = _across(rows, exact.select(F.col("first").alias("doc_id"), "sig", "size"), roots, own, scratch, kind)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), Scratch(docs.sparkSession, "near"))
     exact = exact.select("words", "first").join(roots, F.col("first") == F.col("node"), "left").select("words", F.coalesce("root", "first").alias("class"))

@@ -161,6 +161,26 @@ def test_links_beside_a_sure_one(spark):
     assert got == {d: d - d % 9 for d, _ in rows}
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_pairs_in_a_bucket_of_unlike_members(spark, monkeypatch, block):
+    """Texts of one template at 0.74 to each other, each with a partner at 0.84 that usually is in another chunk or block."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(12)
+    first = [set(rng.sample(range(0, 400, 6), 6)) for _ in range(90)]
+    template = [f"w{i}" for i in range(400)]
+    make = lambda at, name: " ".join(f"{name}x{i}" if i in at else w for i, w in enumerate(template))
+    texts = [make(at, f"a{k}") for k, at in enumerate(first)]
+    for k, text in enumerate(texts[:]):
+        own = rng.sample(sorted(set(range(0, 400, 6)) - first[k]), 7)
+        texts.append(" ".join(f"b{k}x{i}" if i in own else w for i, w in enumerate(text.split())))
+    rows = list(enumerate(texts))
+    want = brute_classes(rows)
+    assert sum(want[k] == want[90 + k] for k in range(90)) == 90 and len(set(want.values())) > 80
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_classes_of_a_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     want = brute_classes([tuple(r) for r in docs.collect()])
