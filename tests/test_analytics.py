@@ -128,6 +128,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got <= want and {w for w in want if w[0] < last} <= got
 
 
+def test_adasyn_in_blocks(spark, monkeypatch):
+    """A minority over the size of a broadcast gives the same synthetic rows."""
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(0, 1), float(rng.randint(0, 5)), 0) for i in range(3000)] + [(5000 + i, rng.gauss(1.5, 0.7), float(rng.randint(0, 5)), 1) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[-3:], "trans_num long, a double, b double, is_fraud int")
+    made = lambda: sorted((r.a, r.b) for r in M.oversampled(df, ["a", "b"], ratio=0.15)[0].where("trans_num is null").collect())
+    want = made()
+    monkeypatch.setattr(M, "MAX_MINORITY_VALUES", 512)
+    assert made() == want and len(want) > 100
+    monkeypatch.setattr(M, "adasyn", lambda *a, **k: [].index(1))
+    with pytest.raises(ValueError):
+        M.oversampled(df, ["a", "b"])
+
+
 def test_adasyn_and_models(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1), 0) for i in range(600)] + [(1000 + i, rng.gauss(1.5, 0.7), rng.gauss(1.5, 0.7), 1) for i in range(30)]
