@@ -4,23 +4,27 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier: in
 a document of smaller id, or earlier in the same one. So each start of such a
 window asks whether its longest previous factor reaches LENGTH.
 
-Suffixes are sorted sparsely. Of every window, the GRAM bytes of least hash are
-its anchor, so equal windows have equal anchors at equal offsets, and one in
-about forty positions is an anchor. Neighbouring windows with the same anchor
-form a piece. Pieces whose anchor occurs once are done after a count. Of equal
-pieces, told by hashes of anchor and text, only the first goes on: the others
-repeat it wholly. What is left is sorted in blocks of anchors: the texts right
-of the anchor, and those left of it read backwards, each as a suffix array with
-common-prefix lengths. Windows at an offset are equal if no shorter common
-prefix parts them in either order; in that order, the smallest position among
-equal ones is the previous smaller position of all the others, and they go.
-Anchors of more than HOT different pieces are not held by a task: their windows
-are sorted by Spark, with the least position of each kept by partial sums.
-
-Null texts are empty. A null id comes before all others. Ids are whole
-numbers; rows that repeat an id with the same text are one document and give
-equal results, and if their texts differ, the first text in byte order is read
-and the other rows are left whole.
+Suffixes are partitioned by content: of every window, the GRAM bytes of least
+hash are its anchor, so equal windows have equal anchors at equal offsets, and
+windows of unlike anchors need not meet. Neighbouring windows with the same
+anchor form a piece. Pieces whose anchor occurs once are done after a count. Of
+equal pieces, told by hashes of anchor and text, only the first goes on: the
+others repeat it wholly. The windows of what is left are sorted in blocks of
+whole anchors, which gives a suffix array with common prefixes; the previous
+and the next smaller position in that order give each window's longest previous
+factor, and windows of LENGTH go.
+
+Anchors of more than SPLIT different pieces are split on longer strings: their
+windows are parted by the distance to the anchor, so that those of a part share
+LENGTH - 10 bytes (and LENGTH, if that is still too many), and go the same way
+again. With LENGTH bytes all windows of a part are equal, so no part stays
+larger.
+
+Null texts are empty. Ids may be of any ordered type; a null id comes before
+all others. Rows that repeat an id (or null) with the same text are one
+document and give equal results; those with different texts are different
+documents, ordered by a hash of the text. An empty table gives an empty one,
+and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Scratch, whole
-from ledgerlens.llm.kernels import U, mix, slices
+from ledgerlens.llm.common import Scratch, sized_broadcast, whole
+from ledgerlens.llm.kernels import SLICE_BYTES, U, mix, slices
 
 LENGTH, GRAM = 100, 24
-#: Different pieces of one anchor that a task may sort, and pieces sorted at once.
-HOT, BLOCK = 20_000, 32_000
-FIRST_ID = -(1 << 63)
+#: Windows of an anchor that are kept together, by their distance to it: all, then these many distances.
+WIDTHS = (LENGTH - GRAM + 1, 11, 1)
+#: Different pieces of one anchor that a task may sort, and windows sorted at once.
+SPLIT, BLOCK = 1000, 250_000
+PIECES = "g long, x long, p int, n short, a int"
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -93,84 +99,135 @@ def pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to pieces; a text longer than a slice is read segment by segment."""
     for batch in batches:
         for part, texts in slices(batch, "text"):
-            ids = np.asarray(part.column("id"))
             starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            data, text, first, n, at, g = pieces(texts)
-            x = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + n + (LENGTH - 1)).tolist())], U)
-            columns = [g.view(np.int64), x.view(np.int64), ids[text], (first - starts[text]).astype(np.int32), n.astype(np.int16), (at - first).astype(np.int16)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "x", "id", "p", "n", "off"])
+            for at in range(0, max(1, len(texts[0])), SLICE_BYTES) if len(texts) == 1 else (0,):
+                own = [texts[0][at : at + SLICE_BYTES + LENGTH - 1]] if len(texts) == 1 else texts
+                data, text, first, n, anchor, g = pieces(own)
+                x = _hashes(data, first, first + n + (LENGTH - 1))
+                yield _piece_rows(part, text, g, x, first - starts[text] + at, n, anchor - starts[text] + at)
+
+
+def _hashes(data: bytes, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b], seed) for a, b in zip(begin.tolist(), end.tolist())], U)
+
+
+def _piece_rows(part: pa.RecordBatch, text: np.ndarray, g: np.ndarray, x: np.ndarray, p: np.ndarray, n: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    own = pa.array(text, pa.int64())
+    columns = [pa.array(g.view(np.int64)), pa.array(x.view(np.int64)), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(a.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([part.column("id").take(own), part.column("tie").take(own), *columns], names=["id", "tie", "g", "x", "p", "n", "a"])
+
+
+def _own(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The pieces that rows carry in their list own: the row of each, and its fields."""
+    own = part.column("own")
+    flat = own.flatten()
+    return np.repeat(np.arange(part.num_rows), np.diff(np.asarray(own.offsets))), {c: np.asarray(flat.field(c)).astype(np.int64) for c in ("p", "n", "a", "g")}
+
+
+def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tie, text, own) to pieces of windows of width neighbouring distances to their anchor, under what all of these contain."""
+    for batch in batches:
+        for part, texts in slices(batch, "text"):
+            text, f = _own(part)
+            low, high = (f["a"] - f["p"] - f["n"] + 1) // width, (f["a"] - f["p"]) // width  # of the last and the first window
+            row = np.repeat(np.arange(len(text)), high - low + 1)
+            j = (low[row] + np.arange(len(row)) - np.searchsorted(row, row)) * width
+            a, text = f["a"][row], text[row]
+            first = np.maximum(f["p"][row], a - j - width + 1)
+            n = np.minimum(f["p"][row] + f["n"][row] - 1, a - j) - first + 1
+            g, x = np.empty(len(row), U), np.empty(len(row), U)
+            for t in np.unique(text):
+                of = np.flatnonzero(text == t) if len(texts) > 1 else slice(None)
+                g[of] = mix(_hashes(texts[t], a[of] - j[of], a[of] - j[of] - width + 1 + LENGTH) + j[of].astype(U))
+                x[of] = _hashes(texts[t], first[of], first[of] + n[of] + (LENGTH - 1))
+            yield _piece_rows(part, text, g, x, first, n, a)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, own: pieces of the text) to pieces with their bytes."""
-    names = ["p", "n", "off", "g", "m"]
+    """Rows (id, tie, text, own) to pieces with their bytes."""
     for batch in batches:
         for part, texts in slices(batch, "text"):
-            own = part.column("own")
-            flat, size = own.flatten(), np.diff(np.asarray(own.offsets))
-            p, n = np.asarray(flat.field("p")), np.asarray(flat.field("n"))
-            text = np.repeat(np.arange(len(texts)), size)
-            out = [texts[t][a:b] for t, a, b in zip(text.tolist(), p.tolist(), (p + n + (LENGTH - 1)).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column("id"))[text]), *[flat.field(c) for c in names], pa.array(out, pa.binary())], names=["id", *names, "bytes"])
-
-
-def _order(group: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of texts within groups, and each text's common prefix with the one before it; none across groups."""
-    rows = np.array(texts, f"S{LENGTH}").reshape(-1)
-    fixed = np.frombuffer(rows.tobytes(), np.uint8).reshape(len(rows), LENGTH)
-    order = np.lexsort((rows, group))
-    sorted_ = fixed[order]
+            text, f = _own(part)
+            out = [texts[t][a:b] for t, a, b in zip(text.tolist(), f["p"].tolist(), (f["p"] + f["n"] + (LENGTH - 1)).tolist())]
+            own = pa.array(text)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(own), part.column("tie").take(own), *[pa.array(f[c].astype(k)) for c, k in (("p", np.int32), ("n", np.int16), ("a", np.int32), ("g", np.int64))], pa.array(out, pa.binary())], names=["id", "tie", "p", "n", "a", "g", "bytes"])
+
+
+def longest_previous_factors(position: np.ndarray, common: np.ndarray, wanted: int = 1) -> np.ndarray:
+    """For suffixes in order, the longest common prefix with one of smaller position; right where it is wanted or more, else less than that.
+
+    position: of each suffix; common[i]: its common prefix with the one before
+    it. The nearest smaller positions before and after it in the order are the
+    candidates, and the longer common prefix is the answer. They are found by
+    jumps: a suffix whose candidate is larger takes over that one's candidate.
+    """
+    out = np.zeros(len(position), np.int64)
+    for turned in (False, True):
+        p = position[::-1] if turned else position
+        c = np.concatenate(([0], common[:0:-1])) if turned else np.concatenate(([0], common[1:]))
+        at, least = np.arange(len(p)) - 1, c.astype(np.int64)
+        live = np.flatnonzero(least >= wanted)
+        while len(live := live[p[at[live]] > p[live]]):
+            step = at[live]
+            least[live], at[live] = np.minimum(least[live], least[step]), at[step]
+            live = live[(least[live] >= wanted) & (at[live] >= 0)]
+        out = np.maximum(out, (least if not turned else least[::-1]))
+    return out
+
+
+def suffix_order(group: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes within groups, and each row's common prefix with the one before it; none across groups."""
+    rows = np.concatenate((group.astype(">u4").view(np.uint8).reshape(-1, 4), texts), axis=1)
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    sorted_ = rows[order]
     unlike = sorted_[1:] != sorted_[:-1]
-    common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), LENGTH)
-    common[group[order][1:] != group[order][:-1]] = -1
-    return order, np.concatenate(([-1], common))
-
-
-def repeats(g: np.ndarray, ids: np.ndarray, p: np.ndarray, n: np.ndarray, off: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (id, first window, windows) of windows of these pieces that start earlier in another piece of theirs."""
-    by = np.lexsort((p + off, ids))  # numbers follow positions: of windows at an offset, the anchors' order is theirs
-    g, ids, p, n, off = g[by], ids[by], p[by], n[by], off[by]
-    texts = [texts[i] for i in by]
-    right, common_right = _order(g, [t[o : o + LENGTH] for t, o in zip(texts, off.tolist())])
-    left, common_left = _order(g, [t[:o][::-1] for t, o in zip(texts, off.tolist())])
-    class_right, class_left = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
-    flags = np.zeros((len(g), LENGTH - GRAM + 2), bool)
-    for j in range(LENGTH - GRAM + 1):  # windows that begin j bytes before the anchor
-        own = np.flatnonzero((off >= j) & (off - j < n))
-        if len(own) < 2:
-            continue
-        class_right[right] = np.cumsum(common_right < LENGTH - j)
-        class_left[left] = np.cumsum(common_left < j)
-        _, first = np.unique(class_left[own] << 32 | class_right[own], return_index=True)
-        again = np.ones(len(own), bool)
-        again[first] = False
-        flags[own[again], off[own[again]] - j] = True
-    step = np.diff(flags.astype(np.int8), axis=1, prepend=0)
-    row, begin = np.nonzero(step == 1)
+    common = np.where(unlike.any(axis=1), unlike.argmax(axis=1) - 4, texts.shape[1])
+    return order, np.concatenate(([0], np.maximum(common, 0)))
+
+
+def repeats(g: np.ndarray, p: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (piece, first window, windows) of windows that start earlier in another of these pieces, which are in order of anchor and position."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
+    row = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts[row] + i]
+    order, common = suffix_order((np.cumsum(np.concatenate(([0], g[1:] != g[:-1]))))[row], windows)
+    again = np.zeros((len(n), LENGTH - GRAM + 3), np.int8)
+    again[row[order], i[order] + 1] = longest_previous_factors(order, common, LENGTH) >= LENGTH
+    step = np.diff(again, axis=1)
+    piece, begin = np.nonzero(step == 1)
     _, end = np.nonzero(step == -1)
-    return ids[row], p[row] + begin, end - begin
+    return piece, p[piece] + begin, end - begin
 
 
 def _block_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by anchor to runs of repeated windows, block after block of whole anchors."""
+    """Pieces sorted by anchor and position to runs of repeated windows, block after block of whole anchors."""
     held: list[pa.RecordBatch] = []
+    size = 0
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        ids, p, n = repeats(*[np.asarray(rows.column(c)).astype(np.int64) for c in ("g", "id", "p", "n", "off")], rows.column("bytes").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "p", "n"])
+        piece, p, n = repeats(*[np.asarray(rows.column(c)).astype(np.int64) for c in ("g", "p", "n")], rows.column("bytes").to_pylist())
+        own = pa.array(piece)
+        return pa.RecordBatch.from_arrays([rows.column("id").take(own), rows.column("tie").take(own), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "tie", "p", "n"])
 
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= BLOCK:
+        for at in range(0, batch.num_rows, 1000):  # a batch may hold many blocks
+            held.append(batch.slice(at, 1000))
+            size += int(np.asarray(held[-1].column("n")).sum())
+            if size < BLOCK:
+                continue
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             g = np.asarray(rows.column("g"))
             cut = int(np.searchsorted(g, g[-1]))  # the last anchor may go on
             if cut:
                 yield run(rows.slice(0, cut))
             held = [rows.slice(cut)]
-    if held and sum(b.num_rows for b in held):
+            size = int(np.asarray(held[0].column("n")).sum())
+    if size:
         yield run(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
@@ -199,66 +256,57 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Runs (id, p, n) of windows of docs (id, text) that start earlier: the n windows from byte p on."""
-    found = scratch.keep(docs.mapInArrow(_anchors, "g long, x long, id long, p int, n short, off short"), "anchors")
-    # Written first: a join of two plain exchanges is one whose hot keys Spark can split.
-    more = scratch.keep(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "more")
-    found = scratch.keep(found.join(more, "g"), "repeated")
-    scratch.drop("anchors", "more")
-    first = scratch.keep(found.groupBy("g", "x").agg(F.min(F.struct("id", "p", "n", "off")).alias("f"), F.count(F.lit(1)).alias("c")), "pieces")
-    again = found.join(first.where("c > 1").select("g", "x", F.col("f.id").alias("i"), F.col("f.p").alias("q")), ["g", "x"]).where("id <> i or p <> q").select("id", "p", F.col("n").cast("int").alias("n"))
-    out = scratch.keep(again, "again")
-    scratch.drop("repeated")
-    unlike = scratch.keep(first.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "unlike")
-    own = first.join(unlike, "g").groupBy("f.id").agg(F.collect_list(F.struct("f.p", "f.n", "f.off", "g", "m")).alias("own"))
-    texts = docs.join(own, "id").select("id", "text", "own").mapInArrow(_cut, "id long, p int, n short, off short, g long, m long, bytes binary")
-    texts = scratch.keep(texts, "texts")
-    scratch.drop("pieces", "unlike")
-    cold = texts.where(F.col("m") <= HOT).repartition("g").sortWithinPartitions("g").mapInArrow(_block_repeats, "id long, p int, n int")
-    out = out.unionByName(scratch.keep(cold, "sorted"))
-    hot = texts.where(F.col("m") > HOT)
-    if not hot.isEmpty():
-        starts = hot.select("id", "p", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(F.substring("bytes", F.col("i") + 1, F.lit(LENGTH)).alias("w"), "id", (F.col("p") + F.col("i")).alias("p"))
-        least = starts.groupBy("w").agg(F.min(F.struct("id", "p")).alias("f")).select("f.id", "f.p")
-        out = out.unionByName(scratch.keep(starts.select("id", "p").join(least, ["id", "p"], "left_anti").withColumn("n", F.lit(1)), "hot"))
-    scratch.drop("texts")
-    return out
-
-
-def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """Runs (id, tie, p, n) of windows of docs (id, tie, text) that start earlier: the n windows from byte p on."""
+    kind = dict(docs.dtypes)["id"]
+    place, runs, out = ["id", "tie", "p", "n", "a"], f"id {kind}, tie long, p int, n int", []
+    found = docs.mapInArrow(_anchors, f"id {kind}, tie long, {PIECES}")
+    for k, width in enumerate(WIDTHS):
+        found = scratch.keep(found, f"anchors{k}")
+        # Written first: a join of two plain exchanges is one whose hot keys Spark can split.
+        more = scratch.keep(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), f"more{k}")
+        found = scratch.keep(found.join(more, "g"), f"repeated{k}")
+        scratch.drop(f"anchors{k}", f"more{k}")
+        first = scratch.keep(found.groupBy("g", "x").agg(F.min(F.struct(*place)).alias("f"), F.count(F.lit(1)).alias("c")), f"pieces{k}")
+        own = first.where("c > 1").select("g", "x", F.col("f.id").alias("i"), F.col("f.tie").alias("t"), F.col("f.p").alias("q"))
+        again = found.join(own, ["g", "x"]).where(~(F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")) & (F.col("p") == F.col("q"))))
+        out.append(scratch.keep(again.select("id", "tie", "p", F.col("n").cast("int").alias("n")), f"again{k}"))
+        scratch.drop(f"repeated{k}")
+        unlike = scratch.keep(first.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"unlike{k}")
+        last = width == 1
+        cold = _with_pieces(docs, first.join(unlike if last else unlike.where(F.col("m") <= SPLIT), "g"))
+        cold = scratch.keep(cold.mapInArrow(_cut, f"id {kind}, tie long, p int, n short, a int, g long, bytes binary"), f"texts{k}")
+        ordered = cold.repartition("g").sortWithinPartitions("g", "id", "tie", "a")
+        out.append(scratch.keep(ordered.mapInArrow(_block_repeats, runs), f"sorted{k}"))
+        scratch.drop(f"texts{k}")
+        hot = unlike.where(F.col("m") > SPLIT)
+        if last or hot.isEmpty():
+            scratch.drop(f"pieces{k}", f"unlike{k}")
+            break
+        found = _with_pieces(docs, first.join(hot, "g")).mapInArrow(lambda it, w=WIDTHS[k + 1]: _split(it, w), f"id {kind}, tie long, {PIECES}")
+    both = out[0]
+    for other in out[1:]:
+        both = both.unionByName(other)
+    return both
+
+
+def _with_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """docs with own, the list of their pieces among first; without those that have none."""
+    own = first.groupBy("f.id", "f.tie").agg(F.collect_list(F.struct("f.p", "f.n", "f.a", "g")).alias("own")).withColumnsRenamed({"id": "__i", "tie": "__t"})
+    return docs.join(own, F.col("id").eqNullSafe(F.col("__i")) & (F.col("tie") == F.col("__t"))).select("id", "tie", "text", "own")
+
+
+def without_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_bytes if asked for."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), whole(F.col("text")).alias("text"))
-    many = scratch.keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.sha2("text", 256)).alias("only")).where("k > 1").select(F.col("id").alias("j"), "only"), "many")
-    read = rows
-    if not many.isEmpty():
-        marked = rows.join(many, F.col("id") == F.col("j"), "left")
-        fine = F.col("only").isNull() | (F.col("only") == F.sha2("text", 256))
-        read = marked.where(fine).select("id", "text").dropDuplicates(["id"])
-        rows = marked.select("doc_id", F.when(fine, F.col("id")).alias("id"), "text")
-    runs = repeated_windows(read.select("id", "text"), scratch).distinct().groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("own"))
-    joined = rows.join(runs, "id", "left").select("doc_id", "text", "own")
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("tie"), whole(F.col(text_col)).alias("text"))
+    many = scratch.keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("id").alias("j"), F.lit(True).alias("many")), "many")
+    n, read = many.count(), rows
+    if n:
+        marked = rows.join(sized_broadcast(many, n), F.col("id").eqNullSafe(F.col("j")), "left")
+        rows = marked.select("id", F.when(F.col("many"), F.xxhash64("text")).otherwise(0).alias("tie"), "text")
+        read = rows.where("tie = 0").unionByName(rows.where("tie <> 0").dropDuplicates(["id", "tie"]))
+    runs = repeated_windows(read, scratch).distinct().groupBy("id", "tie").agg(F.collect_list(F.struct("p", "n")).alias("own")).withColumnsRenamed({"id": "__i", "tie": "__t"})
+    joined = rows.join(runs, F.col("id").eqNullSafe(F.col("__i")) & (F.col("tie") == F.col("__t")), "left").select(F.col("id").alias("doc_id"), "text", "own")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
     return joined.mapInArrow(lambda it: _remove(it, with_text), schema)
-
-
-def longest_previous_factors(text: bytes) -> np.ndarray:
-    """For each position of a small text, the length of the longest string from it that also starts earlier.
-
-    In suffix order, the previous and the next suffix of smaller position are
-    the candidates; the longer common prefix of the two is the answer.
-    """
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    prefix = lambda a, b: next((k for k in range(n - max(a, b)) if text[a + k] != text[b + k]), n - max(a, b))
-    out = np.zeros(n, np.int64)
-    for scan in (order, order[::-1]):
-        stack: list[int] = []
-        for i in scan:
-            while stack and stack[-1] > i:
-                stack.pop()
-            if stack:
-                out[i] = max(out[i], prefix(stack[-1], i))
-            stack.append(i)
-    return out

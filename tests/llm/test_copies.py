@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,15 +50,49 @@ def made_up(seed, n=60):
     return texts + texts[:5] + [None, ""]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_removal_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    rows = list(enumerate(made_up(hot)))
+@pytest.mark.parametrize("split", [1000, 2])
+def test_removal_matches_brute_force(spark, monkeypatch, split):
+    """Anchors in whole, and those of over two pieces split on longer strings."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    rows = list(enumerate(made_up(split)))
     random.Random(1).shuffle(rows)
     got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == sorted(removed(rows))
 
 
+def test_removal_in_segments_and_blocks(spark, monkeypatch):
+    """Texts longer than a segment, and anchors in many blocks."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 150)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 200)
+    texts = made_up(7, 20)
+    rows = list(enumerate(["".join(x or "" for x in texts), *texts]))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([0]), pa.array([t or ""])], names=["id", "tie", "text"]) for i, t in rows]
+    parts = [b for batch in batches for b in suffix_dedup._anchors(iter([batch])) if b.num_rows]
+    found = {(r["id"], r["p"] + k, r["a"]) for b in parts for r in b.to_pylist() for k in range(r["n"])}
+    assert len(found) == sum(max(0, len((t or "").encode()) - 99) for _, t in rows)
+    got = {(r["id"], r["p"]) for b in suffix_dedup._block_repeats(iter([_sorted_pieces(parts, dict(rows))])) for r in _windows(b)}
+    seen, want = set(), set()
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                want.add((i, k))
+            seen.add(b[k : k + 100])
+    assert got == want
+
+
+def _sorted_pieces(parts, texts):
+    rows = sorted((r for b in parts for r in b.to_pylist()), key=lambda r: (r["g"], r["id"], r["a"]))
+    for r in rows:
+        r["bytes"] = texts[r["id"]].encode()[r["p"] : r["p"] + r["n"] + 99]
+    kinds = {"id": pa.int64(), "tie": pa.int64(), "p": pa.int32(), "n": pa.int16(), "a": pa.int32(), "g": pa.int64(), "bytes": pa.binary()}
+    return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+def _windows(batch):
+    return [{"id": r["id"], "p": r["p"] + k} for r in batch.to_pylist() for k in range(r["n"])]
+
+
 def test_removal_over_a_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     got = suffix_dedup.without_repeats(docs).collect()
@@ -70,14 +105,26 @@ def test_removal_from_awkward_rows(spark):
     got = suffix_dedup.without_repeats(odd).collect()
     assert len(got) == odd.count() and all(list(r)[1:] == want[r.doc_id] for r in got)
     assert suffix_dedup.without_repeats(empty(spark)).count() == 0
-    clash = spark.createDataFrame([(1, "b" * 300), (1, "c" * 200), (2, "c" * 150)], "doc_id long, text string")
-    assert len(suffix_dedup.without_repeats(clash).collect()) == 3
 
 
-def test_blocks_and_factors(monkeypatch):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_removal_with_repeated_and_null_ids(spark, kind):
+    """Rows of one id and different texts are different documents, in some order; equal rows are one; ids may be strings."""
+    word = lambda x: x if x is None or kind == "long" else f"id{x}"
+    rows = [(1, "b" * 300), (1, "c" * 200), (2, "c" * 150), (2, "b" * 120), (2, "b" * 120), (None, "d" * 130), (None, "e" * 130), (3, "d" * 110 + "e" * 110)]
+    frame = spark.createDataFrame([(word(d), t) for d, t in rows], f"doc_id {kind}, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.without_repeats(frame).collect())
+    want = [(1, 300, 299), (1, 200, 199), (2, 150, 150), (2, 120, 120), (2, 120, 120), (None, 130, 129), (None, 130, 129), (3, 220, 220)]
+    assert got == sorted((str(word(d)), n, k) for d, n, k in want)
+
+
+def test_factors():
     text = b"abcabcabxabcabcab" * 3
     want = [max((k for k in range(len(text) - i + 1) if text.find(text[i : i + k], 0, i + k - 1) >= 0 and text.find(text[i : i + k]) < i), default=0) for i in range(len(text))]
-    assert suffix_dedup.longest_previous_factors(text).tolist() == want
+    order = np.array(sorted(range(len(text)), key=lambda i: text[i:]))
+    common = [0] + [next((k for k in range(len(text)) if text[a + k : a + k + 1] != text[b + k : b + k + 1] or not text[a + k : a + k + 1]), 0) for a, b in zip(order, order[1:])]
+    got = suffix_dedup.longest_previous_factors(order, np.array(common))
+    assert got[np.argsort(order)].tolist() == want
 
 
 # -- near-duplicates ---------------------------------------------------------------------------
