@@ -26,6 +26,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the three rarest words of a benchmark item within twelve words of each other, by the positional index."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), "text")
+    return decontamination.proximity(table(spark, sf_dir, "documents"), items, 12, rarest=3)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a chunked WARC archive and read back from it."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -68,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_decontamination, op4_warc, op5_pii, op6_language_id, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_mixing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_decontamination, decontamination_proximity, op4_warc, op5_pii, op6_language_id, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -94,13 +100,13 @@ SQL = {
         FROM d LEFT JOIN u ON d.doc_id IS NOT DISTINCT FROM u.doc_id LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
 """,
     "op3_decontamination": f"""
-        WITH b AS (SELECT item_id::VARCHAR AS item, {SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        WITH b AS (SELECT item_id::VARCHAR AS item, {SQL_WORDS} AS w FROM benchmark),
              bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS s FROM b, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS t(i) WHERE len(w) > 0),
              sizes AS (SELECT DISTINCT n FROM bw),
              d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
              o AS (SELECT doc_id, i, bw.n, item FROM (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM d, sizes, unnest(range(0, greatest(len(w) - n + 1, 0))) AS t(i)) x JOIN bw ON x.n = bw.n AND x.s = bw.s),
              p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM o, unnest(range(i, i + n)) AS t(q) GROUP BY doc_id),
-             it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id)
+             it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o WHERE item IS NOT NULL) GROUP BY doc_id)
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id LEFT JOIN it ON d.doc_id IS NOT DISTINCT FROM it.doc_id
 """,

@@ -37,7 +37,7 @@ def hits(texts, items, window=10):
         w = words(t)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            wins[tuple(w[i : i + n])].add(str(k))
+            wins[tuple(w[i : i + n])].add(k)
     out = []
     for d, t in texts:
         w, hit, found = words(t), set(), set()
@@ -46,33 +46,61 @@ def hits(texts, items, window=10):
                 if own := wins.get(tuple(w[i : i + n])):
                     hit |= set(range(i, i + n))
                     found |= own
+        found = {str(k) for k in found if k is not None}
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out
 
 
+def near(texts, queries, slop, rarest):
+    count = Counter(x for _, t in texts for x in words(t))
+    out = {}
+    for name, q in queries:
+        terms = sorted((x for x in dict.fromkeys(words(q)) if count[x]), key=lambda x: count[x])[:rarest]
+        for d, t in texts if terms else []:
+            w = words(t)
+            n = sum(w[i] == terms[0] and set(terms) <= set(w[max(0, i - slop) : i + slop + 1]) for i in range(len(w)))
+            if n:
+                out[d, str(name)] = n
+    return out
+
+
 def test_contamination_matches_brute_force(spark, docs, monkeypatch):
+    """In one block of windows and in many, over shards of a few documents too."""
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     want = sorted(hits([(d, t) for d, t, _, _ in docs], items))
     assert sorted(map(tuple, queries.op3_decontamination(spark, DATA).collect())) == want
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(decontamination, "BLOCK_TERMS", 5000)
+    monkeypatch.setattr(decontamination, "CANDIDATES", 50)
     table = lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")
     assert sorted(map(tuple, decontamination.contamination(table("documents"), table("benchmark")).drop("items").collect())) == want
+    kept = decontamination.clean(table("documents"), table("benchmark"))
+    assert kept.columns == table("documents").columns and sorted(r.doc_id for r in kept.collect()) == [x[0] for x in want if not x[-1]]
 
 
 def test_contamination_of_awkward_rows(spark):
-    rows = awkward(spark)
-    items = [(1, "Same WORDS, here again"), (2, "日本語"), (3, None), (4, "!!"), (None, "x"), (5, "Lorem ipsum dolor sit amet consectetur lorem ipsum dolor sit amet"), (6, "日本語")]
-    got = decontamination.contamination(rows, spark.createDataFrame(items, "item_id long, text string")).drop("items")
+    rows = awkward(spark).unionByName(awkward(spark).where("doc_id = 5").withColumn("text", F.lit("another text, no id at all")))
+    items = [(1, "Same WORDS, here again"), (2, "日本語"), (3, None), (4, "!!"), (None, "x"), (None, "another text"), (5, "Lorem ipsum dolor sit amet consectetur lorem ipsum dolor sit amet"), (6, "日本語"), (6, "again")]
+    marks = spark.createDataFrame(items, "item_id long, text string")
     own = [(r.doc_id, r.text) for r in rows.collect()]
-    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, hits(own, [x for x in items if x[0]])))
-    assert decontamination.contamination(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    want = sorted(map(str, hits(own, items)))
+    assert sorted(map(str, map(tuple, decontamination.contamination(rows, marks).drop("items").collect()))) == want
+    assert any("(6, 1, 1, 0," in x for x in want)  # hit by the item without an id
+    kept = decontamination.clean(rows, marks)
+    assert kept.columns == rows.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(o) for o, x in zip(own, hits(own, items)) if not x[-1])
+    assert decontamination.contamination(empty(spark), marks).count() == 0 and decontamination.clean(empty(spark), marks).count() == 0
     assert not any(r.contaminated for r in decontamination.contamination(rows, empty(spark, "item_id long, text string")).collect())
 
 
-def test_proximity(spark):
+def test_proximity(spark, docs, monkeypatch):
     rows = spark.createDataFrame([(1, "red apple pie"), (2, "red red and a green apple"), (3, "apple. " * 3), (4, None)], "doc_id long, text string")
-    got = {(r.doc_id, r["query"]): r.matches for r in decontamination.proximity(rows, [("near", "apple red"), ("none", "")], 2).collect()}
+    asked = spark.createDataFrame([("near", "apple red"), ("none", ""), ("lost", "apple tree")], "name string, text string")
+    got = {(r.doc_id, r["query"]): r.matches for r in decontamination.proximity(rows, asked, 2).collect()}
     assert got == {(1, "near"): 1}
+    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    want = near([(d, t) for d, t, _, _ in docs], items, 12, 3)
+    assert want and {(r.doc_id, r["query"]): r.matches for r in queries.decontamination_proximity(spark, DATA).collect()} == want
+    monkeypatch.setattr(decontamination, "BLOCK_TERMS", 300)
+    assert {(r.doc_id, r["query"]): r.matches for r in queries.decontamination_proximity(spark, DATA).collect()} == want
 
 
 # -- personal data -----------------------------------------------------------------------------
