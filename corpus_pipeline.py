@@ -27,8 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    rows = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns).where("not contaminated")
-    return rows.select(*[F.col(f"`__kept_{c}`").alias(c) for c in docs.columns])
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
