@@ -2,61 +2,117 @@
 
 A record (header, payload, closing blank lines) is stored as rows of its
 identifier, a chunk number and at most CHUNK bytes; joined in order, the
-chunks of an archive are a WARC/1.1 file. Writers cut chunks one by one and
-readers carry a digest and the header's bytes from chunk to chunk, so neither
-holds a record. Payloads of REVISIT_BYTES or more that occur again are written
-once, as the response of the smallest id; the others revisit it.
-
-Null payloads are empty. Null urls are empty, and control characters in them
-are percent-encoded. Records with a null id never are what others revisit,
+chunks of an archive are a WARC/1.1 file.
+
+Writing takes two passes over the pages where they lie. The first carries a
+digest over each payload piece by piece, and gives a short row for each page:
+these are what is compared, so no payload moves for it. The second cuts
+payloads into chunks before anything is shuffled; then the chunks of a record
+meet its short row, which gives the header and says whether they are kept.
+Readers carry a digest and the header's bytes from chunk to chunk. So beyond
+the scan of a table that has whole payloads as values, nothing holds a record.
+
+Payloads of REVISIT_BYTES or more that occur again are written once, as the
+response of the smallest id; the others revisit it. Null payloads are empty.
+Null urls, and those of a table without the column, are empty, and line ends in
+them are percent-encoded; so is whatever in an id isn't plain. Ids may be
+numbers or strings. Records with a null id never are what others revisit,
 unless all of a payload's are null; then all are responses. Repeated rows give
-repeated records.
+repeated records; of those with the id that others revisit, all are responses.
+Empty tables give empty archives; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Scratch, whole
 
-CHUNK = 1 << 20
+CHUNK, BATCH_BYTES = 1 << 20, 4 << 20
 REVISIT_BYTES = 100
-URN = "urn:page:"
-CHUNKS = "record long, chunk long, bytes binary"
+URN, NO_ID = "urn:page:", "urn:nopage:"
 RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, intact boolean"
 
 
-def _header(kind: Column, key: Column, url: Column, digest: Column, n: Column, refers: Column) -> Column:
-    response = kind == "response"
-    id_ = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">\r\n"))
+def _header(response: Column, key: Column, url: Column, digest: Column, n: Column, refers: Column, written: str) -> Column:
+    id_ = lambda c: F.concat(F.lit("<"), F.coalesce(F.concat(F.lit(URN), F.url_encode(c.cast("string"))), F.lit(NO_ID)), F.lit(">\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit("\r\n\r\n"))
     safe = F.regexp_replace(F.regexp_replace(whole(url), "\r", "%0D"), "\n", "%0A")
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), id_(key),
-        F.lit("WARC-Target-URI: "), safe, F.lit("\r\nWARC-Payload-Digest: sha256:"), digest, F.lit("\r\nX-Payload-Length: "), n.cast("string"), F.lit("\r\n"),
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(response, "response").otherwise("revisit"), F.lit("\r\nWARC-Record-ID: "), id_(key),
+        F.lit(f"WARC-Date: {written}\r\nWARC-Target-URI: "), safe, F.lit("\r\nWARC-Payload-Digest: sha256:"), digest, F.lit("\r\nX-Payload-Length: "), n.cast("string"), F.lit("\r\n"),
         F.when(response, F.lit("")).otherwise(F.concat(F.lit("WARC-Refers-To: "), id_(refers), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), (F.length(http) + F.when(response, n).otherwise(0)).cast("string"), F.lit("\r\n\r\n"), http,
     ).cast("binary")
 
 
-def to_chunks(pages: DataFrame, chunk: int = CHUNK, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """The chunk rows (record, chunk, bytes) of an archive of pages."""
-    payload = whole(F.col(payload_col)).cast("binary")
-    rows = pages.select(F.col(id_col).alias("key"), F.col("url"), payload.alias("payload")).select("key", "url", "payload", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("n"))
-    first = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("key").alias("first")).withColumnRenamed("digest", "of")
-    rows = rows.join(first, F.col("digest") == F.col("of"), "left")
-    kind = F.when(F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first")), "response").otherwise("revisit")
-    rows = rows.select(F.monotonically_increasing_id().alias("record"), kind.alias("kind"), "key", "url", "payload", "digest", "n", F.col("first").alias("refers"))
-    body = F.when(F.col("kind") == "response", F.ceil(F.col("n") / chunk)).otherwise(0).cast("long")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), body + 1)).alias("chunk"), body.alias("body"))
-    header = _header(F.col("kind"), F.col("key"), F.col("url"), F.col("digest"), F.col("n"), F.col("refers"))
-    part = F.substring("payload", ((F.col("chunk") - 1) * chunk + 1).cast("int"), F.lit(chunk))
-    return rows.select("record", "chunk", F.when(F.col("chunk") == 0, header).when(F.col("chunk") > F.col("body"), F.lit("\r\n\r\n").cast("binary")).otherwise(part).alias("bytes"))
+def _payload(column: pa.Array, i: int) -> memoryview:
+    return memoryview(column[i].as_buffer() or b"")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests, sizes = [], []
+        for i in range(batch.num_rows):
+            data, digest = _payload(batch.column("payload"), i), hashlib.sha256()
+            for at in range(0, len(data), CHUNK):
+                digest.update(data[at : at + CHUNK])
+            digests.append(digest.hexdigest())
+            sizes.append(len(data))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], names=["key", "h", "digest", "n"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Pages to rows of a header's place (chunk 0), the payload's chunks, and the end."""
+    context = TaskContext.get()
+    record = (context.partitionId() if context else 0) << 32
+    for batch in batches:
+        rows: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            pages = pa.array([r[0] for r in rows], pa.int64())
+            columns = [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays([*[batch.column(c).take(pages) for c in ("key", "h", "url")], *columns], names=["key", "h", "url", "record", "chunk", "body", "bytes"])
+
+        for i in range(batch.num_rows):
+            data = _payload(batch.column("payload"), i)
+            parts = -(-len(data) // chunk)
+            rows.append((i, record, 0, False, None))
+            for k in range(parts):
+                rows.append((i, record, k + 1, True, data[k * chunk : (k + 1) * chunk]))
+                size += len(rows[-1][4])
+                if size >= BATCH_BYTES:
+                    yield made()
+                    rows, size = [], 0
+            rows.append((i, record, parts + 1, False, b"\r\n\r\n"))
+            record += 1
+        if rows:
+            yield made()
+
+
+def to_chunks(pages: DataFrame, scratch: Scratch, chunk: int = CHUNK, id_col: str = "page_id", payload_col: str = "html", written: datetime | None = None) -> DataFrame:
+    """The chunk rows (record, chunk, bytes) of an archive of pages, dated written (now, if None)."""
+    kind = dict(pages.dtypes)[id_col]
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).alias("key"), url.alias("url"), whole(F.col(payload_col)).cast("binary").alias("payload")).withColumn("h", F.xxhash64("payload"))
+    signed = scratch.keep(rows.select("key", "h", "payload").mapInArrow(_digests, f"key {kind}, h long, digest string, n long").distinct(), "digests")
+    first = scratch.keep(signed.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("key").alias("refers")).where("refers is not null"), "first")
+    kinds = signed.join(first, "digest", "left").withColumn("response", F.col("refers").isNull() | F.col("key").eqNullSafe(F.col("refers")))
+    kinds = scratch.keep(kinds.withColumnsRenamed({"key": "k", "h": "kh"}), "kinds").hint("merge")  # the same plan at every size
+    cut = rows.mapInArrow(lambda it: _chunks(it, chunk), f"key {kind}, h long, url string, record long, chunk long, body boolean, bytes binary")
+    own = cut.join(kinds, F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).where("response or not body")
+    date = (written or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    header = _header(F.col("response"), F.col("key"), F.col("url"), F.col("digest"), F.col("n"), F.col("refers"), date)
+    return own.select("record", "chunk", F.coalesce("bytes", header).alias("bytes"))
 
 
 class Reader:
@@ -84,7 +140,7 @@ class Reader:
 
     def record(self) -> dict:
         f = self.fields or {}
-        key = lambda s: None if s is None else (s.strip("<>")[len(URN) :] or None)
+        key = lambda s: unquote_plus(s[1 + len(URN) : -1]) if s and s.startswith(f"<{URN}") else None
         said, n = f.get("WARC-Payload-Digest", "").removeprefix("sha256:"), int(f.get("X-Payload-Length", self.n))
         revisit = f.get("WARC-Type") == "revisit"
         return {
@@ -123,7 +179,8 @@ def records(chunks: DataFrame) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Writes pages as an archive in the shared folder and reads its records back."""
     kind = dict(pages.dtypes)[id_col]
-    archive = Scratch(spark, "warc").keep(to_chunks(pages, id_col=id_col), "archive")
+    scratch = Scratch(spark, "warc")
+    archive = scratch.keep(to_chunks(pages, scratch, id_col=id_col), "archive")
     return records(archive).withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, language_id, mixing, ordinal, pii, quality_rules, queries, sharding, warc
+from ledgerlens.llm.common import Scratch
 from tests.llm.cases import DOCS, LONG, awkward, empty, labels
 
 DATA = "/root/testdata/sf0.001"
@@ -287,7 +288,7 @@ def test_shards_of_awkward_rows(spark):
 def test_warc_round_trip(spark, tmp_path):
     html = [None, "", "é" * 400, "é" * 400, "x" * 99, "x" * 99, "y" * 100, "y" * 100, "z" * 5000, "é\r\n\r\nWARC/1.1\r\n" * 20, "y" * 100]
     rows = spark.createDataFrame([(i, "http://a/\r\nb" if i % 2 else None, h) for i, h in enumerate(html)] + [(None, None, "y" * 100), (2, None, "é" * 400)], "page_id long, url string, html string")
-    chunks = warc.to_chunks(rows, chunk=64).cache()
+    chunks = warc.to_chunks(rows, Scratch(spark, "warc"), chunk=64).cache()
     assert max(r.n for r in chunks.where("chunk > 0").select(F.length("bytes").alias("n")).collect()) <= 64
     got = warc.records(chunks).collect()
     assert len(got) == rows.count() and all(r.intact for r in got)
@@ -304,7 +305,19 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("revisit", str(first[h])) if again else ("response", None))
     warc.save_file(chunks, str(tmp_path / "a.warc"))
     assert (tmp_path / "a.warc").read_bytes().count(b"WARC-Record-ID: ") == rows.count()
-    assert warc.records(warc.to_chunks(empty(spark, "page_id long, url string, html string"))).count() == 0
+    assert (tmp_path / "a.warc").read_bytes().count(b"WARC-Date: ") == rows.count()
+    assert warc.round_trip(spark, empty(spark, "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_ids_and_columns(spark):
+    """String ids of any characters, clashing columns, no url, a payload over a chunk, and repeated rows."""
+    ids = ["a>\r\nX: 1", "<z>", "", None, "é %2B+", "a", "a"]
+    html = ["p" * 200, "q" * 3_000_000, "p" * 200, "p" * 200, "", "q" * 3_000_000, "q" * 3_000_000]
+    rows = spark.createDataFrame([(i, h, "x", 1) for i, h in zip(ids, html)], "page_id string, html string, digest string, record int")
+    got = warc.round_trip(spark, rows).collect()
+    assert all(r.intact for r in got)
+    want = [("a>\r\nX: 1", 200, "revisit", ""), ("<z>", 3_000_000, "response", None), ("", 200, "response", None), (None, 200, "revisit", ""), ("é %2B+", 0, "response", None), *[("a", 3_000_000, "revisit", "<z>")] * 2]
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter(want)
 
 
 # -- classifiers -------------------------------------------------------------------------------
