@@ -1,16 +1,23 @@
-"""Quality rules with risk-controlled cutoffs, natively.
+"""Quality rules with risk-controlled thresholds, natively.
 
 Base rules are fixed. Further rules reject a document when a ratio exceeds a
-cutoff, chosen per stratum (language) from a fixed grid on labelled documents:
-a cutoff is certified if the exact binomial test rejects "it loses more than
-ALPHA of good documents" at DELTA, divided by the number of tests (Bonferroni
-over rules, cutoffs and strata). Of the certified cutoffs that reject nearly
-as many bad documents as the best, the loosest is taken; with none, or none
-that rejects bad documents, the rule rests in that stratum.
+cutoff. Cutoffs are chosen per stratum (language) on labelled documents that
+pass the base rules, in two halves by a hash of the id. On the first half, each
+budget of BUDGETS gives every rule the tightest cutoff of GRID that loses at
+most an equal share of the budget of good documents. On the second half, the
+verdict of all rules together is tested: a budget is certified if the exact
+binomial test rejects "it loses more than ALPHA of good documents" at DELTA,
+divided by the number of tests (Bonferroni over budgets and strata). Of the
+certified budgets, the one that rejects most bad documents of the first half is
+taken, the smallest at ties; without one, the rules rest in that stratum. So
+with a chance of 1 - DELTA, no stratum loses more than ALPHA of the good
+documents that pass the base rules.
 
 Null text has no words. Null or unknown languages form strata like others.
-Repeated rows count as often as they occur, repeated labels too. Without
-labels only the base rules work.
+Repeated rows count as often as they occur, repeated labels too; rows and
+labels without an id meet no label. Without labels only the base rules work.
+An empty table gives an empty one. Columns that begin with two underscores are
+for the operator's own use; others pass through as they are called.
 """
 
 from __future__ import annotations
@@ -23,10 +30,10 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import Scratch, sized_broadcast, whole, word_array
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: At most this share of good documents lost by a rule in a stratum, but for this chance that any of them loses more.
+#: At most this share of the good documents of a stratum is lost, but for this chance that some stratum loses more.
 ALPHA, DELTA = 0.01, 0.05
-#: A certified cutoff is as good as the best if it rejects this share of what that one rejects.
-AS_GOOD = 0.99
+#: Shares of good documents that all rules together may lose where cutoffs are chosen.
+BUDGETS = [0.001, 0.0025, 0.005, 0.0075]
 GRID = [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 #: Numerator and denominator of each rule's ratio, as fields of base_stats().
 RULES = {
@@ -36,48 +43,50 @@ RULES = {
 BASE_FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeat_words(sorted_windows: Column, bits: Column) -> tuple[Column, object]:
-    """Start positions of the windows that occur twice or more, from sorted (hash, position) numbers."""
-    key = lambda x: F.call_function("shiftrightunsigned", x, bits)
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def at(x, j):
-        same = lambda y: F.coalesce(key(y) == key(x), F.lit(False))
-        before, after = F.get(sorted_windows, j - 1), F.get(sorted_windows, j + 1)
-        return F.when(same(before) | same(after), x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)).otherwise(-1)
 
-    return F.transform(sorted_windows, at)
+def _repeated(windows: Column, same) -> Column:
+    """Those elements of a sorted array that are the same as a neighbour."""
+    return F.filter(windows, lambda x, j: F.coalesce(same(x, F.get(windows, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(windows, j + 1)), F.lit(False)))
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __q, a struct of counts, to be written before it is filtered. All work is on the row itself.
 
-    Three-word windows are compared by a hash with the position in its low
-    bits, so one sort of numbers brings equal windows together; with 64 bits
-    less those of the position, a false match in a text of n words has a
-    chance near n^3 / 2^64.
+    Equal three-word windows are found in two steps: numbers of a hash and, in
+    the low bits, the place are sorted, which brings equal hashes together;
+    then the windows of equal hashes alone are sorted and compared by words.
     """
     kept = docs.columns
     text = whole(F.col(text_col))
     lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.select(*_all(kept), text.alias("__t"), word_array(F.col(text_col)).alias("__w"), lines.alias("__l"))
+    odd = F.regexp_replace(text, r"[^#*$%&|<>!A-Z]+", "")
+    step = docs.select(*_all(kept), text.alias("__t"), word_array(F.col(text_col)).alias("__w"), lines.alias("__l"), odd.alias("__o"))
     n = F.size("__w")
     step = step.select("*", n.alias("__n"), F.length(F.bin(n.cast("long"))).alias("__bits"))
+    bits = F.col("__bits")
+    key = lambda x: F.call_function("shiftrightunsigned", x, bits)
     window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
-    packed = F.transform(F.sequence(F.lit(0), F.col("__n") - 3), lambda i: F.call_function("shiftleft", window(i), F.col("__bits")).bitwiseOR(i.cast("long")))
-    step = step.withColumn("__s", F.when(F.col("__n") >= 4, F.sort_array(packed)))
-    step = step.withColumn("__d", _repeat_words(F.col("__s"), F.col("__bits")))
-    starts = F.sort_array(F.filter("__d", lambda p: p >= 0))
+    packed = F.transform(F.sequence(F.lit(0), F.col("__n") - 3), lambda i: F.call_function("shiftleft", window(i), bits).bitwiseOR(i.cast("long")))
+    alike = _let(F.sort_array(packed), lambda s: _repeated(s, lambda x, y: key(x) == key(y)))
+    at = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+    words = F.transform(alike, lambda x: F.struct(F.array_join(F.slice("__w", at(x) + 1, 3), " ").alias("w"), at(x).alias("i")))
+    exact = _let(F.sort_array(words), lambda s: F.sort_array(F.transform(_repeated(s, lambda x, y: x["w"] == y["w"]), lambda x: x["i"])))
+    step = step.withColumn("__s", F.when(F.col("__n") >= 4, exact))
 
     def cover(acc, p):
-        return F.struct((p + 3).alias("end"), (acc["n"] + 3 - F.greatest(F.lit(0).cast("long"), acc["end"] - p)).alias("n"))
+        return F.struct((p + 3).alias("end"), (acc["n"] + 3 - F.greatest(F.lit(0), acc["end"] - p)).alias("n"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-    count = lambda pattern: (F.length("__t") - F.length(F.regexp_replace("__t", pattern, ""))).cast("long")
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    count = lambda characters: (F.length("__o") - F.length(F.translate("__o", characters, ""))).cast("long")
     stats = F.struct(
         F.col("__n").cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        count(r"[#*$%&|<>]").alias("n_symbols"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.aggregate(starts, zero, cover, lambda a: a["n"]), F.lit(0).cast("long")).alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"), count("!").alias("n_exclaims"), count(r"\p{Lu}").alias("n_upper"),
+        count("#*$%&|<>").alias("n_symbols"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(F.aggregate("__s", zero, cover, lambda a: a["n"]), F.lit(0).cast("long")).alias("n_repeat_words"),
+        F.size("__l").cast("long").alias("n_lines"), count("!").alias("n_exclaims"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
     )
     return step.select(*_all(kept), stats.alias("__q"))
 
@@ -110,22 +119,40 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum that has certified cutoffs: __stratum and a column per rule (null where it rests).
+    """One row per stratum with a certified budget: __stratum and a column per rule (null where it rests).
 
     stats: id, stratum and __q. The labelled rows are reduced to counts by
-    stratum before anything else, so what follows is a few rows per stratum.
+    stratum, so what follows is a few rows per stratum.
     """
-    held = stats.select(id_col, F.col(stratum).alias("__stratum"), "__q").join(labels.select(id_col, F.col("quality").alias("__good")).where("quality is not null"), id_col).where(~base_failed())
+    spark, scratch = stats.sparkSession, Scratch(stats.sparkSession, "cutoffs")
+    marks = labels.select(F.col(id_col).alias("__id"), F.col("quality").alias("__good")).where("quality is not null")
+    ratios = [ratio(r).alias(r) for r in RULES]
+    held = stats.join(marks, F.col(f"`{id_col}`") == F.col("__id")).where(~base_failed()).select(F.col(stratum).alias("__stratum"), (F.col("__good") == 1).alias("good"), (F.pmod(F.xxhash64(F.lit("holdout"), "__id"), F.lit(2)) == 0).alias("choose"), *ratios)
+    held = scratch.keep(held, "held")
     tests = [(r, c) for r in RULES for c in GRID]
-    counts = [F.count_if((F.col("__good") == g) & (ratio(r) > c)).alias(f"{'bg'[g]}{i}") for i, (r, c) in enumerate(tests) for g in (0, 1)]
-    by = held.groupBy("__stratum").agg(F.count_if(F.col("__good") == 1).alias("n"), *counts)
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"g{i}").alias("lost"), F.col(f"b{i}").alias("caught")) for i, (r, c) in enumerate(tests)])
-    level = F.lit(delta / len(tests)) / F.greatest(F.lit(1), F.col("strata"))
-    strata = by.agg(F.count(F.lit(1)).alias("strata"))
-    safe = by.select("__stratum", "n", F.inline(rows)).join(F.broadcast(strata), F.lit(True)).where(binomial_tail(F.col("lost"), F.col("n"), alpha) <= level).where("caught > 0")
-    best = safe.groupBy("__stratum", "rule").agg(F.collect_list(F.struct("cutoff", "caught")).alias("all"), F.max("caught").alias("best"))
-    chosen = best.select("__stratum", "rule", F.array_max(F.transform(F.filter("all", lambda x: x["caught"] >= F.col("best") * AS_GOOD), lambda x: x["cutoff"])).alias("cutoff"))
-    return chosen.groupBy("__stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__max_{r}") for r in RULES])
+    counts = [F.count_if(F.col("good") & (F.col(r) > c)).alias(f"g{i}") for i, (r, c) in enumerate(tests)]
+    by = held.where("choose").groupBy("__stratum").agg(F.count_if("good").alias("n"), *counts)
+
+    def tightest(rule, budget):
+        fine = [F.when(F.col(f"g{i}") * len(RULES) <= F.lit(budget) * F.col("n"), F.lit(c)) for i, (r, c) in enumerate(tests) if r == rule]
+        return F.coalesce(*fine)
+
+    options = F.array(*[F.struct(F.lit(b).alias("budget"), *[tightest(r, b).alias(f"__max_{r}") for r in RULES]) for b in BUDGETS])
+    options = scratch.keep(by.where("n > 0").select("__stratum", F.inline(options)), "options")  # a few rows per stratum
+    n = options.count()
+    lost = F.lit(False)
+    for r in RULES:
+        lost = lost | F.coalesce(F.col(r) > F.col(f"__max_{r}"), F.lit(False))
+    side = options.withColumnRenamed("__stratum", "__of")
+    judged_ = held.join(sized_broadcast(side, n), F.col("__stratum").eqNullSafe(F.col("__of"))).withColumn("lost", lost)
+    done = judged_.groupBy("__stratum", "budget").agg(
+        F.count_if(F.col("good") & ~F.col("choose")).alias("n"), F.count_if(F.col("good") & ~F.col("choose") & F.col("lost")).alias("k"), F.count_if(~F.col("good") & F.col("choose") & F.col("lost")).alias("caught"),
+        *[F.first(f"__max_{r}").alias(f"__max_{r}") for r in RULES],
+    )
+    level = delta / max(1, n)
+    safe = done.where(binomial_tail(F.col("k"), F.col("n"), alpha) <= level).where("caught > 0")
+    best = safe.groupBy("__stratum").agg(F.max_by(F.struct(*[f"__max_{r}" for r in RULES]), F.struct("caught", -F.col("budget"))).alias("best"))
+    return best.select("__stratum", "best.*")
 
 
 def judged(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

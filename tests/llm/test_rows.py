@@ -1,6 +1,8 @@
 """Operators whose results per document are compared with plain Python over whole tables."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -193,12 +195,49 @@ def test_cutoffs_are_certified(spark):
     done = quality_rules.rated(table, marks, ["doc_id", "lang"])
     assert {r.doc_id for r in done.where("__kept").collect()} == {i for i in range(6000) if i % 4 != 3}
     few = quality_rules.rated(table.where("doc_id < 200"), marks, ["doc_id", "lang"])
-    assert few.where("__kept").count() == 200  # too few labels to certify anything
+    assert few.where("__kept").count() == sum(1 for i in range(200))  # too few labels to certify anything
     odd = awkward(spark)
     assert quality_rules.rated(odd, labels(spark), odd.columns).count() == odd.count()
     assert quality_rules.rated(empty(spark), marks, ["doc_id", "lang"]).count() == 0
 
 
+def test_cutoffs_match_brute_force(spark):
+    """Over strata with noisy labels, some with too few: the same cutoffs as by plain Python."""
+    rng = random.Random(4)
+    rules, rows = list(quality_rules.RULES), []
+    for i in range(9000):
+        good = rng.random() < 0.7
+        n = rng.randint(60, 200)
+        part = lambda top: int(n * max(0.0, rng.gauss(0.01 if good else top, 0.01)))
+        q = {"n_words": n, "n_lines": n, "word_chars": n, "n_symbols": part(0.2), "n_exclaims": part(0.02), "n_upper": part(0.3), "n_dup_lines": part(0.0), "n_repeat_words": part(0.25)}
+        rows.append((i, rng.choice(["en", "en", "de", None]) if i > 60 else "few", q, int(good)))
+    schema = "doc_id long, lang string, __q struct<" + ",".join(f"{k}:long" for k in rows[0][2]) + ">"
+    stats = spark.createDataFrame([(i, x, tuple(q.values())) for i, x, q, _ in rows], schema)
+    marks = labels(spark, [(i, g, 0) for i, _, _, g in rows])
+    got = {r[0]: {k: r[f"__max_{k}"] for k in rules} for r in quality_rules.certified_cutoffs(stats, marks).collect()}
+    first = {r.doc_id for r in stats.where("pmod(xxhash64('holdout', doc_id), 2) = 0").collect()}
+    ratio = lambda q, r: q[quality_rules.RULES[r][0]] / max(1, q[quality_rules.RULES[r][1]])
+    fine = [x for x in rows if 100 * x[2]["n_repeat_words"] <= 50 * x[2]["n_words"]]
+    strata = {x for i, x, _, g in fine if g and i in first}
+    want = {}
+    for s in strata:
+        own = [x for x in fine if x[1] == s]
+        good = [x[2] for x in own if x[3] and x[0] in first]
+        best = None
+        for b in quality_rules.BUDGETS:
+            cut = {r: next((c for c in quality_rules.GRID if sum(ratio(q, r) > c for q in good) * len(rules) <= b * len(good)), None) for r in rules}
+            lost = lambda q: any(cut[r] is not None and ratio(q, r) > cut[r] for r in rules)  # noqa: B023, E731
+            test = [x[2] for x in own if x[3] and x[0] not in first]
+            k, n = sum(map(lost, test)), len(test)
+            p = sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1)) if k <= n * 0.01 else 1.0
+            caught = sum(lost(x[2]) for x in own if not x[3] and x[0] in first)
+            if p <= 0.05 / len(strata) / len(quality_rules.BUDGETS) and caught and (best is None or caught > best[0]):
+                best = caught, cut
+        if best:
+            want[s] = best[1]
+    assert got == want and {"en", "de"} <= set(got) and "few" not in got
+
+
 # -- mixing ------------------------------------------------------------------------------------
 def mix_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
