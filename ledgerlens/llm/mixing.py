@@ -11,8 +11,11 @@ range, so no source is summed by one task; the cut is found likewise. Since a
 source's finish times follow its hash order, the cut is a hash position per
 source, and applying it moves no text.
 
-Null text has size 0 and null is a source of its own, the last. Empty tables
-give empty results. Whole documents are taken, never parts.
+Null text has size 0 and null is a source of its own, the last. The order goes
+by a hash of id and text, so rows without an id, or of one id with unlike texts,
+are spread like others; rows that are equal in both are taken together. Empty
+tables give empty results. Whole documents are taken, never parts. Columns that
+begin with two underscores are for the operator's own use; others pass through.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ def size_of(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
-def order_hash(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+def order_hash(id_col: str, seed: int, text_col: str = "text") -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES) -> DataFrame:

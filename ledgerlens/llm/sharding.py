@@ -8,7 +8,10 @@ rows, so a step's work is one map-side-combined sum.
 A single row over the limit gets a bucket of its own (oversize true). Rows that
 are the same in every hashed column share all 64 bits; if such copies exceed a
 limit together, their bucket continues in chained shards, as in the classic
-scheme. Null text has no bytes. An empty table gives an empty directory.
+scheme; they alone are numbered, by counts of the partitions they are written
+in. Null text has no bytes, null ids are ids like others. An empty table gives
+an empty directory. Columns of the names that shard() gives are replaced, those
+that begin with two underscores are for its own use, others pass through.
 """
 
 from __future__ import annotations
@@ -90,19 +93,26 @@ def shard(docs: DataFrame, limit: int = BYTE_LIMIT, text_col: str = "text", keys
     sizes = scratch.keep(docs.select(h.alias("h"), n.alias("bytes")), "sizes")
     found = directory(spark, sizes, limit, scratch)
     rows = place(docs.drop("shard", "depth", "n_bytes", "shard_bytes", "shard_docs", "oversize").withColumns({"__h": h, "__n": n}), found)
-    bits = F.substring(F.lpad(F.bin("__h"), 64, "0"), F.lit(1), F.col("__leaf.depth"))
-    copies = (F.col("__leaf.depth") == 64) & F.col("__leaf.oversize") & (F.col("__leaf.shard_docs") > 1)
-    if found[-1][0] == 64:  # whole copies that exceed the limit together
-        each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("__n"), F.lit(1))))
-        chained = rows.where(copies).withColumn("__chain", F.floor((F.row_number().over(W.partitionBy("__h").orderBy("__h")) - 1) / each).cast("string"))
-        rows = rows.where(~copies).withColumn("__chain", F.lit("")).unionByName(chained)
-    else:
-        rows = rows.withColumn("__chain", F.lit(""))
-    name = F.concat(F.lit("s"), bits, F.when(F.col("__chain") != "", F.concat(F.lit("."), F.col("__chain"))).otherwise(""))
-    own = F.col("__chain") != ""
-    done = {
-        "shard": name, "depth": F.col("__leaf.depth").cast("long"), "n_bytes": F.col("__n"),
-        "shard_bytes": F.when(own, F.sum("__n").over(W.partitionBy("__h", "__chain"))).otherwise(F.col("__leaf.shard_bytes")) if found[-1][0] == 64 else F.col("__leaf.shard_bytes"),
-        "shard_docs": F.col("__leaf.shard_docs"), "oversize": F.col("__leaf.oversize") & ~own,
-    }
-    return rows.withColumns(done).drop("__h", "__n", "__leaf", "__chain")
+    bits = F.concat(F.lit("s"), F.substring(F.lpad(F.bin("__h"), 64, "0"), F.lit(1), F.col("__leaf.depth")))
+    rows = rows.withColumn("__own", F.struct(bits.alias("shard"), F.col("__leaf.shard_bytes").alias("bytes"), F.col("__leaf.shard_docs").alias("docs"), F.col("__leaf.oversize").alias("oversize")))
+    if found[-1][0] == 64:
+        copies = (F.col("__leaf.depth") == 64) & F.col("__leaf.oversize") & (F.col("__leaf.shard_docs") > 1)
+        rows = rows.where(~copies).unionByName(_chained(rows.where(copies), limit, scratch))
+    own = {"shard": F.col("__own.shard"), "depth": F.col("__leaf.depth").cast("long"), "n_bytes": F.col("__n"), "shard_bytes": F.col("__own.bytes"), "shard_docs": F.col("__own.docs"), "oversize": F.col("__own.oversize")}
+    return rows.withColumns(own).drop("__h", "__n", "__leaf", "__own")
+
+
+def _chained(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Rows that exceed the limit only together, dealt to chained shards: numbered within the partitions they are written in, and these by their counts."""
+    written = scratch.keep(rows.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}), "copies")
+    counts = written.groupBy("__h", "__p").agg(F.count(F.lit(1)).alias("k"), F.max("__n").alias("n"))
+    w = W.partitionBy("__h")  # a row per partition
+    before = counts.select(F.col("__h").alias("__h1"), F.col("__p").alias("__p1"), (F.sum("k").over(w.orderBy("__p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")).alias("__before"), F.max("n").over(w).alias("__most"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("__most"), F.lit(1))))
+    rank = F.col("__before") + F.row_number().over(W.partitionBy("__h", "__p").orderBy("__m")) - 1
+    dealt = written.join(before, (F.col("__h") == F.col("__h1")) & (F.col("__p") == F.col("__p1"))).withColumn("__chain", F.floor(rank / each))
+    sums = dealt.groupBy(F.col("__h").alias("__h2"), F.col("__chain").alias("__c2")).agg(F.sum("__n").alias("__bytes"), F.count(F.lit(1)).alias("__docs"))
+    dealt = dealt.join(sums, (F.col("__h") == F.col("__h2")) & (F.col("__chain") == F.col("__c2")))
+    name = F.concat(F.col("__own.shard"), F.lit("."), F.col("__chain").cast("string"))
+    own = F.struct(name.alias("shard"), F.col("__bytes").alias("bytes"), F.col("__docs").alias("docs"), (F.col("__bytes") > limit).alias("oversize"))
+    return dealt.withColumn("__own2", own).select(*[F.col(f"`{c}`") for c in rows.columns if c != "__own"], F.col("__own2").alias("__own"))

@@ -290,6 +290,9 @@ def test_mix_of_awkward_rows(spark):
     many = spark.createDataFrame([(i, "a b c d " * (1 + i % 7), f"s{i % 5}" if i % 3 else "hot") for i in range(5000)], "doc_id long, text string, source string")
     rows = mixing.with_taken(many, mixing.cuts(spark, many)).select("doc_id", F.col("__size").alias("size"), "__cut.source_size", "__cut.target", (F.col("__size") * F.col("__times")).alias("taken")).collect()
     check_mix(rows, [tuple(r) for r in many.collect()])
+    nameless = spark.createDataFrame([(None, f"w{i} " * (1 + i % 9), "a" if i % 3 else "b") for i in range(1200)], "doc_id long, text string, source string")
+    taken = mixing.with_taken(nameless, mixing.cuts(spark, nameless)).groupBy("source").agg(F.sum(F.col("__size") * F.col("__times")).alias("taken"), F.first("__cut.target").alias("target"), F.countDistinct("__times").alias("kinds")).collect()
+    assert all(abs(r.taken - r.target) <= 20 for r in taken) and max(r.kinds for r in taken) > 1
 
 
 # -- sharding ----------------------------------------------------------------------------------
@@ -321,6 +324,15 @@ def test_shards_of_awkward_rows(spark):
         n[r.shard] += 1
     assert all(v <= 1000 or n[k] == 1 for k, v in total.items())
     assert sharding.shard(empty(spark), 10).count() == 0
+    same = spark.createDataFrame([(1, "x" * 100, "kept", 5)] * 500 + [(2, "y" * 30, "kept", 5)] * 7, "doc_id long, text string, bytes string, before int").repartition(6)
+    total, n = Counter(), Counter()
+    for r in sharding.shard(same, 1000).collect():
+        total[r.shard] += r.n_bytes
+        n[r.shard] += 1
+        assert (r.bytes, r.before) == ("kept", 5) and not r.oversize
+    assert sum(n.values()) == 507 and max(total.values()) <= 1000 and sorted(total.values()).count(1000) == 50
+    for r in sharding.shard(same, 1000).collect():
+        assert r.shard_bytes == total[r.shard] and r.shard_docs == n[r.shard]
 
 
 # -- archives ----------------------------------------------------------------------------------
