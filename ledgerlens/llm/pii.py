@@ -1,12 +1,16 @@
 """PII spans, natively: patterns propose, checksums confirm, context words adjust a score.
 
 Each kind's pattern runs once over the whole text: matches are wrapped in a
-marker character, the text is split there, and the lengths of the pieces give
-code-point offsets. The patterns use possessive quantifiers and lookbehinds so
-that every run of characters is read once, however long it is, without
-changing what the plain leftmost patterns match.
-
-Null text counts as empty. Repeated rows give repeated results.
+marker character, the text is split there, and running sums of the pieces'
+lengths, by doubling, give code-point offsets. The patterns use possessive
+quantifiers and lookbehinds so that every run of characters is read once,
+however long it is, without changing what the plain leftmost patterns match.
+Words in the WINDOW characters on either side of a span raise its score, or
+lower it if they speak for another kind of number; base kinds are kept at any
+score, added kinds from ADDED_MIN_SCORE on.
+
+Null text counts as empty. Repeated rows give repeated results, null ids are
+ids like others, other columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,8 +44,10 @@ CONTEXT = {
     "iban": "iban|bank|account|transfer",
     "ssn": "ssn|social|security",
 }
-#: Confidence of a span by its pattern and checksum alone; nearby words add CONTEXT_ADDS.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+#: Words near a span that speak for another kind of number.
+AGAINST = "order|invoice|version|release|isbn|part|serial|item|section|page"
+#: Confidence of a span by its pattern and checksum alone; nearby words add or take CONTEXT_ADDS.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 CONTEXT_ADDS, WINDOW, ADDED_MIN_SCORE = 0.2, 40, 0.5
 
 
@@ -88,26 +94,35 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-SPANS = "array<struct<start:int,end:int,match:string,before:string>>"
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(numbers: Column) -> Column:
+    """The running sums of an array: shifted copies are added, at twice the distance each time."""
+    n = F.size(numbers)
+    shifts = F.transform(F.sequence(F.lit(0), F.length(F.bin((n - 1).cast("long"))) - 1), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(shifts, numbers, lambda acc, k: F.zip_with(acc, F.slice(F.concat(F.array_repeat(F.lit(0), k), acc), F.lit(1), F.size(acc)), lambda x, y: x + y))
 
 
 def _spans_of(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind in a text, as structs (start, rank, kind, end, match, score)."""
 
-    def grow(acc, part):
-        """acc: characters and pieces so far, what stood before, and spans; every second piece is a match."""
-        end, is_match = acc["at"] + F.length(part), acc["i"] % 2 == 1
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("match"), acc["before"].alias("before"))
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.when(is_match, "").otherwise(F.right(part, F.lit(WINDOW))).alias("before"), F.when(is_match, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def cut(parts, ends):
+        """Every second piece is a match."""
+        piece = lambda i: F.get(parts, i)
+        span = lambda i: F.struct(F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), piece(i).alias("match"), F.concat_ws(" ", F.right(piece(i - 1), F.lit(WINDOW)), F.left(piece(i + 1), F.lit(WINDOW))).alias("near"))
+        places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+        return F.transform(places, span)
 
     parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}"), MARK, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("before"), F.from_json(F.lit("[]"), SPANS).alias("spans"))
-    proposed = F.aggregate(parts, zero, grow, lambda a: a["spans"])
+    proposed = _let(parts, lambda p: _let(_running(F.transform(p, lambda x: F.length(x))), lambda e: cut(p, e)))
 
     def scored(s):
-        near = F.lower(s["before"]).rlike(rf"\b(?:{CONTEXT[kind]})")
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, CONTEXT_ADDS).otherwise(0.0))
-        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), score.alias("score"))
+        says = lambda words: F.lower(s["near"]).rlike(rf"\b(?:{words})")
+        score = F.lit(PRIOR[kind]) + F.when(says(CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0) - F.when(says(AGAINST), CONTEXT_ADDS).otherwise(0.0)
+        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), F.round(F.least(F.lit(1.0), score), 6).alias("score"))
 
     spans = F.transform(F.filter(proposed, lambda s: _confirmed(kind, s["match"])), scored)
     if kind not in BASE:
