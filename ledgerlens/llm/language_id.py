@@ -6,7 +6,9 @@ are scored by gathering its rows and summing them per text.
 
 Null texts and texts without a letter are und with score 0. Without labels
 every text is und. Ties go to the first language in order. Repeated rows count
-as often as they occur.
+as often as they occur. More than MAX_LANGUAGES labels raise ValueError: they
+are no languages, and the matrix is broadcast. Rows without an id are not held
+out. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ BUCKETS = len(ORDERS) << BITS
 SMOOTH = 0.5
 #: About so many labelled rows, chosen by a hash of the id, are learned from; all if there are fewer.
 TRAIN_ROWS = 60_000
+#: So many languages make a matrix of 64 MB.
+MAX_LANGUAGES = 128
+#: Characters of a text that are hashed at once.
+PIECE_CHARS = 1 << 20
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -33,7 +39,12 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lowered = [t.decode("utf-8", "replace").lower() for t in texts]
     padded = [f" {t}   " for t in lowered]
     starts = np.concatenate(([0], np.cumsum([len(t) for t in padded])))[:-1].astype(np.int64)
-    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _buckets("".join(padded)), starts, np.array([_has_letter(t) for t in lowered], bool)
+
+
+def _buckets(text: str) -> np.ndarray:
+    """The bucket of the n-gram from each character on, one row per order."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = []
     for k, n in enumerate(ORDERS):
         h = np.zeros(len(c), np.uint32)
@@ -41,7 +52,20 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h[: len(c) - i] = (h[: len(c) - i] ^ c[i:]) * np.uint32(MULTIPLIERS[i])
             h ^= h >> np.uint32(15)
         out.append((h >> np.uint32(32 - BITS)).astype(np.int64) + (k << BITS))
-    return np.stack(out) if len(c) else np.zeros((len(ORDERS), 0), np.int64), starts, np.array([_has_letter(t) for t in lowered], bool)
+    return np.stack(out) if len(c) else np.zeros((len(ORDERS), 0), np.int64)
+
+
+def _long_parts(text: bytes) -> tuple[Iterator[np.ndarray], bool]:
+    """grams() of a long text, part after part."""
+    lowered = text.decode("utf-8", "replace").lower()
+    padded, more = f" {lowered}   ", max(ORDERS) - 1
+
+    def parts():
+        for at in range(0, len(padded), PIECE_CHARS):
+            end = min(len(padded), at + PIECE_CHARS)
+            yield _buckets(padded[at : end + more])[:, : end - at]
+
+    return parts(), _has_letter(lowered)
 
 
 def _has_letter(text: str) -> bool:
@@ -55,7 +79,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs) if x == lang]
-                total[lang] = total.get(lang, 0) + np.bincount(grams(own)[0].ravel(), minlength=BUCKETS)
+                for found in _long_parts(own[0])[0] if len(own) == 1 else [grams(own)[0]]:
+                    total[lang] = total.get(lang, 0) + np.bincount(found.ravel(), minlength=BUCKETS)
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -71,10 +96,14 @@ class Model:
         self.prior = np.log(texts / max(1, texts.sum()))
 
     def score(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        buckets, starts, letters = grams(texts)
         if not texts or not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        logs = self.prior + sum(np.add.reduceat(self.table[row], starts, axis=0, dtype=np.float64) for row in buckets)
+        if len(texts) == 1:
+            parts, letter = _long_parts(texts[0])
+            logs, letters = self.prior + sum(self.table[row].sum(axis=0, dtype=np.float64) for part in parts for row in part)[None], np.array([letter])
+        else:
+            buckets, starts, letters = grams(texts)
+            logs = self.prior + sum(np.add.reduceat(self.table[row], starts, axis=0, dtype=np.float64) for row in buckets)
         best = logs.argmax(axis=1)
         share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
         return [self.languages[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, share, 0.0)
@@ -87,7 +116,9 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """docs: doc_id, text and lang; rows with a null text or lang teach nothing."""
     own = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    by = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    by = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(by) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     total = sum(by.values())
     if total > train_rows:
         own = own.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < int(1e6 * train_rows / total))

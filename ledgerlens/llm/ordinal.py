@@ -2,14 +2,18 @@
 
 P(grade > k) = sigmoid(w.x - t_k): one weight per hashed feature, shared by
 all grades, and ordered thresholds t_0 < t_1 < .... Features are the presence
-of words (lower-cased) and of character pairs. Those whose presence goes with
-lower grades beyond chance are fitted, with weights of at most 0: they are
-defects, so a grade doesn't rise with a text's length. Others have weight 0.
-
-Grades of a label: 0 toxic, 1 bad, 2 good. Null texts have no
-features and get the grade that the thresholds alone give. Without labels, or
-with one grade only, every document has the same probabilities. Repeated rows
-and labels count as often as they occur.
+of words (lower-cased) and of pairs of bytes, each over the root of the number
+of a text's features, so that length alone doesn't move a grade. All of them
+are fitted, by limited-memory quasi-Newton steps on the likelihood with a
+ridge. The ridge is weaker for features that are more frequent on one side of
+the top grade than on the other: a weight is the product of a fitted number and
+the size of the logarithm of that ratio, plus EVEN.
+
+Grades of a label: 0 toxic, 1 bad, 2 good. Null texts and texts without
+features get the grade that the thresholds alone give, and so does every
+document where there are no labels or one grade only. Repeated rows and labels
+count as often as they occur; labels without an id meet no document. An empty
+table of documents gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,103 +25,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.kernels import ALNUM, joined_hashes, slices
+from ledgerlens.llm.common import whole
+from ledgerlens.llm.kernels import ALNUM, PIECE, joined_hashes, slices
 
-BITS, GRADES = 22, 3
-#: About so many labelled rows, chosen by a hash of the id, are fitted; all if there are fewer.
-TRAIN_ROWS = 20_000
-MAX_FEATURES, LEAST_Z, STEPS, RATE, RIDGE = 4096, 4.0, 300, 0.1, 1e-4
+BITS, GRADES = 18, 3
+#: About so many labelled rows, and bytes of text, chosen by a hash of the id, are fitted; all if there are fewer.
+TRAIN_ROWS, TRAIN_BYTES = 12_000, 60_000_000
+STEPS, MEMORY, RIDGE, EVEN = 120, 8, 3e-5, 0.05
+#: Features that are expanded at once in fitting.
+FIT_VALUES = 1_000_000
 KEEP_TAIL = 0.5
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs of texts, sorted: words in even buckets, character pairs in odd ones."""
+    """Distinct (text, feature) pairs of texts, sorted: words in even buckets, pairs of bytes in odd ones."""
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        parts = [features([x])[1] for x in _segments(texts[0])]
+        own = np.unique(np.concatenate(parts))
+        return np.zeros(len(own), np.int64), own
     words, starts, counts = joined_hashes(texts, ALNUM)
     text = np.repeat(np.arange(len(texts)), counts)
-    at = (words >> np.uint64(65 - BITS)).astype(np.int64) * 2
-    parts = [text << BITS | at]
+    parts = [text << BITS | (words >> np.uint64(65 - BITS)).astype(np.int64) << 1]
     raw = np.frombuffer(b"\x00".join(texts), np.uint8)
-    if len(raw) > 1:
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        pair = raw[:-1].astype(np.int64) << 8 | raw[1:]
-        seen = np.zeros((len(texts), 1 << 16), bool) if len(texts) <= 256 else None
-        own = np.searchsorted(ends, np.arange(len(pair)), "right")
-        if seen is not None:
-            seen[own, pair] = True
-            t, p = np.nonzero(seen)
-        else:
-            both = np.unique(own << 16 | pair)
-            t, p = both >> 16, both & 0xFFFF
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    for at in range(0, len(texts), 256):  # a table of what pairs each text has
+        begin, end = (int(ends[at - 1]) if at else 0), int(ends[min(at + 256, len(texts)) - 1]) - 1
+        own = raw[begin:end]
+        seen = np.zeros((min(256, len(texts) - at), 1 << 16), bool)
+        size = np.diff(ends[at : at + 256], prepend=begin)
+        seen[np.repeat(np.arange(len(size)), size)[: max(0, len(own) - 1)], own[:-1].astype(np.int64) << 8 | own[1:]] = True
+        t, p = np.nonzero(seen)
+        t += at
         fine = (p & 0xFF != 0) & (p >> 8 != 0)
         parts.append(t[fine] << BITS | ((p[fine] * 0x9E3779B1 >> 7) & ((1 << BITS - 1) - 1)) << 1 | 1)
     both = np.unique(np.concatenate(parts))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
+def _segments(data: bytes) -> Iterator[bytes]:
+    """A long text in parts of about PIECE bytes that begin and end at a space, so that no word is cut and every pair is in one."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE // 2)
+        end = len(data) if end < 0 else end + 1
+        yield data[max(0, at - 1) : end]
+        at = end
+
+
 class Model:
-    """weights: of all features, kept as those that aren't 0; thresholds: in order."""
+    """weights: of all features; thresholds: in order."""
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.at = np.flatnonzero(weights)
-        self.values, self.thresholds = weights[self.at], thresholds
-
-    def weight(self, feature: np.ndarray) -> np.ndarray:
-        if not len(self.at):
-            return np.zeros(len(feature))
-        i = np.minimum(np.searchsorted(self.at, feature), len(self.at) - 1)
-        return np.where(self.at[i] == feature, self.values[i], 0.0)
+        self.weights, self.thresholds = weights.astype(np.float32), thresholds
 
     def tails(self, texts: list[bytes]) -> np.ndarray:
         """Per text: P(grade > k) for each threshold."""
         t, f = features(texts)
-        x = np.bincount(t, self.weight(f), minlength=len(texts)) if len(t) else np.zeros(len(texts))
+        x = np.bincount(t, self.weights[f], minlength=len(texts)) / np.sqrt(np.maximum(np.bincount(t, minlength=len(texts)), 1))
         return 1 / (1 + np.exp(-np.clip(x[:, None] - self.thresholds, -40, 40)))
 
 
+class Rows:
+    """The features of texts one after another, where each text's begin, and the texts' grades."""
+
+    def __init__(self, rows: list[np.ndarray], grades: np.ndarray):
+        self.flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.starts, self.grades = np.concatenate(([0], np.cumsum(self.size))), grades
+        self.cuts = np.unique(np.searchsorted(self.starts, np.arange(0, self.starts[-1] + FIT_VALUES, FIT_VALUES), "left").clip(max=len(rows)))
+        self.cuts = np.unique(np.concatenate(([0], self.cuts, [len(rows)])))
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of a block of texts at a time: features, the text of each, grades, and one over the root of each text's size."""
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            size = self.size[a:b]
+            yield self.flat[self.starts[a] : self.starts[b]], np.repeat(np.arange(b - a), size), self.grades[a:b], 1 / np.sqrt(np.maximum(size, 1))
+
+
+def strength(rows: Rows) -> np.ndarray:
+    """Of every feature, EVEN and the absolute logarithm of its smoothed share of texts below the top grade over that of the others."""
+    counts = np.zeros((2, 1 << BITS))
+    for f, text, y, _ in rows.blocks():
+        top = y == GRADES - 1
+        for side in (0, 1):
+            counts[side] += np.bincount(f[top[text] == side], minlength=1 << BITS)
+    n = np.bincount(rows.grades == GRADES - 1, minlength=2)
+    shares = (counts + 1) / (n[:, None] + 2)
+    return EVEN + np.abs(np.log(shares[0] / shares[1]))
+
+
+def loss(point: np.ndarray, rows: Rows, scale: np.ndarray, ridge: float = RIDGE) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with the ridge, and its gradient, at a point: weights over their scale, the first threshold, logarithms of the gaps."""
+    n, k = len(rows.size), GRADES - 1
+    gaps, w = point[-k:], point[:-k] * scale
+    steps = np.concatenate((gaps[:1], np.exp(gaps[1:])))
+    thresholds = np.cumsum(steps)
+    value, g_w, g_t = ridge / 2 * float(point[:-k] @ point[:-k]), np.zeros(len(w)), np.zeros(k)
+    for f, text, y, share in rows.blocks():
+        m = len(y)
+        x = np.bincount(text, w[f], minlength=m) * share
+        s = 1 / (1 + np.exp(-np.clip(x[:, None] - thresholds, -40, 40)))
+        one, none, i = np.ones((m, 1)), np.zeros((m, 1)), np.arange(m)
+        p = np.maximum((np.concatenate((one, s), axis=1) - np.concatenate((s, none), axis=1))[i, y], 1e-12)
+        slope = np.concatenate((none, s * (1 - s), none), axis=1)
+        low, high = slope[i, y] / p, slope[i, y + 1] / p
+        value -= float(np.log(p).sum()) / n
+        g_w += np.bincount(f, ((high - low) * share / n)[text], minlength=len(w))
+        g_t += np.array([low[y == j + 1].sum() - high[y == j].sum() for j in range(k)]) / n
+    g_gaps = np.cumsum(g_t[::-1])[::-1] * np.concatenate(([1.0], steps[1:]))
+    return value, np.concatenate((g_w * scale + ridge * point[:-k], g_gaps))
+
+
+def minimise(f, x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with backtracking from x on a function that gives its value and gradient."""
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    value, g = f(x)
+    for _ in range(steps):
+        d, used = -g, []
+        for s, y in reversed(pairs):
+            used.append((d @ s) / (y @ s))
+            d = d - used[-1] * y
+        if pairs:
+            d = d * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]))
+        for (s, y), a in zip(pairs, reversed(used)):
+            d = d + (a - (d @ y) / (y @ s)) * s
+        step = 1.0 if pairs else 1 / max(1.0, float(np.abs(g).sum()))
+        for _ in range(30):
+            following, slope = f(x + step * d)
+            if following <= value + 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            break
+        s, y = step * d, slope - g
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-MEMORY:]
+        x, value, g = x + s, following, slope
+        if np.abs(g).max() < 1e-6:
+            break
+    return x
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     """rows: the features of each text; grades: 0 to GRADES - 1."""
-    weights, n = np.zeros(1 << BITS), len(rows)
+    n = len(rows)
     share = np.array([(np.sum(grades > k) + 1) / (n + 2) for k in range(GRADES - 1)])
-    thresholds = -np.log(share / (1 - share))
+    thresholds = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
     if n == 0 or grades.std() == 0:
-        return Model(weights, np.maximum.accumulate(thresholds + 1e-6 * np.arange(GRADES - 1)))
-    text, feature = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
-    seen = np.bincount(feature, minlength=1 << BITS)
-    z = np.bincount(feature, (grades - grades.mean())[text], minlength=1 << BITS) / np.sqrt(np.maximum(seen * (1 - seen / n), 1) * grades.var())
-    chosen = np.sort(np.argsort(z, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[z[chosen] <= -LEAST_Z]
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    fine = place[feature] >= 0
-    text, feature = text[fine], place[feature[fine]]
-    w, gaps = np.zeros(len(chosen)), np.concatenate(([thresholds[0]], np.log(np.maximum(np.diff(thresholds), 1e-3))))
-    m = [np.zeros(len(w) + len(gaps)), np.zeros(len(w) + len(gaps))]
-    for step in range(1, STEPS + 1):  # Adam on the cumulative-link likelihood
-        t = np.cumsum(np.concatenate((gaps[:1], np.exp(gaps[1:]))))
-        x = np.bincount(text, w[feature], minlength=n)
-        s = 1 / (1 + np.exp(-np.clip(x[:, None] - t, -40, 40)))
-        upper, lower = np.concatenate((np.ones((n, 1)), s), axis=1), np.concatenate((s, np.zeros((n, 1))), axis=1)
-        p = np.maximum(upper - lower, 1e-12)[np.arange(n), grades]
-        slope = np.concatenate((np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))), axis=1)
-        low, high = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
-        g_x = -(low - high) / n
-        g_t = np.array([((grades == k + 1) * low - (grades == k) * high).sum() for k in range(GRADES - 1)]) / n
-        g_gaps = np.cumsum(g_t[::-1])[::-1] * np.concatenate(([1.0], np.exp(gaps[1:])))
-        g = np.concatenate((np.bincount(feature, g_x[text], minlength=len(w)) + RIDGE * w, g_gaps))
-        m[0] = 0.9 * m[0] + 0.1 * g
-        m[1] = 0.99 * m[1] + 0.01 * g * g
-        change = RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8) * min(1, 2 * (1 - step / (STEPS + 1)))
-        w, gaps = np.minimum(w - change[: len(w)], 0.0), gaps - change[len(w) :]
-    weights[chosen] = w
-    return Model(weights, np.cumsum(np.concatenate((gaps[:1], np.exp(gaps[1:])))))
+        return Model(np.zeros(1 << BITS), thresholds)
+    start = np.concatenate((np.zeros(1 << BITS), thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))))
+    own = Rows(rows, grades)
+    scale = strength(own)
+    best = minimise(lambda x: loss(x, own, scale), start)
+    gaps = best[-(GRADES - 1) :]
+    return Model(best[: 1 << BITS] * scale, np.cumsum(np.concatenate((gaps[:1], np.exp(gaps[1:])))))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
     """Fits a bounded number of labelled documents; their features, not their texts, come to the driver."""
     graded = labels.where("quality is not null").select(F.col(id_col).alias("__id"), F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1).cast("long").alias("__grade"))
     total = graded.count()
-    if total > train_rows:
-        graded = graded.where(F.pmod(F.xxhash64(F.lit("grade"), "__id"), F.lit(1_000_000)) < int(1e6 * train_rows / total))
+    mean = docs.agg(F.avg(F.octet_length(whole(F.col("text"))))).first()[0] or 0.0
+    rate = min(1.0, train_rows / max(1, total), TRAIN_BYTES / max(1.0, total * mean))
+    if rate < 1:
+        graded = graded.where(F.pmod(F.xxhash64(F.lit("grade"), "__id"), F.lit(1_000_000)) < int(1e6 * rate))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     # About train_rows rows of a few numbers: bounded, so broadcast, and the texts stay where they are.
     rows = docs.join(F.broadcast(graded), F.col(id_col) == F.col("__id")).select("__id", "__grade", "text")
     own = rows.mapInArrow(reduce, f"__id {dict(labels.dtypes)[id_col]}, __grade long, f binary").toArrow().sort_by("__id")
-    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in own["f"].to_pylist()], own["__grade"].to_numpy() if own.num_rows else np.zeros(0, np.int64))
+    return fit([np.frombuffer(x, np.int32) for x in own["f"].to_pylist()], own["__grade"].to_numpy() if own.num_rows else np.zeros(0, np.int64))
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

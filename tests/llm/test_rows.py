@@ -8,12 +8,13 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, language_id, mixing, ordinal, pii, quality_rules, queries, sharding, warc
 from ledgerlens.llm.common import Scratch
-from tests.llm.cases import DOCS, LONG, awkward, empty, labels
+from tests.llm.cases import awkward, empty, labels
 
 DATA = "/root/testdata/sf0.001"
 
@@ -418,5 +419,81 @@ def test_grades_of_held_out_labels(spark):
     assert len(ordinal.grade(odd, ordinal.train(odd, labels(spark, [(4, None, None)]))).collect()) == odd.count()
 
 
-def test_names():
-    assert len(DOCS) and len(LONG) > 1_000_000
+def plain_grams(text):
+    """Buckets of the pairs and triples of a padded, lower-cased text, by whole numbers."""
+    t = f" {text.lower()}   "
+    for k, n in enumerate(language_id.ORDERS):
+        for at in range(len(t)):
+            h = 0
+            for i in range(n):
+                if at + i < len(t):
+                    h = ((h ^ ord(t[at + i])) * language_id.MULTIPLIERS[i]) % 2**32
+                h ^= h >> 15
+            yield (h >> (32 - language_id.BITS)) + (k << language_id.BITS)
+
+
+def test_languages_match_plain_naive_bayes(spark, docs, monkeypatch):
+    own = [(d, t, x) for d, t, x, _ in docs if t and len(t) < 3000][:80]
+    counts, texts = defaultdict(Counter), Counter(x for _, _, x in own if x)
+    for _, t, x in own:
+        if x:
+            counts[x].update(plain_grams(t))
+    langs = sorted(texts)
+    size, half = 1 << language_id.BITS, language_id.SMOOTH
+    total = {x: [sum(n for b, n in counts[x].items() if b >> language_id.BITS == k) for k in range(2)] for x in langs}
+    frame = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    model = language_id.train(frame)
+    assert model.languages == langs
+    monkeypatch.setattr(language_id, "PIECE_CHARS", 50)
+    for d, t, _ in own[:25]:
+        grams = list(plain_grams(t))
+        logs = [math.log(texts[x] / sum(texts.values())) + sum(math.log((counts[x][b] + half) / (total[x][b >> language_id.BITS] + half * size)) for b in grams) for x in langs]
+        top = max(logs)
+        want = langs[logs.index(top)], 1 / sum(math.exp(v - top) for v in logs)
+        for texts_ in ([t.encode()], [t.encode(), b"other text"]):  # piece by piece, and with others
+            got, score = model.score(texts_)
+            assert got[0] == want[0] and score[0] == pytest.approx(want[1], abs=1e-3)
+    many = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        language_id.train(many)
+
+
+def test_grades_match_plain_likelihood(monkeypatch):
+    """Features, likelihood and gradient by plain Python, and a fit that uses every feature."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["good", "bad", "vile", "word", "é"]) + str(rng.randint(0, 3)) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    t, f = ordinal.features([x.encode() for x in texts])
+    rows = [f[t == i].astype("int32") for i in range(len(texts))]
+    for x, r in zip(texts, rows):
+        b = x.encode()
+        pairs = {(((b[i] << 8 | b[i + 1]) * 0x9E3779B1 >> 7) & ((1 << ordinal.BITS - 1) - 1)) << 1 | 1 for i in range(len(b) - 1)}
+        assert {v for v in r.tolist() if v & 1} == pairs
+        assert len([v for v in r.tolist() if not v & 1]) == len(set(words(x)))
+    grades = np.array([0 if "vile" in x else 1 if x.count("bad") > x.count("good") else 2 for x in texts])
+    point = np.concatenate((np.random.default_rng(1).normal(0, 1, 1 << ordinal.BITS), [-1.0, 0.3]))
+    monkeypatch.setattr(ordinal, "FIT_VALUES", 100)
+    own = ordinal.Rows(rows, grades)
+    scale = ordinal.strength(own)
+    for i in rows[0][:5]:
+        low, high = ([r for r, y in zip(rows, grades) if (y == 2) == top] for top in (False, True))
+        share = lambda side: (sum(i in r for r in side) + 1) / (len(side) + 2)  # noqa: B023, E731
+        assert scale[i] == pytest.approx(0.05 + abs(math.log(share(low) / share(high))))
+    value, gradient = ordinal.loss(point, own, scale)
+    cut = [-1.0, -1.0 + math.exp(0.3)]
+    total = 0.0
+    for r, y in zip(rows, grades):
+        x = sum(point[v] * scale[v] for v in r) / math.sqrt(max(1, len(r)))
+        tail = [1.0, *(1 / (1 + math.exp(c - x)) for c in cut), 0.0]
+        total -= math.log(tail[y] - tail[y + 1]) / len(rows)
+    assert value == pytest.approx(total + ordinal.RIDGE / 2 * float(point[:-2] @ point[:-2]), rel=1e-9)
+    for i in [*rows[0][:3], *rows[1][-3:], len(point) - 2, len(point) - 1]:
+        step = np.zeros(len(point))
+        step[i] = 1e-5
+        assert gradient[i] == pytest.approx((ordinal.loss(point + step, own, scale)[0] - ordinal.loss(point - step, own, scale)[0]) / 2e-5, abs=1e-6)
+    model = ordinal.fit(rows, grades)
+    assert np.count_nonzero(model.weights) == len(np.unique(f))
+    tails = model.tails([x.encode() for x in texts])
+    assert ((tails > 0.5).sum(axis=1) == grades).mean() > 0.9
+    monkeypatch.setattr(ordinal, "PIECE", 64)
+    whole_text = " ".join(texts).encode()
+    assert ordinal.features([whole_text])[1].tolist() == ordinal.features([whole_text, b""])[1].tolist()
