@@ -23,9 +23,13 @@ components of both kinds of links are the classes. So all pairs of a bucket
 are compared or connected; a bucket of n unlike members costs up to n^2 / 2
 comparisons, and a copy of each text for every BLOCK of them. No group of documents is held by one task or the driver.
 
-Texts without words and rows without an id are alone. Texts of fewer words
-than a shingle have one shingle of all their words. Rows that repeat an id
-belong to one class if they have the same words; first_of_class keeps one.
+Texts are known by a hash of their words, not by their ids, so rows without an
+id and rows that repeat one are classed by their words like others. The class
+id is the smallest id of a class, null if none has one. Texts without words are
+alone. Texts of fewer words than a shingle have one shingle of all their words.
+Of rows that are equal in id and text, first_of_class keeps one. Empty tables
+give empty results; other columns are ignored, or pass through first_of_class,
+for whose own use are names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -111,7 +115,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([xxhash.xxh3_128_digest(p) if p else None for p in plain], pa.binary()), pa.array([x.tobytes() for x in own.astype(np.uint16)], pa.binary()),
                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(np.bincount(text, minlength=len(texts)), pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "words", "sig", "keys", "size"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), *columns], names=["id", "h", "words", "sig", "keys", "size"])
 
 
 def forest(sigs: np.ndarray) -> list[tuple[int, int]]:
@@ -139,7 +143,7 @@ def forest(sigs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, chunk, whole, doc_id, sig), sorted: links within each chunk, and roots of its trees if it isn't the whole bucket."""
+    """Rows (key, chunk, whole, node, sig), sorted: links within each chunk, and roots of its trees if it isn't the whole bucket."""
     names = ["key", "a", "b", "sig"]
     kept: list[tuple] = []
     now = None
@@ -155,9 +159,9 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kinds = [pa.int64(), None, None, pa.binary()]
     for batch in batches:
-        kinds[1] = kinds[2] = batch.schema.field("doc_id").type
+        kinds[1] = kinds[2] = batch.schema.field("node").type
         out: list[tuple] = []
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "whole", "doc_id", "sig"))):
+        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "whole", "node", "sig"))):
             if r[:2] != now and kept:
                 out += done(kept)
                 kept = []
@@ -190,25 +194,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
 
-def _bucket_links(rows: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
-    """Links (a, b) among rows (key, doc_id, sig) of the same key."""
+def _bucket_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among rows (key, node, sig) of the same key."""
     links, turn, before = None, 0, None
     while True:
         sizes = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{turn}")  # written, so that a join can split hot keys
         chunks = F.ceil(F.col("n") / CHUNK)
-        chunk = F.pmod(F.xxhash64(F.lit(turn), "doc_id"), chunks)
-        own = rows.join(sizes, "key").select("key", chunk.alias("chunk"), (chunks == 1).alias("whole"), "doc_id", "sig")
-        ordered = own.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "doc_id")
-        made = scratch.keep(ordered.mapInArrow(_link, f"key long, a {kind}, b {kind}, sig binary"), f"links{turn}")
+        chunk = F.pmod(F.xxhash64(F.lit(turn), "node"), chunks)
+        own = rows.join(sizes, "key").select("key", chunk.alias("chunk"), (chunks == 1).alias("whole"), "node", "sig")
+        ordered = own.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
+        made = scratch.keep(ordered.mapInArrow(_link, "key long, a binary, b binary, sig binary"), f"links{turn}")
         found = made.where("b is not null").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        rows = made.where("b is null").select("key", F.col("a").alias("doc_id"), "sig")
+        rows = made.where("b is null").select("key", F.col("a").alias("node"), "sig")
         left = rows.count()
         if not left:
             return links.distinct()
         if before is not None and left > 0.7 * before:  # many unlike texts in a bucket: four longer keys instead of one
             longer = [F.xxhash64(F.col("key"), F.lit(j), F.substring("sig", 1 + 2 * 7 * (j + 4 * turn) % (2 * M - 10), 8)) for j in range(4)]
-            rows, left = rows.select(F.explode(F.array(*longer)).alias("key"), "doc_id", "sig"), None
+            rows, left = rows.select(F.explode(F.array(*longer)).alias("key"), "node", "sig"), None
         before, turn = left, turn + 1
 
 
@@ -228,7 +232,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Sche
 
 
 def unlike_pairs(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each of a cell's rows (key, i, j, block, doc_id, root, size, sig, ...) and later rows in other components that may be SIMILAR to it."""
+    """Each of a cell's rows (key, i, j, block, node, root, size, sig, ...) and later rows in other components that may be SIMILAR to it."""
     root = _codes([r[5] for r in rows])
     block, size = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
     sigs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), M)
@@ -281,27 +285,26 @@ def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for schema, rows in _groups(batches, 3):
         found = cell_links(rows)
         if found:
-            kind = schema.field("doc_id").type
+            kind = schema.field("node").type
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found)], names=["a", "b"])
 
 
-def _across(rows: DataFrame, members: DataFrame, roots: DataFrame, docs: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
-    """Verified links between members of a bucket that links haven't connected: of rows (key, doc_id), with members' sig and size."""
-    own = rows.join(members.select("doc_id", "size"), "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+def _across(rows: DataFrame, members: DataFrame, roots: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified links between members of a bucket that links haven't connected: of rows (key, node), with members' sig and size."""
+    own = rows.join(members.select("node", "size"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = scratch.keep(own, "rooted")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"))
     sizes = scratch.keep(sizes.where("n > 2 and low <> high").select("key", "n", blocks.alias("blocks")), "unlike")  # two members were compared; written, so that a join can split hot keys
-    block, other = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = own.join(sizes, "key").join(members.select("doc_id", "sig"), "doc_id").withColumn("block", block).withColumn("other", other)
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "size", "sig")
+    block, other = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = own.join(sizes, "key").join(members.select("node", "sig"), "node").withColumn("block", block).withColumn("other", other)
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "sig")
     cell = ["key", "i", "j"]
     found = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_unlike, cells.schema)
     found = scratch.keep(found, "unlikerows")
-    ends = found.select(F.col("doc_id").alias("e")).distinct()
-    used = scratch.keep(docs.join(ends.hint("merge"), F.col("doc_id") == F.col("e"), "left_semi").dropDuplicates(["doc_id"]), "unliketexts")  # the same plan at every size
-    full = found.join(used, "doc_id").select(*cells.columns, "text")
-    return scratch.keep(full.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify_cells, f"a {kind}, b {kind}"), "across")
+    used = scratch.keep(_texts(found.select("node").distinct(), members, docs), "unliketexts")
+    full = found.join(used, "node").select(*cells.columns, "text")
+    return scratch.keep(full.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify_cells, "a binary, b binary"), "across")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -324,47 +327,62 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         mark = tuple(check)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Per row with an id: doc_id, class_id (the smallest id of its class) and kept (it is that id)."""
+def _texts(nodes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of nodes, each by the row of its first member."""
+    first = nodes.join(members.select("node", F.col("first.id").alias("i"), F.col("first.h").alias("g")), "node")
+    rows = docs.join(first.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))  # the same plan at every size
+    return rows.select("node", "text").dropDuplicates(["node"])
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, h (a hash of the text), words, class_id, and whether its class keeps it."""
     scratch = Scratch(docs.sparkSession, "near")
-    kind = dict(docs.dtypes)["doc_id"]
-    own = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = scratch.keep(own.mapInArrow(_sign, f"doc_id {kind}, words binary, sig binary, keys array<long>, size long"), "signed")
-    exact = signed.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"), F.min("keys").alias("keys"), F.min("size").alias("size"))  # equal words have equal signatures
+    kind = dict(docs.dtypes)[id_col]
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    signed = scratch.keep(own.mapInArrow(_sign, f"id {kind}, h long, words binary, sig binary, keys array<long>, size long"), "signed")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    exact = signed.where("words is not null").groupBy(F.col("words").alias("node")).agg(F.min(first).alias("first"), F.min("sig").alias("sig"), F.min("keys").alias("keys"), F.min("size").alias("size"))  # equal words have equal signatures
     exact = scratch.keep(exact, "exact")
-    rows = exact.select(F.explode("keys").alias("key"), F.col("first").alias("doc_id"))
+    rows = exact.select(F.explode("keys").alias("key"), "node")
     shared = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     rows = scratch.keep(rows.join(shared, "key"), "shared")
-    links = scratch.keep(_bucket_links(rows.join(exact.select(F.col("first").alias("doc_id"), "sig"), "doc_id"), scratch, kind), "links")
-    roots = components(scratch.keep(_verified(links, own, scratch), "verified"), scratch)
-    more = _across(rows, exact.select(F.col("first").alias("doc_id"), "sig", "size"), roots, own, scratch, kind)
+    links = scratch.keep(_bucket_links(rows.join(exact.select("node", "sig"), "node"), scratch), "links")
+    roots = components(scratch.keep(_verified(links, exact, own, scratch), "verified"), scratch)
+    more = _across(rows, exact.select("node", "first", "sig", "size"), roots, own, scratch)
     if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), Scratch(docs.sparkSession, "near"))
-    exact = exact.select("words", "first").join(roots, F.col("first") == F.col("node"), "left").select("words", F.coalesce("root", "first").alias("class"))
-    rows = signed.select("doc_id", "words").join(exact, "words", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-    return rows.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+        again = Scratch(docs.sparkSession, "near-again")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), again)
+    nodes = scratch.keep(exact.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    best = nodes.groupBy("root").agg(F.min("first").alias("best"))
+    nodes = nodes.join(best, "root").select(F.col("node").alias("words"), "best")
+    rows = signed.select("id", "h", "words").join(nodes, "words", "left")
+    alone = F.col("words").isNull()
+    return rows.select("id", "h", "words", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"), (alone | (first == F.col("best"))).alias("kept"))
+
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, class_id (the smallest id of its class) and kept (it is the row that stays, or equal to it)."""
+    return _judged(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "kept")
 
-def _verified(links: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+
+def _verified(links: DataFrame, members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The links of SIMILAR or more. A text with many links is copied once for every SHARE of them, so none is hot."""
     many = links.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("n"))
-    ends = links.select(F.col("b").alias("e")).unionByName(links.select(F.col("a").alias("e"))).distinct()
-    ends = scratch.keep(ends, "ends")
-    used = scratch.keep(docs.join(ends.hint("merge"), docs["doc_id"] == ends["e"], "left_semi").dropDuplicates(["doc_id"]), "used")  # the same plan at every size
-    left = links.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).alias("copy")).join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    right = many.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
-    kind = dict(links.dtypes)["a"]
-    return left.join(right, ["a", "copy"]).select("a", "b", "ta", "tb").mapInArrow(_verify, f"a {kind}, b {kind}")
-
-
-def first_of_class(docs: DataFrame) -> DataFrame:
-    """docs without all but the first of each class; rows without an id stay. Repeated ids stay once."""
-    judged = Scratch(docs.sparkSession, "kept").keep(classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "judged")
-    lost = judged.where("not kept").select(F.col("doc_id").alias("__lost"))
-    out = docs.join(lost.hint("merge"), F.col("doc_id") == F.col("__lost"), "left_anti")  # the same plan at every size
-    again = judged.where("kept and n > 1").select(F.col("doc_id").alias("__again"))
+    ends = scratch.keep(links.select(F.col("b").alias("node")).unionByName(links.select(F.col("a").alias("node"))).distinct(), "ends")
+    used = scratch.keep(_texts(ends, members, docs), "used")
+    left = links.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).alias("copy")).join(used.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    right = many.join(used.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    return left.join(right, ["a", "copy"]).select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary")
+
+
+def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, without all but the first of each class: that of the smallest id, by a hash of the text at ties."""
+    judged = _judged(docs, id_col, text_col).groupBy(F.col("id").alias("__i"), F.col("h").alias("__h")).agg(F.max("kept").alias("kept"), F.count("words").alias("n"))
+    judged = Scratch(docs.sparkSession, "kept").keep(judged, "judged")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.xxhash64(text_col) == F.col("__h"))
+    out = docs.join(judged.where("not kept").select("__i", "__h").hint("merge"), same, "left_anti")  # the same plan at every size
+    again = judged.where("kept and n > 1").select("__i", "__h")
     if again.isEmpty():
         return out
-    single = out.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(single)
-
+    single = out.join(again.hint("merge"), same, "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(again.hint("merge"), same, "left_anti").unionByName(single)

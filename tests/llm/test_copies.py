@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import near_dedup, suffix_dedup
 from ledgerlens.llm.kernels import PLAIN, word_hashes
@@ -236,7 +237,7 @@ def test_classes_of_a_whole_table(spark):
 def test_classes_of_awkward_rows(spark):
     odd = awkward(spark)
     got = near_dedup.classes(odd).collect()
-    assert len(got) == odd.where("doc_id is not null").count()
+    assert len(got) == odd.count()
     assert {r.class_id for r in got if r.doc_id in (4, 5)} == {4}
     kept = near_dedup.first_of_class(odd)
     assert kept.columns == odd.columns
@@ -244,6 +245,47 @@ def test_classes_of_awkward_rows(spark):
     assert near_dedup.classes(empty(spark)).count() == 0 and near_dedup.first_of_class(empty(spark)).count() == 0
 
 
+def test_classes_with_repeated_and_null_ids(spark):
+    """Rows without an id and unlike texts under one id are classed by their words; equal rows stay once."""
+    rng = random.Random(8)
+    x, y, z = (shingled(rng, 100, [(), (50,)]) for _ in range(3))
+    rows = [(None, x[0]), (7, x[1]), (None, y[0]), (None, y[0]), (3, z[0]), (3, y[1]), (3, x[0]), (9, z[1]), (9, z[1]), (None, ""), (None, None), (None, "other words here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.classes(frame).collect())
+    assert got == Counter([(None, 3), (7, 3), (None, 3), (None, 3), (3, 3), (3, 3), (3, 3), (9, 3), (9, 3), (None, None), (None, None), (None, None)])
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.first_of_class(frame).collect())
+    assert kept == Counter([(3, z[0]), (3, y[1]), (3, x[0]), (None, ""), (None, None), (None, "other words here")])
+    words = near_dedup.classes(frame.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text")).collect()
+    assert {r.class_id for r in words} == {"d3", None}
+
+
+def test_families_of_edits(spark):
+    """Families of edited texts in which many pairs are just below the limit: no link is lost but by banding."""
+    rng = random.Random(1)
+    texts = [t for size in [60] * 6 + [400] for t in shingled(rng, 200, [set(rng.sample(range(200), rng.randint(0, 6))) for _ in range(size)])]
+    rows = list(enumerate(texts))
+    bags = [set(bag(t)) for t in texts]
+    links, root = [], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(bags[i] & bags[j])
+            if both and both >= 0.8 * (len(bags[i]) + len(bags[j]) - both):
+                links.append((i, j))
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) > 10_000 and sum(got[i] == got[j] for i, j in links) >= 0.995 * len(links)
+    true = Counter(find(i) for i in range(len(rows)))
+    kept = Counter((find(i), got[i]) for i in range(len(rows)))
+    pairs = lambda n: sum(k * (k - 1) // 2 for k in n.values())
+    assert pairs(kept) >= 0.99 * pairs(true) and len(set(got.values())) >= len(true)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(links, near_dedup.Scratch(spark, "chain")).collect()}
