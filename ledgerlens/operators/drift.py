@@ -1,8 +1,9 @@
 """Distribution drift between a baseline and a comparison table.
 
-All features are tested in one job: values are unpivoted to (feature, value,
-side) and counted per distinct value first, so the ordered windows see distinct
-values only and run per feature.
+All features are tested on one table: values are unpivoted to (feature, value,
+side), counted per distinct value and written in ranges of values with their
+running counts. Profiles, quantiles, Kolmogorov-Smirnov and rank sums all
+follow from these, so no task holds a feature.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.columns import chisq_p, erfc, ks_p
+from ledgerlens.functions.columns import chisq_p, erfc, ks_exact, ks_p
+from ledgerlens.functions.ranges import running
+from ledgerlens.sources.scratch import Scratch
 
 P_LIMIT, MAX_CATEGORIES, TINY = 0.05, 50, 1e-8
+#: Samples of up to so many values get exact Kolmogorov-Smirnov p-values.
+EXACT_VALUES = 10_000
 
 
 @dataclass(frozen=True)
@@ -53,12 +58,33 @@ def two_sided(base: DataFrame, other: DataFrame, features: list[str], kind: str
     return both.groupBy("feature", "value").agg(F.sum("a").cast("long").alias("a"), F.sum("b").cast("long").alias("b"))
 
 
+def counted(base: DataFrame, other: DataFrame, features: list[str]) -> DataFrame:
+    """two_sided() with running counts a_upto, b_upto and totals a_all, b_all of each feature, written."""
+    return running(two_sided(base, other, features), ["feature"], "value", ["a", "b"])
+
+
+def profile_of(counts: DataFrame, side: str = "a") -> DataFrame:
+    """Mean, deviation, quartiles and range of features on one side of counted()."""
+    v, n, upto, whole = F.col("value"), F.col(side), F.col(f"{side}_upto"), F.col(f"{side}_all")
+    own = counts.where(n > 0)
+
+    def at(place):
+        return F.max(F.when((upto - n <= place) & (place < upto), v))
+
+    def quantile(q, name):
+        place = (whole - 1) * F.lit(q)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return (low + F.max(place - F.floor(place)) * (high - low)).alias(name)
+
+    one = own.groupBy("feature").agg(F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"), quantile(0.5, "median"), quantile(0.25, "q25"), quantile(0.75, "q75"), F.min(v).alias("min"), F.max(v).alias("max"))
+    mean = one.select(F.col("feature").alias("of"), F.col("mean").alias("m"))  # a row per feature
+    spread = own.join(mean, F.col("feature") == F.col("of")).groupBy("feature").agg(F.when(F.sum(n) > 1, F.sqrt(F.sum(n * (v - F.col("m")) * (v - F.col("m"))) / (F.sum(n) - 1))).alias("std"))
+    return one.join(spread, "feature").select("feature", "n", "mean", "std", "median", "q25", "q75", "min", "max")
+
+
 def profile(df: DataFrame, features: list[str]) -> DataFrame:
     """Mean, deviation, quartiles and range of features."""
-    v = F.col("value")
-    return long_form(df, features).groupBy("feature").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.25)).alias("q25"), F.percentile(v, F.lit(0.75)).alias("q75"), F.min(v).alias("min"), F.max(v).alias("max"),
-    )
+    return profile_of(counted(df, df.limit(0), features))
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -67,21 +93,24 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return by.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()).cast("double"))
 
 
-def ks(base: DataFrame, other: DataFrame, features: list[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per feature."""
-    w = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("feature")
-    run = two_sided(base, other, features).select("feature", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    apart = F.abs(F.try_divide(F.col("ca").cast("double"), F.col("na")) - F.try_divide(F.col("cb").cast("double"), F.col("nb")))
-    done = run.groupBy("feature").agg(F.max(apart).alias("statistic"), F.first("na").alias("n_base"), F.first("nb").alias("n_other"))
-    return done.withColumn("p_value", ks_p(F.col("statistic"), F.col("n_base"), F.col("n_other")))
+def ks(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and p-value per feature: asymptotic, or exact where both samples are of at most EXACT_VALUES."""
+    run = counted(base, other, features) if counts is None else counts
+    apart = F.abs(F.try_divide(F.col("a_upto").cast("double"), F.col("a_all")) - F.try_divide(F.col("b_upto").cast("double"), F.col("b_all")))
+    done = run.groupBy("feature").agg(F.max(apart).alias("statistic"), F.first("a_all").alias("n_base"), F.first("b_all").alias("n_other"))
+    p = ks_p(F.col("statistic"), F.col("n_base"), F.col("n_other"))
+    if exact:
+        small = F.greatest("n_base", "n_other") <= EXACT_VALUES
+        run_exact = F.pandas_udf(ks_exact, "double")
+        p = F.coalesce(run_exact(F.when(small, F.col("statistic")), F.col("n_base"), F.col("n_other")), p)  # a row per feature
+    return done.withColumn("p_value", p)
 
 
-def mann_whitney(base: DataFrame, other: DataFrame, features: list[str]) -> DataFrame:
+def mann_whitney(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U with tie and continuity corrections."""
-    w = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    run = counted(base, other, features) if counts is None else counts
     t = F.col("a") + F.col("b")
-    ranked = two_sided(base, other, features).select("feature", "a", "b", t.alias("t"), F.coalesce(F.sum(t).over(w), F.lit(0)).alias("before"))
+    ranked = run.select("feature", "a", "b", t.alias("t"), (F.col("a_upto") + F.col("b_upto") - t).alias("before"))
     rank = F.col("before") + (F.col("t") + 1) / 2
     t_ = F.col("t").cast("decimal(19,0)")
     sums = ranked.groupBy("feature").agg(F.sum(F.col("a") * rank).alias("r"), F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum((t_ * t_ * t_ - t_).cast("decimal(38,0)")).cast("double").alias("ties"))
@@ -98,7 +127,7 @@ def chi_square(base: DataFrame, other: DataFrame, features: list[str]) -> DataFr
     aligned = two_sided(base, other, features, "string").withColumns({"na": F.sum("a").over(whole), "nb": F.sum("b").over(whole)})
     e = F.col("a").cast("double") / F.col("na") * F.col("nb") + TINY
     o = F.col("b").cast("double") + TINY
-    done = aligned.groupBy("feature").agg(F.sum((o - e) * (o - e) / e).alias("statistic"), F.count(F.lit(1)).alias("k"))
+    done = aligned.where("na > 0 and nb > 0").groupBy("feature").agg(F.sum((o - e) * (o - e) / e).alias("statistic"), F.count(F.lit(1)).alias("k"))
     return done.withColumn("p_value", chisq_p(F.col("statistic"), F.col("k") - 1)).withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
 
 
@@ -107,33 +136,50 @@ def new_categories(base: DataFrame, other: DataFrame, features: list[str]) -> Da
     return two_sided(base, other, features, "string").where("a = 0").select("feature", "value")
 
 
+#: Fixed: recommendations for a numeric feature by its statistic, and for a categorical one.
+HIGH, MODERATE, LOW, NO_DRIFT = "Consider immediate model retraining.", "Schedule model validation.", "Monitor closely.", "No significant drift detected."
+NEW_VALUES, CHANGED, NO_ACTION, NO_TEST = "New categories detected: ", "Monitor category distribution changes", "No action needed", "Unable to perform the test: no values to compare"
+
+
 def _numeric_advice(d: Column, drifted: Column, info: Column) -> Column:
-    level = F.when(d > 0.3, F.concat(F.lit("High drift detected. "), info, F.lit("Consider immediate model retraining."))).when(d > 0.15, F.concat(F.lit("Moderate drift detected. "), info, F.lit("Schedule model validation."))).otherwise(F.concat(F.lit("Low drift detected. "), info, F.lit("Monitor closely.")))
-    return F.when(drifted, level).otherwise("No significant drift detected.")
+    level = F.when(d > 0.3, F.concat(F.lit("High drift detected. "), info, F.lit(HIGH))).when(d > 0.15, F.concat(F.lit("Moderate drift detected. "), info, F.lit(MODERATE))).otherwise(F.concat(F.lit("Low drift detected. "), info, F.lit(LOW)))
+    return F.when(drifted, level).otherwise(NO_DRIFT)
+
+
+def _all_features(df: DataFrame, features: list[str]) -> DataFrame:
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, features))).alias("feature"))
+
 
+def feature_drift(base: DataFrame, other: DataFrame, numeric: list[str], categorical: list[str], p_limit: float = P_LIMIT, detailed: bool = True, exact: bool = True) -> DataFrame:
+    """One row per feature: drift_detected, drift_score, drift_type, test_statistic, p_value, recommendation.
 
-def feature_drift(base: DataFrame, other: DataFrame, numeric: list[str], categorical: list[str], p_limit: float = P_LIMIT, detailed: bool = True) -> DataFrame:
-    """One row per feature: drift_detected, drift_score, drift_type, test_statistic, p_value, recommendation."""
+    A feature without values on one side has not drifted: score and statistic 0, p 1.
+    """
     parts = []
+    none, p = F.lit(""), F.coalesce("p_value", F.lit(1.0))
+    statistic = F.coalesce("statistic", F.lit(0.0))
     if numeric:
-        n = ks(base, other, numeric).select("feature", "statistic", "p_value")
-        a, b = profile(base, numeric).select("feature", F.col("mean").alias("m0"), F.col("std").alias("s0")), profile(other, numeric).select("feature", F.col("mean").alias("m1"), F.col("std").alias("s1"))
-        n = n.join(a, "feature").join(b, "feature").join(mann_whitney(base, other, numeric).select("feature", F.col("p_value").alias("mw")), "feature")
+        counts = counted(base, other, numeric)
+        side = lambda s, i: profile_of(counts, s).select("feature", F.col("mean").alias(f"m{i}"), F.col("std").alias(f"s{i}"))
+        n = ks(base, other, numeric, counts, exact).where("n_base > 0 and n_other > 0").select("feature", "statistic", "p_value")
+        n = n.join(side("a", 0), "feature").join(side("b", 1), "feature").join(mann_whitney(base, other, numeric, counts).select("feature", F.col("p_value").alias("mw")), "feature")
+        n = _all_features(base, numeric).join(n, "feature", "left")
         shift, ratio = F.abs(F.col("m1") - F.col("m0")) / (F.col("s0") + TINY), F.col("s1") / (F.col("s0") + TINY)
-        none = F.lit("")
         info = F.concat(
             F.when(F.col("mw") < p_limit, F.format_string("Distribution shift detected (MW p=%.4f). ", F.col("mw"))).otherwise(none),
             F.when(shift > 2, F.format_string("Significant mean shift: %.2f std devs. ", shift)).otherwise(none),
             F.when((ratio > 2) | (ratio < 0.5), F.format_string("Variance change detected: %.2fx baseline. ", ratio)).otherwise(none),
         ) if detailed else none
-        drifted = F.col("p_value") < p_limit
-        parts.append(n.select("feature", drifted.alias("drift_detected"), F.col("statistic").alias("drift_score"), F.lit("distributional").alias("drift_type"), F.col("statistic").alias("test_statistic"), "p_value", _numeric_advice(F.col("statistic"), drifted, info).alias("recommendation")))
+        drifted = p < p_limit
+        advice = F.when(F.col("statistic").isNull(), NO_TEST).otherwise(_numeric_advice(statistic, drifted, info))
+        parts.append(n.select("feature", drifted.alias("drift_detected"), statistic.alias("drift_score"), F.lit("distributional").alias("drift_type"), statistic.alias("test_statistic"), p.alias("p_value"), advice.alias("recommendation")))
     if categorical:
-        c = chi_square(base, other, categorical)
         new = new_categories(base, other, categorical).groupBy("feature").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 5).alias("new"))
-        drifted = F.col("p_value") < p_limit
-        advice = F.when(F.col("new").isNotNull(), F.concat(F.lit("New categories detected: "), F.array_join("new", ", "), F.lit(". Consider retraining."))).when(drifted, "Monitor category distribution changes").otherwise("No action needed")
-        parts.append(c.join(new, "feature", "left").select("feature", drifted.alias("drift_detected"), (1 - F.col("p_value")).alias("drift_score"), F.lit("categorical").alias("drift_type"), F.col("statistic").alias("test_statistic"), "p_value", advice.alias("recommendation")))
+        c = chi_square(base, other, categorical).join(new, "feature", "left")
+        c = _all_features(base, categorical).join(c, "feature", "left")
+        drifted = p < p_limit
+        advice = F.when(F.col("statistic").isNull(), NO_TEST).when(F.col("new").isNotNull(), F.concat(F.lit(NEW_VALUES), F.array_join("new", ", "), F.lit(". Consider retraining."))).when(drifted, CHANGED).otherwise(NO_ACTION)
+        parts.append(c.select("feature", drifted.alias("drift_detected"), (1 - p).alias("drift_score"), F.lit("categorical").alias("drift_type"), statistic.alias("test_statistic"), p.alias("p_value"), advice.alias("recommendation")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -161,17 +207,23 @@ def drift_report(results: DataFrame) -> DataFrame:
 
 
 def drift_by_period(base: DataFrame, other: DataFrame, period: str, features: list[str]) -> DataFrame:
-    """KS of every period of the comparison against the baseline: one job over (period, feature), not a loop."""
-    rows = other.select(F.col(period).alias("period"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]))).where("value is not null")
-    after = rows.groupBy("period", "feature", "value").agg(F.count(F.lit(1)).alias("b"))
-    before = long_form(base, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("a"))
-    periods = rows.select("period").distinct()
-    both = before.join(F.broadcast(periods), F.lit(True)).select("period", "feature", "value", "a", F.lit(0).cast("long").alias("b")).unionByName(after.select("period", "feature", "value", F.lit(0).cast("long").alias("a"), "b")).groupBy("period", "feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = W.partitionBy("period", "feature")
-    upto = w.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = both.select("period", "feature", F.abs(F.sum("a").over(upto).cast("double") / F.sum("a").over(w) - F.sum("b").over(upto).cast("double") / F.sum("b").over(w)).alias("d"), F.sum("a").over(w).alias("na"), F.sum("b").over(w).alias("nb"))
-    done = run.groupBy("period", "feature").agg(F.max("d").alias("statistic"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return done.select("period", "feature", "statistic", (ks_p(F.col("statistic"), F.col("na"), F.col("nb")) < P_LIMIT).alias("drift_detected"))
+    """KS of every period of the comparison against the baseline: one job over (period, feature), not a loop.
+
+    Between two values of a period its distribution is level, so the largest
+    distance to the baseline's is at its own values or just below them. The
+    baseline's running counts there are those of one table of all values, so
+    the baseline is not repeated for each period.
+    """
+    scratch = Scratch(base.sparkSession, "periods")
+    rows = other.select(F.col(period).alias("period"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]))).where("value is not null and not isnan(value)")
+    after = scratch.keep(rows.groupBy("period", "feature", "value").agg(F.count(F.lit(1)).alias("c")), "after")
+    counts = counted(base, other, features).select(F.col("feature").alias("of"), F.col("value").alias("v"), "a", "a_upto", "a_all")
+    run = running(after, ["period", "feature"], "value", ["c"]).join(counts, (F.col("feature") == F.col("of")) & (F.col("value") == F.col("v")))
+    share = lambda x, n: F.try_divide(x.cast("double"), F.col(n))
+    here = F.abs(share(F.col("a_upto"), "a_all") - share(F.col("c_upto"), "c_all"))
+    below = F.abs(share(F.col("a_upto") - F.col("a"), "a_all") - share(F.col("c_upto") - F.col("c"), "c_all"))
+    done = run.groupBy("period", "feature").agg(F.max(F.greatest(here, below)).alias("statistic"), F.first("a_all").alias("na"), F.first("c_all").alias("nb"))
+    return done.select("period", "feature", "statistic", F.coalesce(ks_p(F.col("statistic"), F.col("na"), F.col("nb")) < P_LIMIT, F.lit(False)).alias("drift_detected"))
 
 
 def drift_trend(periods: DataFrame) -> DataFrame:
@@ -183,12 +235,12 @@ def drift_trend(periods: DataFrame) -> DataFrame:
     last, earlier = F.slice("p", -3, 3), F.when(n > 3, F.slice("p", F.lit(1), n - 3)).otherwise(F.slice("p", 1, 1))
     recent, before = F.when(n >= 3, mean(last)), F.when(n >= 3, mean(earlier))
     trend = F.when(n < 3, "insufficient_data").when(recent > before * 1.2, "increasing").when(recent < before * 0.8, "decreasing").otherwise("stable")
-    return all_.select(n.cast("long").alias("periods"), recent.alias("recent"), before.alias("earlier"), trend.alias("trend"))
+    return all_.select(n.cast("long").alias("periods"), F.when(n > 0, mean(F.col("p"))).alias("avg_drift_percentage"), recent.alias("recent"), before.alias("earlier"), trend.alias("trend"))
 
 
 def drift_counts(periods: DataFrame) -> DataFrame:
-    """How many periods each feature drifted in."""
-    return periods.groupBy("feature").agg(F.count_if("drift_detected").alias("drifts"))
+    """How many periods each feature drifted in, the most first; those that never did are left out."""
+    return periods.groupBy("feature").agg(F.count_if("drift_detected").alias("drifts")).where("drifts > 0").orderBy(F.desc("drifts"), "feature")
 
 
 class DriftMonitor:

@@ -67,11 +67,26 @@ def daily_report(logs: DataFrame, day: str) -> DataFrame:
     return own.agg(*metric_columns(), of("model_training", "trainings"), of("dataset_creation", "datasets")).withColumn("report_date", F.lit(day)).join(F.broadcast(peak), F.lit(True))
 
 
+def with_performance(logs: DataFrame) -> DataFrame:
+    """Training logs with precision, recall, f1_score, accuracy, model_id and training_seconds at the top level.
+
+    Logs as written carry them in training_metrics: null for what a record lacks.
+    """
+    if "training_metrics" not in logs.columns:
+        return logs
+    m = "training_metrics"
+    names = {c: f"{m}.performance.{c}" for c in ("precision", "recall", "f1_score", "accuracy")} | {"model_id": f"{m}.model_id", "training_seconds": f"{m}.training_duration_seconds"}
+    kept = {c: F.coalesce(F.col(c), F.col(at_)) if c in logs.columns else F.col(at_) for c, at_ in names.items()}
+    return logs.withColumns(kept)
+
+
 def model_history(logs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Training sessions of the last days with their precision, recall and F1."""
+    """Training sessions of the last days with their precision, recall and F1 (worked out where a record lacks it)."""
     p, r = F.col("precision"), F.col("recall")
-    own = recent(logs, as_of, 24 * days).where((F.col("event_type") == "model_training") & p.isNotNull())
-    return own.select("id", "ts", "precision", "recall", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1_score"))
+    own = with_performance(recent(logs, as_of, 24 * days).where(F.col("event_type") == "model_training"))
+    made = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    f1 = F.coalesce(F.col("f1_score"), made) if "f1_score" in own.columns else made
+    return own.where(p.isNotNull()).select(*[c for c in ("id", "ts", "model_id") if c in own.columns], "precision", "recall", f1.alias("f1_score"), *[c for c in ("accuracy", "training_seconds") if c in own.columns])
 
 
 def rotation(files: DataFrame, as_of: str, max_age_days: int = 30, max_files: int = 1000) -> DataFrame:

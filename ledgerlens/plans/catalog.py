@@ -7,7 +7,6 @@ plain double sums are rounded to six places on both sides.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from ledgerlens.operators import features as X
 from ledgerlens.operators import learning as M
 from ledgerlens.operators import logs as L
 from ledgerlens.sources import tables as S
+from ledgerlens.sources.scratch import shared_folder
 from ledgerlens.streaming import monitor
 
 AS_OF, DAY, SPLIT = "2024-01-29 12:00:00", "2024-01-15", "2024-01-16"
@@ -101,6 +101,24 @@ cv AS (SELECT feature, value, sum(a) AS a, sum(b) AS b FROM cat GROUP BY 1, 2),
 chi AS (SELECT feature, sum((o - e) * (o - e) / e) AS statistic, count(*) AS k FROM
   (SELECT feature, a::DOUBLE / sum(a) OVER (PARTITION BY feature) * sum(b) OVER (PARTITION BY feature) + 1e-8 AS e, b + 1e-8 AS o FROM cv) GROUP BY 1)"""
 
+ERFC = "(t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x))"
+RANKS = f"""rk AS (SELECT feature, a, b, a + b AS t, coalesce(sum(a + b) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nv),
+ s AS (SELECT feature, sum(a * (before + (t + 1) / 2.0::DOUBLE)) AS r, sum(a)::DOUBLE AS n, sum(b)::DOUBLE AS m, sum(t * t * t - t)::DOUBLE AS ties FROM rk GROUP BY 1),
+ mz AS (SELECT feature, r - n * (n + 1) / 2 AS u, greatest(abs(r - n * (n + 1) / 2 - n * m / 2) - 0.5::DOUBLE, 0) / sqrt(n * m / 12 * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))) AS z FROM s),
+ mw AS (SELECT feature, u, z, {ERFC} AS p FROM (SELECT feature, u, z, z / sqrt(2.0::DOUBLE) AS x, 1 / (1 + 0.3275911::DOUBLE * (z / sqrt(2.0::DOUBLE))) AS t FROM mz))"""
+#: The numbers of categories are odd here, so the tail is a finite sum.
+CHI_P = "exp(-statistic / 2) * list_sum(list_transform(range(0, ((k - 1) // 2)::BIGINT), lambda i: (statistic / 2) ** i / gamma(i + 1)))"
+DRIFT = f"""{SIDES}, {RANKS},
+ mom AS (SELECT feature, avg(value) FILTER (a = 1) AS m0, avg(value) FILTER (b = 1) AS m1, stddev_samp(value) FILTER (a = 1) AS s0, stddev_samp(value) FILTER (b = 1) AS s1 FROM num GROUP BY 1),
+ ninfo AS (SELECT feature, p_value < 0.05 AS drift_detected, statistic, p_value,
+   CASE WHEN p < 0.05 THEN printf('Distribution shift detected (MW p=%.4f). ', p) ELSE '' END || CASE WHEN abs(m1 - m0) / (s0 + 1e-8) > 2 THEN printf('Significant mean shift: %.2f std devs. ', abs(m1 - m0) / (s0 + 1e-8)) ELSE '' END
+   || CASE WHEN s1 / (s0 + 1e-8) > 2 OR s1 / (s0 + 1e-8) < 0.5 THEN printf('Variance change detected: %.2fx baseline. ', s1 / (s0 + 1e-8)) ELSE '' END AS info FROM ksp JOIN mw USING (feature) JOIN mom USING (feature)),
+ newc AS (SELECT feature, array_to_string(list_sort(list(value))[1:5], ', ') AS new FROM cv WHERE a = 0 GROUP BY 1),
+ fd AS (SELECT feature, drift_detected, statistic AS drift_score, 'distributional' AS drift_type, statistic AS test_statistic, p_value,
+   CASE WHEN NOT drift_detected THEN 'No significant drift detected.' WHEN statistic > 0.3 THEN 'High drift detected. ' || info || 'Consider immediate model retraining.' WHEN statistic > 0.15 THEN 'Moderate drift detected. ' || info || 'Schedule model validation.' ELSE 'Low drift detected. ' || info || 'Monitor closely.' END AS recommendation FROM ninfo
+  UNION ALL SELECT feature, p < 0.05, 1 - p, 'categorical', statistic, p, CASE WHEN new IS NOT NULL THEN 'New categories detected: ' || new || '. Consider retraining.' WHEN p < 0.05 THEN 'Monitor category distribution changes' ELSE 'No action needed' END
+   FROM (SELECT *, {CHI_P} AS p FROM chi LEFT JOIN newc USING (feature)))"""
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -239,7 +257,19 @@ def engineered_full(spark, d):
     return wide(spark, d).select("trans_num", "is_fraud", *FULL, *six("hour_sin", "hour_cos", "amt_log"))
 
 
-@query(None)
+#: Fixed: the numeric columns of the engineered table, in order.
+SCHEMA = [
+    "amt", "merch_lat", "merch_long", "seconds_since_last_trans", "is_rapid_trans", "daily_trans_count", "daily_amount_sum", "daily_merchant_count",
+    "merchant_use_count", "is_first_merchant_use", "customer_amt_mean", "customer_amt_median", "customer_amt_std", "customer_amt_min", "customer_amt_max",
+    "customer_merchant_nunique", "customer_category_nunique", "amt_vs_customer_median", "amt_vs_customer_max", "amt_zscore", "prev_amt", "is_round_amount",
+    "is_whole_dollar", "amt_log", "amt_change_ratio", "is_increasing_amounts", "is_high_risk_category", "prev_lat", "prev_long", "distance_from_prev", "speed_kmh",
+    "impossible_speed", "hour", "day_of_week", "day_of_month", "month", "is_weekend", "is_night", "is_high_risk_hour", "hour_sin", "hour_cos", "merchant_fraud_rate",
+    "merchant_fraud_count", "merchant_amt_mean", "merchant_amt_std", "merchant_unique_cards", "is_rare_merchant", "amt_vs_merchant_mean", "category_fraud_rate",
+    "velocity_risk", "merchant_risk", "time_risk", "amount_risk", "total_risk_score",
+]
+
+
+@query("SELECT (row_number() OVER () - 1)::INT AS place, feature FROM (SELECT unnest(" + str(SCHEMA) + ") AS feature)")
 def feature_schema(spark, d):
     return spark.createDataFrame([(i, c) for i, c in enumerate(X.feature_columns(wide(spark, d)))], "place int, feature string")
 
@@ -348,12 +378,17 @@ def label_distribution(spark, d):
     return D.frequencies(S.table(spark, d, "labels"), "quality")
 
 
-@query(f"WITH {TX} SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM labels) AS labels, (SELECT avg(quality) FROM labels) AS label_rate, (SELECT count(*) FILTER (amt IS NULL) FROM tx) AS null_amounts, 'ok' AS status")
+@query(f"WITH {TX}, q AS (SELECT count(*) AS labels, avg(quality) AS label_rate, count(*) FILTER (quality = 0) / count(quality)::DOUBLE AS legitimate, count(*) FILTER (quality = 1) / count(quality)::DOUBLE AS fraudulent FROM labels) SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM customer) AS customers, labels, legitimate, fraudulent, label_rate, 'success' AS status FROM q")
 def data_quality(spark, d):
-    t, c, q = S.transactions(spark, d), S.table(spark, d, "customer"), S.table(spark, d, "labels")
-    one = t.agg(F.count(F.lit(1)).alias("transactions"), F.count_if(F.col("amt").isNull()).alias("null_amounts"))
-    one = one.join(F.broadcast(c.agg(F.count(F.lit(1)).alias("customers"))), F.lit(True)).join(F.broadcast(q.agg(F.count(F.lit(1)).alias("labels"), F.avg("quality").alias("label_rate"))), F.lit(True))
-    return one.withColumn("status", F.lit("ok"))
+    labels = S.table(spark, d, "labels").select(F.col("doc_id").alias("trans_num"), F.col("quality").alias("is_fraud"))
+    return S.quality_summary(S.transactions(spark, d), S.table(spark, d, "customer"), labels).drop("error")
+
+
+@query("SELECT 'k' AS \"column\", count(*) FILTER (x IS NULL) AS nulls, count(*) FILTER (isinf(x)) AS infinities FROM (SELECT CASE WHEN event_type = 'click' THEN NULL WHEN value > 100 THEN 'infinity'::DOUBLE ELSE value END AS x FROM events) UNION ALL SELECT 'event_type', count(*) FILTER (event_type IS NULL), 0 FROM events")
+def unusable_values(spark, d):
+    kind, value = F.col("event_type"), F.col("value")
+    rows = S.table(spark, d, "events").select(F.when(kind == "click", None).when(value > 100, float("inf")).otherwise(value).alias("k"), "event_type")
+    return S.unusable_counts(rows)
 
 
 @query(f"WITH {SIDES} SELECT feature, statistic, n_base::BIGINT AS n_base, n_other::BIGINT AS n_other, round(p_value, 6) AS p_value FROM ksp")
@@ -361,17 +396,15 @@ def drift_ks(spark, d):
     return D.ks(*sides(spark, d), NUMERIC).select("feature", "statistic", "n_base", "n_other", *six("p_value"))
 
 
-@query(f"""WITH {SIDES}, rk AS (SELECT feature, a, b, a + b AS t, coalesce(sum(a + b) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nv),
- s AS (SELECT feature, sum(a * (before + (t + 1) / 2.0::DOUBLE)) AS r, sum(a)::DOUBLE AS n, sum(b)::DOUBLE AS m, sum(t * t * t - t)::DOUBLE AS ties FROM rk GROUP BY 1)
- SELECT feature, r - n * (n + 1) / 2 AS u, round(greatest(abs(r - n * (n + 1) / 2 - n * m / 2) - 0.5::DOUBLE, 0) / sqrt(n * m / 12 * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))), 6) AS z FROM s""")
+@query(f"WITH {SIDES}, {RANKS} SELECT feature, u, round(z, 6) AS z, round(p, 6) AS p_value FROM mw")
 def drift_mann_whitney(spark, d):
-    return D.mann_whitney(*sides(spark, d), NUMERIC).select("feature", "u", *six("z"))
+    return D.mann_whitney(*sides(spark, d), NUMERIC).select("feature", "u", *six("z", "p_value"))
 
 
-@query(f"WITH {SIDES} SELECT feature, CASE WHEN feature = 'daypart' THEN NULL ELSE round(statistic, 4) END AS statistic, k FROM chi")
+@query(f"WITH {SIDES} SELECT feature, round(ln(statistic), 6) AS log_statistic, k, round({CHI_P}, 6) AS p_value FROM chi")
 def drift_chisq(spark, d):
     found = D.chi_square(*sides(spark, d), CATEGORICAL)
-    return found.select("feature", F.when(F.col("feature") != "daypart", F.round("statistic", 4)).alias("statistic"), "k")  # a new category makes the other's statistic astronomical
+    return found.select("feature", F.round(F.log("statistic"), 6).alias("log_statistic"), "k", *six("p_value"))  # a new category makes a statistic of fifteen digits, so logarithms are compared
 
 
 @query(f"WITH {SIDES} SELECT feature, value FROM cv WHERE a = 0")
@@ -379,23 +412,32 @@ def drift_new_categories(spark, d):
     return D.new_categories(*sides(spark, d), CATEGORICAL)
 
 
-@query(f"WITH {SIDES} SELECT feature, p_value < 0.05 AS drift_detected, statistic AS drift_score, 'distributional' AS drift_type FROM ksp")
+@query(f"WITH {DRIFT} SELECT feature, drift_detected, round(drift_score, 6) AS drift_score, drift_type FROM fd ORDER BY fd.drift_score DESC, feature LIMIT 5")
 def drift_top(spark, d):
-    found = D.feature_drift(*sides(spark, d), NUMERIC, [])
-    return found.select("feature", "drift_detected", "drift_score", "drift_type").orderBy(F.desc("drift_score"), "feature").limit(len(NUMERIC))
+    found = D.feature_drift(*sides(spark, d), NUMERIC, CATEGORICAL, exact=False)
+    top = found.orderBy(F.desc("drift_score"), "feature").limit(5)
+    return top.select("feature", "drift_detected", *six("drift_score"), "drift_type")
 
 
-@query(None)
+@query(f"WITH {DRIFT} SELECT feature, drift_detected, round(drift_score, 6) AS drift_score, drift_type, round(ln(test_statistic), 6) AS log_statistic, round(p_value, 6) AS p_value, recommendation FROM fd")
 def drift_features(spark, d):
-    return D.feature_drift(*sides(spark, d), NUMERIC, CATEGORICAL)
-
-
-@query(f"""WITH {SIDES}, r AS (SELECT p_value < 0.05 AS x, statistic AS s FROM ksp),
- o AS (SELECT count(*) AS features, count(*) FILTER (x) AS drifted, avg(CASE WHEN x THEN s END) AS ms FROM r)
- SELECT features, drifted, drifted * 100.0::DOUBLE / features AS drift_percentage, coalesce(ms, 0) AS mean_score,
-  CASE WHEN drifted = 0 THEN 'none' WHEN drifted > 0.5 * features OR ms > 0.3 THEN 'high' WHEN drifted > 0.25 * features OR ms > 0.15 THEN 'medium' ELSE 'low' END AS severity FROM o""")
+    """With asymptotic p-values, which SQL can express; the operator's own are exact for small samples."""
+    found = D.feature_drift(*sides(spark, d), NUMERIC, CATEGORICAL, exact=False)
+    return found.select("feature", "drift_detected", *six("drift_score"), "drift_type", F.round(F.log("test_statistic"), 6).alias("log_statistic"), *six("p_value"), "recommendation")
+
+
+@query(f"""WITH {DRIFT}, o AS (SELECT count(*) AS features, count(*) FILTER (drift_detected) AS drifted, avg(CASE WHEN drift_detected THEN drift_score END) AS ms,
+  list_sort(list(feature) FILTER (drift_detected AND drift_score > 0.3))[1:3] AS top, count(*) FILTER (drift_detected AND drift_score > 0.15 AND drift_score <= 0.3) AS medium,
+  count(*) FILTER (drift_detected AND drift_type = 'categorical') AS c, count(*) FILTER (drift_detected AND drift_type = 'distributional') AS n FROM fd),
+ q AS (SELECT *, drifted * 100.0::DOUBLE / features AS pc FROM o)
+ SELECT features, drifted, pc AS drift_percentage, round(coalesce(ms, 0), 6) AS mean_score,
+  CASE WHEN drifted = 0 THEN 'none' WHEN drifted > 0.5 * features OR ms > 0.3 THEN 'high' WHEN drifted > 0.25 * features OR ms > 0.15 THEN 'medium' ELSE 'low' END AS severity,
+  concat_ws(' | ', CASE WHEN pc > 50 THEN 'CRITICAL: Over 50% of features show drift. Immediate model retraining required.' WHEN pc > 25 THEN 'HIGH: Significant drift detected. Schedule model validation and potential retraining.' WHEN pc > 10 THEN 'MEDIUM: Some drift detected. Increase monitoring frequency.' END,
+   CASE WHEN len(top) > 0 THEN 'Priority features for immediate attention: ' || array_to_string(top, ', ') END, CASE WHEN medium > 0 THEN 'Monitor closely: ' || medium || ' features showing moderate drift' END,
+   CASE WHEN c > 0 THEN 'Categorical drift detected - check for new data sources or encoding changes' END, CASE WHEN n > 0 THEN 'Distributional drift detected - validate data processing pipeline' END, CASE WHEN drifted = 0 THEN 'No significant drift detected. Continue normal monitoring.' END) AS recommendations FROM q""")
 def drift_report(spark, d):
-    return D.drift_report(D.feature_drift(*sides(spark, d), NUMERIC, [])).drop("recommendations")
+    one = D.drift_report(D.feature_drift(*sides(spark, d), NUMERIC, CATEGORICAL, exact=False))
+    return one.withColumns({"mean_score": F.round("mean_score", 6), "recommendations": F.array_join("recommendations", " | ")})
 
 
 def _weeks(spark, d):
@@ -403,17 +445,23 @@ def _weeks(spark, d):
     return D.drift_by_period(base, other.withColumn("week", F.floor(F.datediff("trans_date_trans_time", F.lit("2024-01-01").cast("date")) / 4)), "week", NUMERIC)
 
 
-@query(f"""WITH {SIDES}, o AS (SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 4 AS period, feature, value FROM (SELECT ts, unnest(['amt', 'merchant', 'merch_lat', 'merch_long', 'hour']) AS feature, unnest([amt, merchant::DOUBLE, merch_lat, merch_long, hour::DOUBLE]) AS value FROM h) WHERE ts >= '{SPLIT}'),
+PERIODS = f"""WITH {SIDES}, o AS (SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 4 AS period, feature, value FROM (SELECT ts, unnest(['amt', 'merchant', 'merch_lat', 'merch_long', 'hour']) AS feature, unnest([amt, merchant::DOUBLE, merch_lat, merch_long, hour::DOUBLE]) AS value FROM h) WHERE ts >= '{SPLIT}'),
  z AS (SELECT period, feature, value, sum(a) AS a, sum(b) AS b FROM (SELECT p.period, feature, value, 1 AS a, 0 AS b FROM num, (SELECT DISTINCT period FROM o) p WHERE a = 1 UNION ALL SELECT period, feature, value, 0, 1 FROM o) GROUP BY 1, 2, 3),
- k AS (SELECT period, feature, max(abs(ca::DOUBLE / na - cb::DOUBLE / nb)) AS statistic FROM (SELECT period, feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM z WINDOW p AS (PARTITION BY period, feature), w AS (PARTITION BY period, feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1, 2)
- SELECT * FROM k""")
+ k AS (SELECT period, feature, max(abs(ca::DOUBLE / na - cb::DOUBLE / nb)) AS statistic, any_value(na) AS na, any_value(nb) AS nb FROM (SELECT period, feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM z WINDOW p AS (PARTITION BY period, feature), w AS (PARTITION BY period, feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1, 2)
+"""
+
+
+@query(PERIODS + " SELECT period, feature, statistic FROM k")
 def drift_periods(spark, d):
     return _weeks(spark, d).select("period", "feature", "statistic")
 
 
-@query(None)
+@query(PERIODS + """, kp AS (SELECT *, CASE WHEN lam < 0.2 THEN 1 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0::DOUBLE * j * j * lam * lam))))) END AS p FROM (SELECT *, statistic * sqrt(na::DOUBLE * nb / (na + nb)) AS lam FROM k)),
+ pp AS (SELECT period, count(*) FILTER (p < 0.05) * 100.0::DOUBLE / count(*) AS pc FROM kp GROUP BY 1), l AS (SELECT list(pc ORDER BY period) AS p, count(*) AS n FROM pp),
+ m AS (SELECT n, list_avg(p) AS av, CASE WHEN n >= 3 THEN list_avg(p[-3:]) END AS recent, CASE WHEN n > 3 THEN list_avg(p[1:n - 3]) WHEN n = 3 THEN p[1] END AS earlier FROM l)
+ SELECT n AS periods, round(av, 6) AS avg_drift_percentage, round(recent, 6) AS recent, round(earlier, 6) AS earlier, CASE WHEN n < 3 THEN 'insufficient_data' WHEN recent > earlier * 1.2 THEN 'increasing' WHEN recent < earlier * 0.8 THEN 'decreasing' ELSE 'stable' END AS trend FROM m""")
 def drift_trend(spark, d):
-    return D.drift_trend(_weeks(spark, d))
+    return D.drift_trend(_weeks(spark, d)).select("periods", *six("avg_drift_percentage", "recent", "earlier"), "trend")
 
 
 # -- logs --------------------------------------------------------------------------------------
@@ -447,6 +495,15 @@ def log_model_history(spark, d):
     return L.model_history(S.log_events(spark, d), AS_OF)
 
 
+@query(f"WITH {LOGS} SELECT id, ts, 'm' || id AS model_id, \"precision\", recall, coalesce(2 * \"precision\" * recall / nullif(\"precision\" + recall, 0), 0) AS f1_score, \"precision\" AS accuracy FROM logs WHERE event_type = 'model_training' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 168 HOURS AND ts <= TIMESTAMP '{AS_OF}'")
+def log_model_history_nested(spark, d):
+    """Training logs in the shape in which they are written."""
+    performance = F.struct("precision", "recall", F.lit(None).cast("double").alias("f1_score"), F.col("precision").alias("accuracy"))
+    metrics = F.struct(F.concat(F.lit("m"), F.col("id")).alias("model_id"), performance.alias("performance"), F.lit(None).cast("double").alias("training_duration_seconds"))
+    rows = S.log_events(spark, d).select("id", "ts", "event_type", F.when(F.col("precision").isNotNull(), metrics).alias("training_metrics"))
+    return L.model_history(rows, AS_OF).drop("training_seconds")
+
+
 ROTATE = "2024-02-10 00:00:00"
 
 
@@ -479,8 +536,7 @@ def rolling_rates(spark, d):
 @query(f"WITH {LOGS}, w AS (SELECT window_start, {METRICS} FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, * FROM logs) GROUP BY 1), last AS (SELECT max(ts) - INTERVAL 10 MINUTES AS t FROM logs), alerts AS (SELECT window_start, 'high_error_rate' AS alert, error_rate AS value FROM w WHERE error_rate > 10 UNION ALL SELECT window_start, 'slow_response', avg_seconds FROM w WHERE avg_seconds > 5 UNION ALL SELECT window_start, 'high_fraud_rate', fraud_rate FROM w WHERE fraud_rate > 25) SELECT alerts.* FROM alerts, last WHERE window_start + INTERVAL 1 HOUR <= t")
 def stream_alerts(spark, d):
     """The alerts of completed windows, by a streaming query over the log table until it is used up."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerlens-stream-")
-    base = f"{folder.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    base = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
     S.log_events(spark, d).write.parquet(f"{base}/logs")
     schema = spark.read.parquet(f"{base}/logs").schema
     run = monitor.run_alerts(monitor.log_stream(spark, f"{base}/logs", schema), f"{base}/alerts", f"{base}/state")

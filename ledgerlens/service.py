@@ -57,7 +57,7 @@ class RiskService:
         if people:
             df = X.join_customers(df, S.load_customers(self.spark, people))
         path = sinks.write_dataset(X.engineered(df), f"{self.storage}/datasets", form=form)
-        summary = X.dataset_summary(self.spark.read.parquet(path)).first().asDict() if form == "parquet" else {}
+        summary = X.dataset_summary(S.load_dataset(self.spark, path)).first().asDict()
         self._log("dataset_creation", dataset_info={k: str(v) for k, v in summary.items()})
         return {"path": path, **summary}
 
@@ -70,7 +70,7 @@ class RiskService:
         found = self.datasets()
         if not found:
             raise LookupError("no dataset")
-        df = self.spark.read.parquet(found[-1])
+        df = S.load_dataset(self.spark, found[-1])
         if "is_fraud" not in df.columns:
             raise ValueError("the dataset has no label")
         features = X.feature_columns(df)
@@ -105,6 +105,12 @@ class RiskService:
         self._log("prediction_request", request_data={k: str(v) for k, v in request.items()}, prediction=r.prediction, fraud_probability=r.fraud_probability, processing_time_seconds=seconds)
         return {"predict": r.prediction, "confidence": r.confidence, "fraud_probability": r.fraud_probability, "features_used": len(self.features)}
 
+    def test_logging(self) -> dict:
+        """Writes a prediction event and says where."""
+        event = sinks.log_event("prediction_request", request_data={"test": "data"}, prediction="legitimate", fraud_probability=0.1, processing_time_seconds=0.005)
+        path = sinks.append_logs(self.spark, [event], f"{self.storage}/logs")
+        return {"logger_exists": True, "log_dir": f"{self.storage}/logs", "test_log_created": path, "current_time": event["system_timestamp"]}
+
     def _logs(self) -> DataFrame:
         raw = self.spark.read.schema(S.LOG_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").json(f"{self.storage}/logs")
         return raw.where("system_timestamp is not null").withColumn("ts", F.expr("try_to_timestamp(system_timestamp)").cast("timestamp_ntz"))
@@ -118,7 +124,7 @@ class RiskService:
         found = self.datasets()
         if not found:
             raise LookupError("no dataset")
-        base, other = self.spark.read.parquet(found[0]), self.spark.read.parquet(found[-1])
+        base, other = S.load_dataset(self.spark, found[0]), S.load_dataset(self.spark, found[-1])
         kinds = {r.feature: r.kind for r in D.monitored_features(base).collect()}
         self.monitor = self.monitor or D.DriftMonitor([f for f, k in kinds.items() if k == "numeric"], [f for f, k in kinds.items() if k == "categorical"])
         self.monitor.initialize(base)

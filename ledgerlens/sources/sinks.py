@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed: the four events and their endpoints.
 EVENTS = {"prediction_request": "/predict", "dataset_creation": "/create_dataset", "model_training": "/train_model", "system_error": None}
 
 
@@ -20,8 +22,8 @@ def write_dataset(df: DataFrame, folder: str, name: str = "engineered", form: st
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    """One JSON object of labels, for exchange in small amounts."""
-    labels.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("trans_num").cast("string"), F.col("is_fraud"))))).alias("value")).write.mode("overwrite").text(path)
+    """Labels as JSON objects: one entry a row, many rows a file; load_labels() reads them, and one object of all as well."""
+    labels.select(F.to_json(F.map_from_arrays(F.array(F.col("trans_num").cast("string")), F.array(F.col("is_fraud")))).alias("value")).write.mode("overwrite").text(path)
 
 
 def log_event(kind: str, as_of: datetime | None = None, **fields) -> dict:
@@ -32,18 +34,35 @@ def log_event(kind: str, as_of: datetime | None = None, **fields) -> dict:
     return event | ({"endpoint": EVENTS[kind]} if EVENTS[kind] else {})
 
 
-def append_logs(spark, events: list[dict], folder: str) -> None:
-    """Log events appended as JSON lines; nothing is overwritten."""
-    spark.createDataFrame([(json.dumps(e, default=str),) for e in events], "value string").write.mode("append").text(folder)
+def append_logs(spark, events: list[dict], folder: str) -> str:
+    """Log events as JSON lines in a new file of the folder, named by time to the millisecond; its path. No job runs."""
+    path = f"{folder}/log_{datetime.now(timezone.utc).strftime('%Y%m%d_%H%M%S_%f')[:-3]}_{uuid.uuid4().hex[:8]}.json"
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(bytearray("".join(json.dumps(e, default=str) + "\n" for e in events).encode()))
+    finally:
+        out.close()
+    return path
+
+
+def append_request(spark, request: dict, folder: str, as_of: datetime | None = None) -> str:
+    """An ad-hoc record of a request, with a timestamp but no event type; readers of events skip it."""
+    return append_logs(spark, [{"timestamp": (as_of or datetime.now(timezone.utc)).replace(tzinfo=None).isoformat(), **request}], folder)
 
 
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def drift_summary(report: dict, features: list[dict]) -> str:
-    """A Markdown summary of a drift report; features: one dict per monitored feature."""
+def drift_summary(report: dict, features: list[dict], trend: dict | None = None) -> str:
+    """A Markdown summary of a drift report; features: one dict per monitored feature; trend: a row of drift_trend()."""
     drifted = sorted((f for f in features if f["drift_detected"]), key=lambda f: -f["drift_score"])
     lines = ["# Drift report", "", f"- Features: {report['features']}", f"- Drifted: {report['drifted']} ({report['drift_percentage']:.1f} %)", f"- Severity: {report['severity']}", "", "| Feature | Type | Score | p | Recommendation |", "|---|---|---|---|---|"]
     lines += [f"| {f['feature']} | {f['drift_type']} | {f['drift_score']:.4f} | {f['p_value']:.4g} | {f['recommendation']} |" for f in drifted[:5]]
+    if report.get("recommendations"):
+        lines += ["", "## Recommendations", "", *[f"- {r}" for r in report["recommendations"]]]
+    if trend:
+        lines += ["", "## Trend", "", f"- Trend: {trend['trend']}", f"- Periods: {trend['periods']}", f"- Average share of drifted features: {trend['avg_drift_percentage'] or 0:.1f} %"]
     return "\n".join(lines) + "\n"

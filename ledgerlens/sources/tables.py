@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed: names, kinds and default values of the fields of transactions, customers and logs.
 TRANSACTION_DEFAULTS = {"merch_lat": 40.7128, "merch_long": -74.006}
 CUSTOMER_DEFAULTS = {"gender": "U", "city": "Unknown", "state": "Unknown", "zip": "00000", "job": "Unknown", "dob": "1970-01-01", "city_pop": 100000}
 CUSTOMER_SCHEMA = "cc_num long, index int, first string, last string, sex string, street string, city string, state string, zip string, lat double, long double, city_pop int, job string, dob string"
@@ -55,10 +56,11 @@ def load_customers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(trans_num, is_fraud) of a JSON object of labels; null, NaN and infinite values are cleaned."""
+    """(trans_num, is_fraud) of JSON objects of labels, one or many a file; null, NaN and infinite values are cleaned."""
     if not exists(spark, path):
         return spark.createDataFrame([], "trans_num string, is_fraud int")
-    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>", {"allowNonNumericNumbers": "true"})).alias("trans_num", "is_fraud"))
+    objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    pairs = objects.select(F.explode(F.from_json("value", "map<string,double>", {"allowNonNumericNumbers": "true"})).alias("trans_num", "is_fraud"))
     return pairs.withColumn("is_fraud", clean_label(F.col("is_fraud")))
 
 
@@ -91,6 +93,46 @@ def load_logs(spark: SparkSession, pattern: str) -> DataFrame:
     return logs.where("_corrupt is null and system_timestamp is not null").drop("_corrupt").withColumn("ts", F.expr("try_to_timestamp(system_timestamp)").cast("timestamp_ntz")).where("ts is not null")
 
 
+def load_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset as write_dataset() left it, in Parquet, CSV or JSON; LookupError if there is none."""
+    for form in ("parquet", "csv", "json"):
+        if exists(spark, f"{path}/*.{form}*"):
+            reader = spark.read.option("header", True).option("inferSchema", True) if form == "csv" else spark.read
+            return reader.format(form).load(path)
+    raise LookupError(f"no dataset at {path}")
+
+
+def load_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """transactions, customers and labels of a folder, found by name; empty tables for what it lacks."""
+    find = lambda name, ends: find_source(spark, folder, name, ends) or f"{folder}/none-{name}"
+    return {
+        "transactions": load_transactions(spark, find("transaction", (".parquet", ".csv"))),
+        "customers": load_customers(spark, find("customer", (".csv",))),
+        "labels": load_labels(spark, find("fraud", (".json",))),
+    }
+
+
+def unusable_counts(df: DataFrame) -> DataFrame:
+    """column, nulls, and infinities of numeric columns."""
+    kinds = dict(df.dtypes)
+    odd = lambda c: F.count_if(F.abs(F.col(f"`{c}`")) == float("inf")) if kinds[c] in ("double", "float") else F.lit(0).cast("long")
+    one = df.agg(*[F.struct(F.lit(c).alias("column"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), odd(c).alias("infinities")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return one.select(F.inline(F.array(*[f"c{i}" for i in range(len(df.columns))])))
+
+
+def quality_summary(transactions: DataFrame, customers: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counts, the shares of both labels, the label rate, and status: success, or error with what is missing."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    one = n(transactions, "transactions").join(n(customers, "customers"), F.lit(True))  # one row each
+    y = F.col("is_fraud")
+    if "is_fraud" not in labels.columns:
+        labels = labels.withColumn("is_fraud", F.lit(None).cast("int"))
+    share = lambda v: F.coalesce(F.try_divide(F.count_if(y == v).cast("double"), F.count(y)), F.lit(0.0))
+    one = one.join(labels.agg(F.count(F.lit(1)).alias("labels"), share(0).alias("legitimate"), share(1).alias("fraudulent"), F.avg(y).alias("label_rate")), F.lit(True))
+    missing = F.concat_ws(", ", *[F.when(F.col(c) == 0, c) for c in ("transactions", "customers", "labels")])
+    return one.withColumn("status", F.when(missing == "", "success").otherwise("error")).withColumn("error", F.when(missing != "", F.concat(F.lit("no "), missing)))
+
+
 def request_row(spark: SparkSession, body: str, schema: str) -> DataFrame:
     """A scoring request, a JSON object, as one row."""
     return spark.createDataFrame([(body,)], "body string").select(F.inline(F.array(F.from_json("body", schema))))

@@ -23,10 +23,14 @@ def metric_stream(stream: DataFrame, lateness: str = "10 minutes", length: str =
     return timed.groupBy(w.alias("w")).agg(*L.metric_columns()).withColumn("window_start", F.col("w.start").cast("timestamp_ntz")).drop("w")
 
 
-def run_alerts(stream: DataFrame, sink: str, checkpoint: str, lateness: str = "10 minutes") -> StreamingQuery:
-    """Alerts of completed windows, appended to a Parquet table until the source is used up."""
-    found = L.alerts(metric_stream(stream, lateness))
-    return found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def run_alerts(stream: DataFrame, sink: str, checkpoint: str, lateness: str = "10 minutes", slide: str | None = None, every: str | None = None) -> StreamingQuery:
+    """Alerts of completed windows of an hour, appended to a Parquet table: until the source is used up, or every so often until the query is stopped.
+
+    slide: how far apart windows begin, for a sliding hour.
+    """
+    found = L.alerts(metric_stream(stream, lateness, slide=slide))
+    writer = found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def run_scores(stream: DataFrame, model, sink: str, checkpoint: str, threshold: float = 0.5) -> StreamingQuery:

@@ -1,13 +1,17 @@
 """Evaluation, drift, logs, streaming and learning."""
 
+import itertools
 import json
 import math
 import random
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.ranges import running
 from ledgerlens.operators import drift as D
 from ledgerlens.operators import evaluation as E
 from ledgerlens.operators import learning as M
@@ -87,7 +91,8 @@ def test_trends(spark):
     rows = lambda pcs: spark.createDataFrame([(p, f"f{i}", i < n) for p, n in enumerate(pcs) for i in range(10)], "period int, feature string, drift_detected boolean")
     trend = lambda pcs: D.drift_trend(rows(pcs)).first().trend
     assert [trend(x) for x in ([1, 2], [1, 5, 5], [5, 1, 1, 1], [5, 5, 5, 5])] == ["insufficient_data", "increasing", "decreasing", "stable"]
-    assert {r.feature: r.drifts for r in D.drift_counts(rows([1, 2])).collect()}["f0"] == 2
+    assert [(r.feature, r.drifts) for r in D.drift_counts(rows([1, 2])).collect()] == [("f0", 2), ("f1", 1)]
+    assert D.drift_trend(rows([1, 2])).first().avg_drift_percentage == 15.0
 
 
 def test_logs_from_files(spark, tmp_path):
@@ -110,10 +115,86 @@ def test_logs_from_files(spark, tmp_path):
     assert L.directory_stats(S.dataset_paths(spark, f"{tmp_path}/log_*.json")).first().files == 6
 
 
-def test_history_gap_of_the_writer_is_closed(spark):
-    """The performance that training events carry is read under the name it is written with."""
-    logs = S.log_events(spark, DATA)
-    assert L.model_history(logs, "2024-01-29 00:00:00").count() > 0
+def test_history_gap_of_the_writer_is_closed(spark, tmp_path):
+    """The performance that training events carry is read, from files, under the names it is written with."""
+    performance = {"precision": 0.8, "recall": 0.5, "accuracy": 0.9}
+    sinks.append_logs(spark, [sinks.log_event("model_training", training_metrics={"model_id": "m1", "performance": performance, "training_duration_seconds": 2.5})], f"{tmp_path}")
+    sinks.append_logs(spark, [sinks.log_event("model_training", training_metrics={"model_id": "m2"})], f"{tmp_path}")
+    path = sinks.append_request(spark, {"amt": 1}, f"{tmp_path}")
+    assert re.search(r"log_\d{8}_\d{6}_\d{3}_", path)
+    logs = S.load_logs(spark, f"{tmp_path}/log_*.json")
+    assert logs.count() == 2
+    (r,) = L.model_history(logs, "2100-01-01 00:00:00", 40_000).collect()
+    assert (r.model_id, r.precision, r.recall, r.accuracy, r.training_seconds) == ("m1", 0.8, 0.5, 0.9, 2.5) and r.f1_score == pytest.approx(2 * 0.4 / 1.3)
+
+
+def test_running_sums(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), float(v), rng.randint(0, 9)) for v in rng.sample(range(10_000), 3000)] + [(None, 1.0, 5)]
+    frame = spark.createDataFrame(rows, "k string, v double, n long")
+    got = {(r.k, r.v): (r.n_upto, r.n_all) for r in running(frame, ["k"], "v", ["n"]).collect()}
+    for key in ("a", "b", None):
+        total = 0
+        own = sorted(r for r in rows if r[0] == key)
+        for _, v, n in own:
+            total += n
+            assert got[key, v] == (total, sum(r[2] for r in own))
+    last = min(running(frame.where("k is not null").drop("k"), [], "v", ["n"], descending=True).collect(), key=lambda r: r.v)
+    assert last.n_upto == last.n_all == sum(r[2] for r in rows[:-1])
+    plan = running(frame, ["k"], "v", ["n"])._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_plans_of_curves_and_periods(spark):
+    """No exchange of all rows to one task, and no nested loops."""
+    rows = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.rand(1).alias("s"), (F.col("id") % 4).alias("week"))
+    for plan in (E.pr_curve(rows, "y", "s"), D.drift_by_period(rows, rows, "week", ["s"]), E.sample_n(rows, "k", 20)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+    text = E.sample_n(rows, "k", 20)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window") == 1
+
+
+def test_drift_without_values_to_compare(spark):
+    base = made(spark, 0)
+    other = base.withColumn("amt", F.lit(None).cast("double")).withColumn("category", F.lit(None).cast("string"))
+    found = {r.feature: r for r in D.feature_drift(base, other, ["amt", "same"], ["category"]).collect()}
+    for f in ("amt", "category"):
+        assert (found[f].drift_detected, found[f].drift_score, found[f].test_statistic, found[f].p_value) == (False, 0.0, 0.0, 1.0)
+    assert set(found) == {"amt", "same", "category"}
+
+
+def test_exact_and_far_p_values(spark):
+    rows = spark.createDataFrame([(1100.0, 1100), (390.0, 400), (1500.0, 300)], "x double, k int")
+    got = [r[0] for r in rows.select(C.chisq_p(F.col("x"), F.col("k"))).collect()]
+    assert got[0] == pytest.approx(0.49433, abs=1e-4) and got[1] == pytest.approx(0.6304029949942671, rel=1e-9) and got[2] == pytest.approx(1.508e-158, rel=1e-3)
+    for n, m, d in ((4, 5, 0.6), (6, 6, 0.5), (3, 7, 1.0)):
+        far = total = 0
+        for own in itertools.combinations(range(n + m), n):
+            i = j = 0
+            apart = 0.0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in own else (i, j + 1)
+                apart = max(apart, abs(i / n - j / m))
+            far, total = far + (apart >= d - 1e-12), total + 1
+        assert C.ks_exact(pd.Series([d]), pd.Series([n]), pd.Series([m]))[0] == pytest.approx(far / total)
+    few = lambda *x: spark.createDataFrame([(float(v),) for v in x], "v double")
+    assert D.ks(few(1, 2, 3, 4), few(2.5, 5, 6, 7, 8), ["v"], exact=True).first().p_value == pytest.approx(C.ks_exact(pd.Series([0.8]), pd.Series([4]), pd.Series([5]))[0])
+
+
+def test_sources_of_a_folder(spark, tmp_path):
+    people = S.sample_customers(spark, 5)
+    trades = S.sample_transactions(people, 40)
+    trades.write.parquet(f"{tmp_path}/transactions_release.parquet")
+    sinks.write_labels(S.sample_labels(trades, 0.3), f"{tmp_path}/fraud_release.json")
+    found = S.load_all(spark, f"{tmp_path}")
+    assert {k: v.count() for k, v in found.items()} == {"transactions": 40, "customers": 0, "labels": 40}
+    summary = S.quality_summary(*found.values()).first()
+    assert summary.status == "error" and summary.error == "no customers" and summary.legitimate + summary.fraudulent == pytest.approx(1.0)
+    (tmp_path / "one_fraud.json").write_text('{\n "T1": 1.0,\n "T2": NaN\n}')
+    assert {tuple(r) for r in S.load_labels(spark, f"{tmp_path}/one_fraud.json").collect()} == {("T1", 1), ("T2", 0)}
+    odd = spark.createDataFrame([(1.0, "a"), (float("inf"), None), (None, "b")], "x double, y string")
+    assert {tuple(r) for r in S.unusable_counts(odd).collect()} == {("x", 1, 1), ("y", 1, 0)}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -123,6 +204,11 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = monitor.log_stream(spark, f"{tmp_path}/logs", logs.schema)
     monitor.run_alerts(stream, f"{tmp_path}/alerts", f"{tmp_path}/state").awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/alerts").collect()}
+    running_ = monitor.run_alerts(stream, f"{tmp_path}/sliding", f"{tmp_path}/state2", slide="30 minutes", every="1 second")
+    running_.processAllAvailable()
+    assert running_.isActive
+    running_.stop()
+    assert got <= {tuple(r) for r in spark.read.parquet(f"{tmp_path}/sliding").collect()}
     want = {tuple(r) for r in L.alerts(L.windowed(logs)).collect()}
     last = max(w[0] for w in want)
     assert got <= want and {w for w in want if w[0] < last} <= got
@@ -169,6 +255,9 @@ def test_adasyn_and_models(spark, tmp_path):
     plain = M.train(more, ["a", "b"], maxIter=2, maxDepth=2)
     monitor.run_scores(spark.readStream.schema("trans_num long, a double, b double").parquet(f"{tmp_path}/in"), plain, f"{tmp_path}/out", f"{tmp_path}/st").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 630
+    found = M.weighted(more, df, ["a", "b"], maxIter=2, maxDepth=2)
+    assert {r["factor"] for r in found} == {1.0, 0.5, 0.2} and max(r["recall"] for r in found) > 0.5
+    assert len(M.importances(plain, ["a", "b"], top=1)) == 1
     best = M.grid(more, df, ["a", "b"], ratios=(0.15,), configs=("balanced",), maxIter=2, maxDepth=2)
     assert best[0]["config"] == "balanced"
 

@@ -30,4 +30,9 @@ def test_calls(spark, tmp_path):
         again.predict_one({})
     metrics = again.system_metrics("2100-01-01 00:00:00", 24 * 365 * 100)
     assert metrics["total_events"] == 3 and metrics["event_breakdown"] == {"dataset_creation": 1, "model_training": 1, "prediction_request": 1}
+    logged = again.test_logging()
+    assert logged["log_dir"] in logged["test_log_created"] and again.system_metrics("2100-01-01 00:00:00", 24 * 365 * 100)["legitimate"] >= 1
     assert again.drift_check()["severity"] == "none" and again.monitoring_status()["checks"] == 1
+    table = RiskService(spark, data, f"{tmp_path}/as-csv")
+    assert table.create_dataset(form="csv")["rows"] == 400
+    assert table.train_model(maxIter=1, maxDepth=2)["features"] == trained["features"] and table.drift_check()["severity"] == "none"
