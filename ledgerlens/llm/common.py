@@ -6,12 +6,13 @@ name are ignored unless an operator says that it passes rows through.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.scratch import Scratch, release, shared_folder
+
+__all__ = ["Scratch", "release", "shared_folder", "sized_broadcast", "table", "whole", "word_array"]
+
 #: The largest table, in rows of a few numbers, that is broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 200_000
 
@@ -20,48 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not hasattr(spark, "_ledgerlens_folder"):
-        spark._ledgerlens_folder = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-    return spark._ledgerlens_folder
-
-
-class Scratch:
-    """Intermediate tables of one run in the shared folder: they cut lineage and survive lost executors.
-
-    Shuffle files of a finished write are released at once, so the disk in use
-    is that of one step and of the tables kept.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(setting, "false")
-        self.spark.conf.set(setting, "true")
-        try:
-            df.write.mode("overwrite").parquet(path)
-        finally:
-            self.spark.conf.set(setting, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
-
-
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few enough, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
