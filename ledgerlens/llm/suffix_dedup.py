@@ -46,7 +46,7 @@ LENGTH, GRAM = 100, 24
 WIDTHS = (LENGTH - GRAM + 1, 11, 1)
 #: Different pieces of one anchor that a task may sort, and windows sorted at once.
 SPLIT, BLOCK = 1000, 250_000
-PIECES = "g long, x long, p int, n short, a int"
+PIECES = "g long, x long, p int, n short, off short"
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -98,6 +98,17 @@ def pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
     return data, np.searchsorted(ends, first, "right"), first, count, at, h[at]
 
 
+def _hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(begin.tolist(), end.tolist())], U)
+
+
+def _rows(part: pa.RecordBatch, row: np.ndarray, columns: dict[str, np.ndarray], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Rows of columns with the id and tie of their row of part."""
+    own, kinds = pa.array(row, pa.int64()), {"p": np.int32, "n": np.int16, "off": np.int16}
+    arrays = {"id": part.column("id").take(own), "tie": part.column("tie").take(own)} | {c: pa.array(x.view(np.int64) if c in "gx" else x.astype(kinds[c])) for c, x in columns.items()} | more
+    return pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to pieces; a text longer than a slice is read segment by segment."""
     for batch in batches:
@@ -107,53 +118,36 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = [texts[0][at : at + SLICE_BYTES + LENGTH - 1]] if len(texts) == 1 else texts
                 data, text, first, n, anchor, g = pieces(own)
                 x = _hashes(data, first, first + n + (LENGTH - 1))
-                yield _piece_rows(part, text, g, x, first - starts[text] + at, n, anchor - starts[text] + at)
-
-
-def _hashes(data: bytes, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(data[a:b], seed) for a, b in zip(begin.tolist(), end.tolist())], U)
-
-
-def _piece_rows(part: pa.RecordBatch, text: np.ndarray, g: np.ndarray, x: np.ndarray, p: np.ndarray, n: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
-    own = pa.array(text, pa.int64())
-    columns = [pa.array(g.view(np.int64)), pa.array(x.view(np.int64)), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(a.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([part.column("id").take(own), part.column("tie").take(own), *columns], names=["id", "tie", "g", "x", "p", "n", "a"])
-
+                yield _rows(part, text, {"g": g, "x": x, "p": first - starts[text] + at, "n": n, "off": anchor - first}, {})
 
-def _own(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The pieces that rows carry in their list own: the row of each, and its fields."""
-    own = part.column("own")
-    flat = own.flatten()
-    return np.repeat(np.arange(part.num_rows), np.diff(np.asarray(own.offsets))), {c: np.asarray(flat.field(c)).astype(np.int64) for c in ("p", "n", "a", "g")}
 
-
-def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, tie, text, own) to pieces of windows of width neighbouring distances to their anchor, under what all of these contain."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tie, text, own: pieces of the text) to pieces with their bytes."""
     for batch in batches:
         for part, texts in slices(batch, "text"):
-            text, f = _own(part)
-            low, high = (f["a"] - f["p"] - f["n"] + 1) // width, (f["a"] - f["p"]) // width  # of the last and the first window
-            row = np.repeat(np.arange(len(text)), high - low + 1)
-            j = (low[row] + np.arange(len(row)) - np.searchsorted(row, row)) * width
-            a, text = f["a"][row], text[row]
-            first = np.maximum(f["p"][row], a - j - width + 1)
-            n = np.minimum(f["p"][row] + f["n"][row] - 1, a - j) - first + 1
-            g, x = np.empty(len(row), U), np.empty(len(row), U)
-            for t in np.unique(text):
-                of = np.flatnonzero(text == t) if len(texts) > 1 else slice(None)
-                g[of] = mix(_hashes(texts[t], a[of] - j[of], a[of] - j[of] - width + 1 + LENGTH) + j[of].astype(U))
-                x[of] = _hashes(texts[t], first[of], first[of] + n[of] + (LENGTH - 1))
-            yield _piece_rows(part, text, g, x, first, n, a)
+            own = part.column("own")
+            flat, text = own.flatten(), np.repeat(np.arange(part.num_rows), np.diff(np.asarray(own.offsets)))
+            p, n = np.asarray(flat.field("p")), np.asarray(flat.field("n"))
+            out = [texts[t][a:b] for t, a, b in zip(text.tolist(), p.tolist(), (p + n + (LENGTH - 1)).tolist())]
+            yield _rows(part, text, {}, {c: flat.field(c) for c in ("p", "n", "off", "g", "m")} | {"bytes": pa.array(out, pa.binary())})
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, tie, text, own) to pieces with their bytes."""
+def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces to pieces of windows of width neighbouring distances to their anchor, under what all of these contain."""
     for batch in batches:
-        for part, texts in slices(batch, "text"):
-            text, f = _own(part)
-            out = [texts[t][a:b] for t, a, b in zip(text.tolist(), f["p"].tolist(), (f["p"] + f["n"] + (LENGTH - 1)).tolist())]
-            own = pa.array(text)
-            yield pa.RecordBatch.from_arrays([part.column("id").take(own), part.column("tie").take(own), *[pa.array(f[c].astype(k)) for c, k in (("p", np.int32), ("n", np.int16), ("a", np.int32), ("g", np.int64))], pa.array(out, pa.binary())], names=["id", "tie", "p", "n", "a", "g", "bytes"])
+        for at in range(0, batch.num_rows, 5000):
+            part = batch.slice(at, 5000)
+            texts = part.column("bytes").to_pylist()
+            data, starts = b"".join(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            p, n, off = (np.asarray(part.column(c)).astype(np.int64) for c in ("p", "n", "off"))
+            low, high = (off - n + 1) // width, off // width  # of the last and the first window
+            row = np.repeat(np.arange(len(n)), high - low + 1)
+            j = (low[row] + np.arange(len(row)) - np.searchsorted(row, row)) * width
+            first, last = np.maximum(0, off[row] - j - width + 1), np.minimum(n[row] - 1, off[row] - j)
+            shared, begin, end = starts[row] + off[row] - j, starts[row] + first, starts[row] + last + LENGTH
+            g, x = mix(_hashes(data, shared, shared + LENGTH + 1 - width) + j.astype(U)), _hashes(data, begin, end)
+            out = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
+            yield _rows(part, row, {"g": g, "x": x, "p": p[row] + first, "n": last - first + 1, "off": off[row] - first}, {"bytes": out})
 
 
 def longest_previous_factors(position: np.ndarray, common: np.ndarray, wanted: int = 1) -> np.ndarray:
@@ -258,41 +252,46 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs (id, tie, p, n) of windows of docs (id, tie, text) that start earlier: the n windows from byte p on."""
     kind = dict(docs.dtypes)["id"]
-    place, runs, out = ["id", "tie", "p", "n", "a"], f"id {kind}, tie long, p int, n int", []
-    found = docs.mapInArrow(_anchors, f"id {kind}, tie long, {PIECES}")
+    key, runs, out = f"id {kind}, tie long", f"id {kind}, tie long, p int, n int", []
+    place = ["id", "tie", "p", "n", "off"]
+    found = docs.mapInArrow(_anchors, f"{key}, {PIECES}")
     for k, width in enumerate(WIDTHS):
         found = scratch.keep(found, f"anchors{k}")
-        # Written first: a join of two plain exchanges is one whose hot keys Spark can split.
+        if k:
+            scratch.drop(f"texts{k - 1}")
+        # Written first, and merged: a join of two plain exchanges is one whose hot keys Spark can split, and the same at every size.
         more = scratch.keep(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), f"more{k}")
-        found = scratch.keep(found.join(more, "g"), f"repeated{k}")
+        found = scratch.keep(found.join(more.hint("merge"), "g"), f"repeated{k}")
         scratch.drop(f"anchors{k}", f"more{k}")
-        first = scratch.keep(found.groupBy("g", "x").agg(F.min(F.struct(*place)).alias("f"), F.count(F.lit(1)).alias("c")), f"pieces{k}")
+        first = scratch.keep(found.groupBy("g", "x").agg(F.min(F.struct(*place, *["bytes"] * (k > 0))).alias("f"), F.count(F.lit(1)).alias("c")), f"pieces{k}")
         own = first.where("c > 1").select("g", "x", F.col("f.id").alias("i"), F.col("f.tie").alias("t"), F.col("f.p").alias("q"))
-        again = found.join(own, ["g", "x"]).where(~(F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")) & (F.col("p") == F.col("q"))))
+        again = found.join(own.hint("merge"), ["g", "x"]).where(~(F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")) & (F.col("p") == F.col("q"))))
         out.append(scratch.keep(again.select("id", "tie", "p", F.col("n").cast("int").alias("n")), f"again{k}"))
         scratch.drop(f"repeated{k}")
         unlike = scratch.keep(first.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"unlike{k}")
-        last = width == 1
-        cold = _with_pieces(docs, first.join(unlike if last else unlike.where(F.col("m") <= SPLIT), "g"))
-        cold = scratch.keep(cold.mapInArrow(_cut, f"id {kind}, tie long, p int, n short, a int, g long, bytes binary"), f"texts{k}")
-        ordered = cold.repartition("g").sortWithinPartitions("g", "id", "tie", "a")
+        rest = first.select("g", "f").join(unlike.hint("merge"), "g")
+        texts = _with_bytes(docs, rest, f"{key}, p int, n short, off short, g long, m long, bytes binary") if k == 0 else rest.select("f.*", "g", "m")
+        texts = scratch.keep(texts, f"texts{k}")
+        scratch.drop(f"pieces{k}", f"unlike{k}")
+        last = width == 1  # the windows of a part are equal, so none is left but by equal hashes
+        ordered = (texts if last else texts.where(F.col("m") <= SPLIT)).repartition("g").sortWithinPartitions("g", "id", "tie", F.col("p") + F.col("off"))
         out.append(scratch.keep(ordered.mapInArrow(_block_repeats, runs), f"sorted{k}"))
-        scratch.drop(f"texts{k}")
-        hot = unlike.where(F.col("m") > SPLIT)
+        hot = texts.where(F.col("m") > SPLIT)
         if last or hot.isEmpty():
-            scratch.drop(f"pieces{k}", f"unlike{k}")
+            scratch.drop(f"texts{k}")
             break
-        found = _with_pieces(docs, first.join(hot, "g")).mapInArrow(lambda it, w=WIDTHS[k + 1]: _split(it, w), f"id {kind}, tie long, {PIECES}")
+        found = hot.mapInArrow(lambda it, w=WIDTHS[k + 1]: _split(it, w), f"{key}, {PIECES}, bytes binary")
     both = out[0]
     for other in out[1:]:
         both = both.unionByName(other)
     return both
 
 
-def _with_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """docs with own, the list of their pieces among first; without those that have none."""
-    own = first.groupBy("f.id", "f.tie").agg(F.collect_list(F.struct("f.p", "f.n", "f.a", "g")).alias("own")).withColumnsRenamed({"id": "__i", "tie": "__t"})
-    return docs.join(own, F.col("id").eqNullSafe(F.col("__i")) & (F.col("tie") == F.col("__t"))).select("id", "tie", "text", "own")
+def _with_bytes(docs: DataFrame, rest: DataFrame, schema: str) -> DataFrame:
+    """The pieces of rest (g, f, m) with their bytes, cut from the texts of docs."""
+    own = rest.groupBy("f.id", "f.tie").agg(F.collect_list(F.struct("f.p", "f.n", "f.off", "g", "m")).alias("own")).withColumnsRenamed({"id": "__i", "tie": "__t"})
+    both = docs.join(own.hint("merge"), F.col("id").eqNullSafe(F.col("__i")) & (F.col("tie") == F.col("__t")))
+    return both.select("id", "tie", "text", "own").mapInArrow(_cut, schema)
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,7 +305,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc
         marked = rows.join(sized_broadcast(many, n), F.col("id").eqNullSafe(F.col("j")), "left")
         rows = marked.select("id", F.when(F.col("many"), F.xxhash64("text")).otherwise(0).alias("tie"), "text")
         read = rows.where("tie = 0").unionByName(rows.where("tie <> 0").dropDuplicates(["id", "tie"]))
-    runs = repeated_windows(read, scratch).distinct().groupBy("id", "tie").agg(F.collect_list(F.struct("p", "n")).alias("own")).withColumnsRenamed({"id": "__i", "tie": "__t"})
+    runs = repeated_windows(read, scratch).distinct().groupBy("id", "tie").agg(F.collect_list(F.struct("p", "n")).alias("own")).withColumnsRenamed({"id": "__i", "tie": "__t"}).hint("merge")
     joined = rows.join(runs, F.col("id").eqNullSafe(F.col("__i")) & (F.col("tie") == F.col("__t")), "left").select(F.col("id").alias("doc_id"), "text", "own")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
     return joined.mapInArrow(lambda it: _remove(it, with_text), schema)

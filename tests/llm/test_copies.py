@@ -68,7 +68,7 @@ def test_removal_in_segments_and_blocks(spark, monkeypatch):
     rows = list(enumerate(["".join(x or "" for x in texts), *texts]))
     batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([0]), pa.array([t or ""])], names=["id", "tie", "text"]) for i, t in rows]
     parts = [b for batch in batches for b in suffix_dedup._anchors(iter([batch])) if b.num_rows]
-    found = {(r["id"], r["p"] + k, r["a"]) for b in parts for r in b.to_pylist() for k in range(r["n"])}
+    found = {(r["id"], r["p"] + k, r["p"] + r["off"]) for b in parts for r in b.to_pylist() for k in range(r["n"])}
     assert len(found) == sum(max(0, len((t or "").encode()) - 99) for _, t in rows)
     got = {(r["id"], r["p"]) for b in suffix_dedup._block_repeats(iter([_sorted_pieces(parts, dict(rows))])) for r in _windows(b)}
     seen, want = set(), set()
@@ -82,10 +82,10 @@ def test_removal_in_segments_and_blocks(spark, monkeypatch):
 
 
 def _sorted_pieces(parts, texts):
-    rows = sorted((r for b in parts for r in b.to_pylist()), key=lambda r: (r["g"], r["id"], r["a"]))
+    rows = sorted((r for b in parts for r in b.to_pylist()), key=lambda r: (r["g"], r["id"], r["p"] + r["off"]))
     for r in rows:
         r["bytes"] = texts[r["id"]].encode()[r["p"] : r["p"] + r["n"] + 99]
-    kinds = {"id": pa.int64(), "tie": pa.int64(), "p": pa.int32(), "n": pa.int16(), "a": pa.int32(), "g": pa.int64(), "bytes": pa.binary()}
+    kinds = {"id": pa.int64(), "tie": pa.int64(), "p": pa.int32(), "n": pa.int16(), "off": pa.int16(), "g": pa.int64(), "bytes": pa.binary()}
     return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
 
