@@ -54,6 +54,7 @@ def _table(keep, lower: bool) -> bytes:
 
 #: Byte tables that turn separators into spaces: [^\x20\x09-\x0D]+, and [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
 PLAIN = _table(lambda b: b not in (32, 9, 10, 11, 12, 13), lower=False)
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = _table(lambda b: b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122, lower=True)
 
 
@@ -86,14 +87,14 @@ def word_hashes(data: bytes, table: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch of about SLICE_BYTES of text each, with their texts as bytes, null as empty."""
+def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch of about so many bytes of text each, with their texts as bytes, null as empty."""
     column = batch.column(text_col)
     size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
     at, n = 0, batch.num_rows
     total = np.cumsum(size)
     while at < n:
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
         part = batch.slice(at, end - at)
         texts = [x or b"" for x in part.column(text_col).cast(pa.large_binary()).to_pylist()]
         yield part, texts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, language_id, mixing, near_dedup, ordinal, pii, quality_rules, sharding, suffix_dedup, warc
+from ledgerlens.llm import collocations, decontamination, language_id, mixing, near_dedup, ordinal, packing, pii, quality_rules, sharding, suffix_dedup, variants, warc
 from ledgerlens.llm.common import table
 
 
@@ -73,8 +73,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__size").alias("size"), F.col("__cut.source_size").alias("source_size"), F.col("__cut.target").alias("target"), (F.col("__size") * F.col("__times")).alias("taken"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them spoiled by a hash, with the more frequent words that they are variants of."""
+    return variants.variants(variants.dictionary(table(spark, sf_dir, "documents"), spoil=variants.SPOIL))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_decontamination, decontamination_proximity, op4_warc, op5_pii, op6_language_id, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_mixing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_decontamination, decontamination_proximity, op4_warc, op5_pii, op6_language_id, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_mixing, op11_spelling_variants, op12_collocations, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -119,4 +134,40 @@ SQL = {
                true AS intact
         FROM p LEFT JOIN f ON p.d = f.d
     """,
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE
+             steps AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+             tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+             runs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+             long AS (SELECT doc_id, w, encode(coalesce(doc_id::VARCHAR, '') || ':' || w) AS b FROM runs WHERE length(w) >= 7),
+             hashed AS (SELECT doc_id, w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(array_slice(b, i, i)))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM long, tab),
+             spoiled AS (SELECT doc_id, w, CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed),
+             times AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY doc_id, w),
+             words AS (SELECT word, sum(k)::BIGINT AS n FROM spoiled JOIN times ON spoiled.w = times.w AND spoiled.doc_id IS NOT DISTINCT FROM times.doc_id WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+             gone AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM words, unnest(range(0, length(word))) AS t(i)),
+             near AS (SELECT DISTINCT a.word, b.word AS other FROM gone a JOIN gone b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+                      UNION SELECT DISTINCT gone.word, words.word FROM gone JOIN words ON gone.v = words.word
+                      UNION SELECT DISTINCT words.word, gone.word FROM gone JOIN words ON gone.v = words.word),
+             best AS (SELECT a.word, count(*) AS n_near, first(near.other ORDER BY b.n DESC, b.word) AS other, max(b.n) AS other_n, any_value(a.n) AS n FROM near JOIN words a ON near.word = a.word JOIN words b ON near.other = b.word GROUP BY a.word),
+             forms AS (SELECT word, other AS form, other_n AS form_n FROM best WHERE other_n >= 10 * n),
+             chain AS (SELECT word, word AS root, 0 AS k FROM words UNION ALL SELECT chain.word, forms.form, k + 1 FROM chain JOIN forms ON chain.root = forms.word),
+             ends AS (SELECT word, last(root ORDER BY k) AS root FROM chain GROUP BY word)
+        SELECT w.word, form, root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+        FROM words w LEFT JOIN best ON w.word = best.word LEFT JOIN forms ON w.word = forms.word JOIN ends ON w.word = ends.word
+    """,
+    "op12_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+             p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS piece FROM d)),
+             g AS (SELECT lang, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase FROM p, range(1, 6) AS t(k), unnest(range(0, greatest(len(w) - k + 1, 0))) AS u(i)),
+             f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+             n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+             inner_ AS (SELECT lang, array_to_string(w[i + 1 : i + j], ' ') AS phrase, max(f) AS over FROM f, range(2, 5) AS t(j), unnest(range(0, greatest(k - j + 1, 0))) AS u(i) WHERE j < k GROUP BY 1, 2),
+             own AS (SELECT f.* FROM f LEFT JOIN inner_ i ON f.lang = i.lang AND f.phrase = i.phrase WHERE k >= 2 AND (over IS NULL OR over < f)),
+             cut AS (SELECT o.lang, o.phrase, o.f AS a, c, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * o.f * n.n) // (x.f::HUGEINT * y.f) AS score
+                     FROM (SELECT own.*, unnest(range(1, k)) AS c FROM own) o JOIN n ON n.lang = o.lang
+                     JOIN f x ON x.lang = o.lang AND x.phrase = array_to_string(o.w[1 : c], ' ') JOIN f y ON y.lang = o.lang AND y.phrase = array_to_string(o.w[c + 1 :], ' ')),
+             low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+    """,
 }
