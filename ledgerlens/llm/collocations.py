@@ -5,9 +5,9 @@ to its rarest word, the pivot (to the first place where it stands in it). Every
 of a text is rewritten for its own word as pivot: up to four words on either
 side, as far as they are not rarer (before it: more frequent) and frequent
 enough to be in a phrase at all. These fragments are all that the pivot's
-phrases need. They are counted where they lie, routed to the pivot, cut into
-the phrases that hold the pivot's place, and summed there: no other pivot has
-these phrases. Pivots of more than a part of a task's places are dealt to more
+phrases need. They are counted where they lie, routed to the pivot, and mined there for
+the phrases that hold the pivot's place: no other pivot has these phrases, so
+only those that are frequent enough leave the task. Pivots of more than a part of a task's places are dealt to more
 tasks by a hash of the fragment, and their sums are summed once more.
 
 The HEAD most frequent words of all languages are broadcast with their places
@@ -24,7 +24,6 @@ phrases, or an empty table, has no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -44,8 +43,10 @@ from ledgerlens.llm.kernels import LOWER, slices
 LONGEST, LEAST, COVERED, TOP = 5, 100, 100, 2000
 #: Words broadcast with their order, the most bytes of one, and bits of the bitmap of further frequent words.
 HEAD, HEAD_BYTES, FILTER_BITS = 400_000, 64, 26
-#: Distinct words that a task counts before it hands them on; texts rewritten at once; the fewest places of a pivot that are dealt to more tasks.
-COUNTED, TOGETHER, DEALT = 300_000, 2 << 20, 20_000
+#: Distinct words that a task counts before it hands them on; texts rewritten at once; the places of a pivot from which on it may be, and is, dealt to more tasks.
+COUNTED, TOGETHER, DEALT = 300_000, 4 << 20, (20_000, 2_000_000)
+#: Fragments that are mined at once, if their pivots are complete.
+MINED = 200_000
 #: Fixed: bytes at which a text is split into pieces.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(ord(".") if b in BREAKS else c for b, c in enumerate(LOWER))
@@ -119,8 +120,8 @@ class Order:
         return out, further
 
 
-def word_order(frequent: DataFrame, head: int = HEAD) -> tuple[Order, int]:
-    """The order of frequent words (lang, word, n), and the least n of the head."""
+def word_order(frequent: DataFrame, head: int = HEAD) -> Order:
+    """The order of frequent words (lang, word, n)."""
     short = F.octet_length("word") <= HEAD_BYTES
     top = frequent.where(short).orderBy(F.desc("n"), "lang", "word").limit(head).collect()  # bounded
     by: dict[str, dict[bytes, int]] = defaultdict(dict)
@@ -134,7 +135,7 @@ def word_order(frequent: DataFrame, head: int = HEAD) -> tuple[Order, int]:
         found = bits.toArrow()  # at most a row per byte of the bitmap
         bitmap = np.zeros(1 << FILTER_BITS - 3, np.uint8)
         bitmap[found["byte"].to_numpy()] = found["bits"].to_numpy()
-    return Order(dict(by), len(top), bitmap), top[-1].n if top else 0
+    return Order(dict(by), len(top), bitmap)
 
 
 def windows(ranks: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
@@ -152,17 +153,20 @@ def windows(ranks: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.n
     return before, behind
 
 
-def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows without repeats, and how often each occurs. Rows are grouped by a hash; those that share one without being equal stay as they are."""
+def distinct_rows(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without repeats, and the sum of times of each. Rows are grouped by a hash; those that share one without being equal stay as they are."""
     rng = np.random.default_rng(0)
-    h = (rows.astype(np.uint64) * rng.integers(1, 1 << 63, rows.shape[1], np.uint64)[None] + np.uint64(1)).sum(axis=1, dtype=np.uint64)
-    h ^= h >> np.uint64(29)
-    _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    same = (rows[first[inverse]] == rows).all(axis=1)
-    if same.all():
-        return rows[first], n
-    odd = rows[~same]
-    return np.concatenate((rows[first], odd)), np.concatenate((np.bincount(inverse[same], minlength=len(first)), np.ones(len(odd), np.int64)))
+    h = np.zeros(len(rows), np.uint64)
+    for column, factor in zip(rows.T, rng.integers(1, 1 << 63, rows.shape[1], np.uint64)):
+        h = (h ^ (column.astype(np.uint64) + np.uint64(2)) * factor) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h)
+    new = np.concatenate(([True], h[order[1:]] != h[order[:-1]]))
+    first, of = order[new], np.cumsum(new) - 1
+    same = (rows[first[of]] == rows[order]).all(axis=1)
+    n = np.bincount(of[same], times[order[same]], len(first)).astype(np.int64)
+    odd = order[~same]
+    return np.concatenate((rows[first], rows[odd])), np.concatenate((n, times[odd]))
 
 
 def fragments(docs: DataFrame, order: Order, longest: int = LONGEST) -> DataFrame:
@@ -186,7 +190,7 @@ def fragments(docs: DataFrame, order: Order, longest: int = LONGEST) -> DataFram
                     continue
                 around = at[:, None] + np.arange(-reach, reach + 1)
                 inside = (np.arange(-reach, reach + 1) >= -before[at][:, None]) & (np.arange(-reach, reach + 1) <= behind[at][:, None])
-                rows, n = distinct_rows(np.where(inside, ranks[around.clip(0, len(ranks) - 1)], -1))
+                rows, n = distinct_rows(np.where(inside, ranks[around.clip(0, len(ranks) - 1)], -1), np.ones(len(at), np.int64))
                 filled = rows >= 0
                 known, places = names[lang]
                 text = pa.concat_arrays([known, pa.array(further, pa.binary()).cast(pa.string())])
@@ -201,15 +205,62 @@ def fragments(docs: DataFrame, order: Order, longest: int = LONGEST) -> DataFram
     return docs.mapInArrow(rewrite, "lang string, pivot string, fragment string, at long, n long")
 
 
-def owned(fragment: Column, at: Column, longest: int = LONGEST) -> Column:
-    """The phrases of a fragment (an array of words) that hold its pivot's place, in an array."""
-    parts = []
+def mine(fragment: pa.Array, at: np.ndarray, n: np.ndarray, group: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(group, phrase, occurrences) of the phrases in groups of fragments that hold their pivots' places."""
+    parts = pc.split_pattern(fragment, " ")
+    coded = parts.flatten().dictionary_encode()
+    flat, start = coded.indices.to_numpy(), np.asarray(parts.offsets)
+    size = np.diff(start)
+    rows, times = [], []
     for l in range(longest):  # noqa: E741
         for r in range(longest - l):
-            if l + r:
-                fits = (at >= l) & (F.size(fragment) > at + r)
-                parts.append(F.when(fits, F.array_join(F.slice(fragment, (at - l + 1).cast("int"), l + r + 1), " ")))
-    return F.array_compact(F.array(*parts))
+            own = np.flatnonzero((at >= l) & (size > at + r)) if l + r else np.zeros(0, np.int64)
+            if len(own):
+                phrase = np.full((len(own), longest + 1), -1, np.int64)
+                phrase[:, 0] = group[own]
+                phrase[:, 1 : l + r + 2] = flat[(start[:-1] + at - l)[own, None] + np.arange(l + r + 1)]
+                found, k = distinct_rows(phrase, n[own])
+                rows.append(found)
+                times.append(k)
+    if not rows:
+        return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64)
+    rows, times = np.concatenate(rows), np.concatenate(times)
+    filled = rows[:, 1:] >= 0
+    words = coded.dictionary.take(pa.array(rows[:, 1:][filled]))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(filled.sum(axis=1)))), pa.int32())
+    return rows[:, 0], pc.binary_join(pa.ListArray.from_arrays(offsets, words), " "), times
+
+
+def mined(routed: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, a, dealt) of fragments sorted by key: of a dealt pivot's part all phrases, of others those with least occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not rows.num_rows:
+                return
+            lang = rows["lang"].combine_chunks().dictionary_encode()
+            of = np.column_stack([rows["key"].to_numpy(), rows["dealt"].to_numpy().astype(np.int64), lang.indices.to_numpy()])
+            group = np.cumsum(np.concatenate(([0], (of[1:] != of[:-1]).any(axis=1))))
+            first = np.flatnonzero(np.concatenate(([True], np.diff(group) > 0)))
+            found, phrase, n = mine(rows["fragment"].combine_chunks(), rows["at"].to_numpy().astype(np.int64), rows["n"].to_numpy(), group, longest)
+            dealt = of[first[found], 1] == 1
+            kept = np.flatnonzero((n >= least) | dealt)
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(of[first[found[kept]], 2])), phrase.take(pa.array(kept)), pa.array(n[kept]), pa.array(dealt[kept])], names=["lang", "phrase", "a", "dealt"])
+
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= MINED:
+                rows = pa.Table.from_batches(waiting)
+                key = rows["key"].to_numpy()
+                cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on
+                yield from done(rows.slice(0, cut))
+                waiting = rows.slice(cut).to_batches()
+        if waiting:
+            yield from done(pa.Table.from_batches(waiting))
+
+    return routed.mapInArrow(run, "lang string, phrase string, a long, dealt boolean")
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
@@ -219,19 +270,18 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, head: i
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = scratch.keep(word_counts(docs), "words")
     frequent = words.where(F.col("n") >= least)
-    order, _ = word_order(frequent, head)
-    found = fragments(docs, order, longest)
+    found = fragments(docs, word_order(frequent, head), longest)
     # Pivots of over a quarter of a task's places are dealt to as many tasks as they need.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = max(DEALT, (words.agg(F.sum("n")).first()[0] or 0) // (4 * tasks))
+    dealt = min(max(DEALT[0], (words.agg(F.sum("n")).first()[0] or 0) // (4 * tasks)), DEALT[1])
     hot = scratch.keep(words.where(F.col("n") > dealt).select(F.col("lang").alias("__lang"), F.col("word").alias("__word"), F.ceil(F.col("n") / dealt).cast("long").alias("__tasks")), "hot")
-    found = found.join(F.broadcast(hot), (F.col("lang") == F.col("__lang")) & (F.col("pivot") == F.col("__word")), "left")  # at most 4 rows a task
-    salt = F.coalesce(F.pmod(F.xxhash64("fragment"), F.col("__tasks")), F.lit(-1).cast("long"))
-    routed = found.select("lang", "pivot", salt.alias("salt"), "fragment", "at", "n").repartition("lang", "pivot", "salt")
-    cut = routed.withColumn("words", F.split("fragment", " ")).select("lang", "pivot", "salt", F.explode(owned(F.col("words"), F.col("at"), longest)).alias("phrase"), "n")
-    mined = scratch.keep(cut.groupBy("lang", "pivot", "salt", "phrase").agg(F.sum("n").alias("a")).where((F.col("a") >= least) | (F.col("salt") >= 0)), "mined")
-    again = mined.where("salt >= 0").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    return mined.where("salt < 0").select("lang", "phrase", "a").unionByName(again), words
+    found = found.join(sized_broadcast(hot, hot.count()), (F.col("lang") == F.col("__lang")) & (F.col("pivot") == F.col("__word")), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("fragment"), F.col("__tasks")), F.lit(-1).cast("long"))
+    routed = found.select("lang", F.xxhash64("pivot", part).alias("key"), F.col("__tasks").isNotNull().alias("dealt"), "fragment", F.col("at").cast("byte").alias("at"), "n")
+    routed = routed.repartition("key").sortWithinPartitions("key", "dealt", "lang")
+    own = scratch.keep(mined(routed, least, longest), "mined")
+    again = own.where("dealt").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return own.where("not dealt").select("lang", "phrase", "a").unionByName(again), words
 
 
 def _wide(c: str) -> Column:
