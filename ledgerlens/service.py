@@ -7,16 +7,19 @@ LookupError where a dataset or model is missing.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import boosting as B
 from ledgerlens.operators import drift as D
 from ledgerlens.operators import evaluation as E
 from ledgerlens.operators import features as X
 from ledgerlens.operators import learning as M
 from ledgerlens.operators import logs as L
+from ledgerlens.operators.trees import TreeModel, from_pipeline
 from ledgerlens.sources import sinks
 from ledgerlens.sources import tables as S
 
@@ -30,13 +33,21 @@ class RiskService:
         self.spark, self.data, self.storage, self.threshold = spark, data_dir, storage_dir, threshold
         self.registry = M.ModelRegistry(spark, f"{storage_dir}/models")
         self.monitor: D.DriftMonitor | None = None
-        self.model, self.features = None, []
+        self.model, self.features, self.trees = None, [], None
         if name := self.registry.latest():
             self._use(name)
 
     def _use(self, name: str) -> None:
-        self.model, info = self.registry.load(name)
-        self.features = info["features"]
+        model, info = self.registry.load(name)
+        self._take(model, info["features"])
+
+    def _take(self, model, features: list[str]) -> None:
+        """Uses a model; as plain trees for single requests, if it has that form."""
+        self.model, self.features = model, features
+        try:
+            self.trees = model if isinstance(model, TreeModel) else from_pipeline(model)
+        except ValueError:
+            self.trees = None
 
     def _log(self, kind: str, **fields) -> None:
         sinks.append_logs(self.spark, [sinks.log_event(kind, **fields)], f"{self.storage}/logs")
@@ -65,8 +76,11 @@ class RiskService:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.storage}/datasets/*")
         return sorted(str(s.getPath()) for s in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or [])
 
-    def train_model(self, ratio: float = 0.03, seed: int = 42, **settings) -> dict:
-        """Trains on the latest dataset, evaluates on exact stratified shares, saves and uses the model."""
+    def train_model(self, ratio: float = 0.03, seed: int = 42, kind: str = "aggressive", **settings) -> dict:
+        """Trains on the latest dataset, evaluates on exact stratified shares, saves and uses the model.
+
+        kind: a configuration of boosting.CONFIGS, changed by settings; or gbt or rf, Spark ML's boosted trees and forest, with their settings.
+        """
         found = self.datasets()
         if not found:
             raise LookupError("no dataset")
@@ -77,10 +91,13 @@ class RiskService:
         rows = E.stratified_split(df.select("trans_num", "is_fraud", *features), "trans_num", "is_fraud", seed=seed)
         train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
         train, made = M.oversampled(train, features, ratio=ratio, seed=seed)
-        model = M.train(train, features, seed=seed, **settings)
+        if kind in B.CONFIGS:
+            model = B.train(train, features, settings=replace(B.CONFIGS[kind], seed=seed, **settings))
+        else:
+            model = M.train(train, features, kind=kind, seed=seed, **settings)
         rates = E.requirement_gate(E.confusion(M.score(model, test), "is_fraud", "fraud_probability", self.threshold)).first().asDict()
         name = self.registry.save(model, rates, features)
-        self.model, self.features = model, features
+        self._take(model, features)
         self._log("model_training", training_metrics={"model_id": name, "performance": {"precision": rates["precision"], "recall": rates["recall"], "f1_score": rates["f1"], "accuracy": rates["accuracy"]}})
         return {"model_id": name, "oversampled": made, "features": len(features), **rates}
 
@@ -95,15 +112,23 @@ class RiskService:
         return M.score(self.model, E.default_fill(rows, self.features), self.threshold)
 
     def predict_one(self, request: dict) -> dict:
-        """One request, answered and logged."""
+        """One request, answered and logged; of a model of trees on the driver, without a Spark job."""
         if not request:
             raise ValueError("empty request")
+        if self.model is None:
+            raise LookupError("no model")
         began = datetime.now(timezone.utc)
-        row = {k: float(v) for k, v in request.items() if k in self.features and v is not None}
-        r = self.predict(self.spark.createDataFrame([row or {"amt": 0.0}])).first()
+        if self.trees:
+            p = self.trees.probability_one(request)
+            fraud = self.trees.margin_one(request) > self.trees.limit(self.threshold)
+            said, sure = ("fraudulent", p) if fraud else ("legitimate", 1 - p)
+        else:
+            row = {k: float(v) for k, v in request.items() if k in self.features and v is not None}
+            r = self.predict(self.spark.createDataFrame([row or {"amt": 0.0}])).first()
+            p, said, sure = r.fraud_probability, r.prediction, r.confidence
         seconds = (datetime.now(timezone.utc) - began).total_seconds()
-        self._log("prediction_request", request_data={k: str(v) for k, v in request.items()}, prediction=r.prediction, fraud_probability=r.fraud_probability, processing_time_seconds=seconds)
-        return {"predict": r.prediction, "confidence": r.confidence, "fraud_probability": r.fraud_probability, "features_used": len(self.features)}
+        self._log("prediction_request", request_data={k: str(v) for k, v in request.items()}, prediction=said, fraud_probability=p, processing_time_seconds=seconds)
+        return {"predict": said, "confidence": sure, "fraud_probability": p, "features_used": len(self.features)}
 
     def test_logging(self) -> dict:
         """Writes a prediction event and says where."""
@@ -112,8 +137,7 @@ class RiskService:
         return {"logger_exists": True, "log_dir": f"{self.storage}/logs", "test_log_created": path, "current_time": event["system_timestamp"]}
 
     def _logs(self) -> DataFrame:
-        raw = self.spark.read.schema(S.LOG_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").json(f"{self.storage}/logs")
-        return raw.where("system_timestamp is not null").withColumn("ts", F.expr("try_to_timestamp(system_timestamp)").cast("timestamp_ntz"))
+        return S.load_logs(self.spark, f"{self.storage}/logs")
 
     def system_metrics(self, as_of: str, hours: int = 24) -> dict:
         own = L.recent(self._logs(), as_of, hours)

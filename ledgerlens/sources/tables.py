@@ -14,6 +14,8 @@ LOG_SCHEMA = (
     "training_metrics struct<model_id:string,timestamp:string,performance:struct<precision:double,recall:double,f1_score:double,accuracy:double>,training_duration_seconds:double>, "
     "dataset_info map<string,string>, error_info map<string,string>, _corrupt string"
 )
+#: Where one JSON object of a file ends and another begins.
+OBJECTS = r"(?<=\})\s*\n\s*(?=\{)"
 
 
 def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
@@ -59,7 +61,7 @@ def load_labels(spark: SparkSession, path: str) -> DataFrame:
     """(trans_num, is_fraud) of JSON objects of labels, one or many a file; null, NaN and infinite values are cleaned."""
     if not exists(spark, path):
         return spark.createDataFrame([], "trans_num string, is_fraud int")
-    objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", OBJECTS)).alias("value"))
     pairs = objects.select(F.explode(F.from_json("value", "map<string,double>", {"allowNonNumericNumbers": "true"})).alias("trans_num", "is_fraud"))
     return pairs.withColumn("is_fraud", clean_label(F.col("is_fraud")))
 
@@ -87,9 +89,12 @@ def newest_and_oldest(files: DataFrame) -> DataFrame:
 
 
 def load_logs(spark: SparkSession, pattern: str) -> DataFrame:
-    """JSON log events, one object per file; malformed ones and those without a system timestamp are left out."""
-    raw = spark.read.schema(LOG_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(pattern)
-    logs = raw.select("*", F.col("_metadata.file_path").alias("file"))
+    """JSON log events, one or many a file, on a line each or over several lines; malformed ones and those without a system timestamp are left out.
+
+    A file is what a call or a process has appended, and is read whole.
+    """
+    lines = spark.read.text(pattern, wholetext=True).select(F.explode(F.split("value", OBJECTS)).alias("value"), F.col("_metadata.file_path").alias("file"))
+    logs = lines.select(F.from_json("value", LOG_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"), "file").select("e.*", "file")
     return logs.where("_corrupt is null and system_timestamp is not null").drop("_corrupt").withColumn("ts", F.expr("try_to_timestamp(system_timestamp)").cast("timestamp_ntz")).where("ts is not null")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators import logs as L
+from ledgerlens.operators.learning import score
+from ledgerlens.operators.trees import TreeModel
 
 
 def log_stream(spark: SparkSession, folder: str, schema, form: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -33,11 +36,7 @@ def run_alerts(stream: DataFrame, sink: str, checkpoint: str, lateness: str = "1
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def run_scores(stream: DataFrame, model, sink: str, checkpoint: str, threshold: float = 0.5) -> StreamingQuery:
-    """Scores of a stream of feature rows by a fitted pipeline, appended to a Parquet table."""
-    from pyspark.ml.functions import vector_to_array
-
-    from ledgerlens.operators.evaluation import decide
-
-    scored = model.transform(stream).withColumn("fraud_probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    return decide(scored, "fraud_probability", threshold).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def run_scores(stream: DataFrame, model: PipelineModel | TreeModel, sink: str, checkpoint: str, threshold: float = 0.5) -> StreamingQuery:
+    """Scores of a stream of feature rows by a model, appended to a Parquet table."""
+    scored = score(model, stream, threshold)
+    return scored.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -214,18 +214,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got <= want and {w for w in want if w[0] < last} <= got
 
 
-def test_adasyn_in_blocks(spark, monkeypatch):
-    """A minority over the size of a broadcast gives the same synthetic rows."""
-    rng = random.Random(3)
-    rows = [(i, rng.gauss(0, 1), float(rng.randint(0, 5)), 0) for i in range(3000)] + [(5000 + i, rng.gauss(1.5, 0.7), float(rng.randint(0, 5)), 1) for i in range(300)]
-    df = spark.createDataFrame(rows + rows[-3:], "trans_num long, a double, b double, is_fraud int")
-    made = lambda: sorted((r.a, r.b) for r in M.oversampled(df, ["a", "b"], ratio=0.15)[0].where("trans_num is null").collect())
-    want = made()
-    monkeypatch.setattr(M, "MAX_MINORITY_VALUES", 512)
-    assert made() == want and len(want) > 100
+def test_errors_of_oversampling_are_raised(spark, monkeypatch):
     monkeypatch.setattr(M, "adasyn", lambda *a, **k: [].index(1))
     with pytest.raises(ValueError):
-        M.oversampled(df, ["a", "b"])
+        M.oversampled(spark.createDataFrame([(1, 1.0, 0)], "trans_num long, a double, is_fraud int"), ["a"])
 
 
 def test_adasyn_and_models(spark, tmp_path):
@@ -255,10 +247,10 @@ def test_adasyn_and_models(spark, tmp_path):
     plain = M.train(more, ["a", "b"], maxIter=2, maxDepth=2)
     monitor.run_scores(spark.readStream.schema("trans_num long, a double, b double").parquet(f"{tmp_path}/in"), plain, f"{tmp_path}/out", f"{tmp_path}/st").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 630
-    found = M.weighted(more, df, ["a", "b"], maxIter=2, maxDepth=2)
+    found = M.weighted(more, df, ["a", "b"], rounds=20)
     assert {r["factor"] for r in found} == {1.0, 0.5, 0.2} and max(r["recall"] for r in found) > 0.5
     assert len(M.importances(plain, ["a", "b"], top=1)) == 1
-    best = M.grid(more, df, ["a", "b"], ratios=(0.15,), configs=("balanced",), maxIter=2, maxDepth=2)
+    best = M.grid(more, df, ["a", "b"], ratios=(0.15,), configs=("balanced",), rounds=2)
     assert best[0]["config"] == "balanced"
 
 

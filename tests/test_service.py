@@ -20,11 +20,16 @@ def test_calls(spark, tmp_path):
     sinks.write_labels(S.sample_labels(trades, 0.2), f"{data}/fraud_release.json")
     made = service.create_dataset()
     assert made["rows"] == 400 and 30 < made["frauds"] < 130
-    trained = service.train_model(maxIter=2, maxDepth=2)
+    trained = service.train_model(rounds=3, depth=3)
     assert trained["features"] > 40 and 0 <= trained["f1"] <= 1
     again = RiskService(spark, data, storage)
     assert again.health() == {"status": "healthy", "model_loaded": True, "features": trained["features"]}
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = jobs()
     answer = again.predict_one({"amt": 12.5, "cc_num": "7", "merchant": "m"})
+    assert jobs() == before  # no Spark job for a request
+    batch = again.predict(spark.createDataFrame([(12.5,)], "amt double")).first()
+    assert (answer["predict"], answer["confidence"]) == (batch.prediction, pytest.approx(batch.confidence, abs=1e-12))
     assert answer["predict"] in ("fraudulent", "legitimate") and 0.5 <= answer["confidence"] <= 1
     with pytest.raises(ValueError):
         again.predict_one({})
@@ -35,4 +40,4 @@ def test_calls(spark, tmp_path):
     assert again.drift_check()["severity"] == "none" and again.monitoring_status()["checks"] == 1
     table = RiskService(spark, data, f"{tmp_path}/as-csv")
     assert table.create_dataset(form="csv")["rows"] == 400
-    assert table.train_model(maxIter=1, maxDepth=2)["features"] == trained["features"] and table.drift_check()["severity"] == "none"
+    assert table.train_model(kind="gbt", maxIter=1, maxDepth=2)["features"] == trained["features"] and table.drift_check()["severity"] == "none"
