@@ -130,8 +130,8 @@ def word_order(frequent: DataFrame, head: int = HEAD) -> Order:
     bitmap = None
     if frequent.count() > len(top):
         last = (-top[-1].n, top[-1].lang, top[-1].word) if top else (-(1 << 62), "", "")
-        rest = frequent.where(~short | (F.struct(-F.col("n"), F.col("lang"), F.col("word")) > F.struct(*map(F.lit, last))))
-        bits = rest.select(Order.hash(F.col("lang"), F.col("word")).alias("h")).groupBy((F.col("h") / 8).cast("long").alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("h") % 8).cast("int"))).alias("bits"))
+        rest = frequent.where(~short | (F.struct(-F.col("n"), F.col("lang"), F.col("word")) > F.struct(F.lit(last[0]).cast("long"), F.lit(last[1]), F.lit(last[2]))))
+        bits = rest.select(Order.hash(F.col("lang"), F.col("word")).alias("h")).groupBy((F.col("h") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 8 AS INT))")).alias("bits"))
         found = bits.toArrow()  # at most a row per byte of the bitmap
         bitmap = np.zeros(1 << FILTER_BITS - 3, np.uint8)
         bitmap[found["byte"].to_numpy()] = found["bits"].to_numpy()

@@ -6,35 +6,18 @@ not the batch; a text longer than a slice is hashed piece by piece.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 PIECE = 1 << 20
 SLICE_BYTES = 4 << 20
-#: An odd multiplier for polynomial hashes modulo 2**64.
+#: An odd multiplier.
 P = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64, for a piece."""
-    if not _powers:
-        for name, p in (("up", P), ("down", pow(P, -1, 1 << 64))):
-            out = np.ones(PIECE + 1, U)
-            n, step = 1, p
-            while n <= PIECE:  # doubling: out[n:2n] = out[:n] * p**n
-                m = min(n, PIECE + 1 - n)
-                out[n : n + m] = out[:m] * U(step)
-                n, step = n * 2, step * step % (1 << 64)
-            _powers[name] = out
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -58,31 +41,49 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = _table(lambda b: b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122, lower=True)
 
 
+#: Bytes of a word that are mixed eight at a time; longer words are hashed by xxh3.
+SHORT = 64
+#: Masks of the first 0 to 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def _hash_all(buffer: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from s to e, of those bytes alone: one to one for up to eight of them of a length."""
+    padded = np.frombuffer(buffer + bytes(8), np.uint8)
+    eight = np.ndarray(len(buffer) + 1, U, padded.data, strides=(1,))  # the number that begins at each place
+    size = e - s
+    h = mix(size.astype(U) * U(P))
+    live = np.arange(len(s))
+    for at in range(0, SHORT, 8):
+        live = live[size[live] > at] if at else live
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (eight[s[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]))
+    for i in np.flatnonzero(size > SHORT):
+        h[i] = xxhash.xxh3_64_intdigest(buffer[s[i] : e[i]])
+    return h
+
+
 def word_hashes(data: bytes, table: bytes) -> np.ndarray:
     """A 64-bit hash of each word of UTF-8 bytes."""
-    up, down = powers()
     out, at, n = [], 0, len(data)
     while at < n:
         end = min(n, at + PIECE)
         piece = data[at:end].translate(table)
         if end < n:  # end on a separator
             cut = piece.rfind(b" ")
-            if cut > 0:
-                end, piece = at + cut, piece[:cut]
-            elif piece[-1:] != b" ":  # one word longer than a piece
-                at, end = at + (cut + 1), end
-                while end < n and (more := data[end : end + PIECE].translate(table)).find(b" ") < 0:
-                    end += len(more)
-                end += max(0, data[end : end + PIECE].translate(table).find(b" "))
-                out.append(np.array([int.from_bytes(hashlib.blake2b(data[at:end].translate(table), digest_size=8).digest(), "little")], U))
-                at = end
-                continue
-        a = np.frombuffer(piece, np.uint8)
-        inside = np.concatenate(([False], a != 32, [False]))
+            while cut < 0 and end < n:  # one word longer than a piece
+                more = data[end : end + PIECE].translate(table)
+                found = more.find(b" ")
+                piece += more if found < 0 else more[:found]
+                end += len(more) if found < 0 else found
+                cut = -1 if found < 0 else len(piece)
+            if cut >= 0:
+                end, piece = at + max(cut, 1), piece[: max(cut, 1)]
+        inside = np.concatenate(([False], np.frombuffer(piece, np.uint8) != 32, [False]))
         edge = np.flatnonzero(inside[1:] != inside[:-1])
-        s, e = edge[::2], edge[1::2]
-        sums = np.concatenate(([U(0)], np.cumsum((a.astype(U) + U(1)) * up[: len(a)], dtype=U)))
-        out.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
+        if len(edge):
+            out.append(_hash_all(piece, edge[::2], edge[1::2]))
         at = end
     return np.concatenate(out) if out else np.zeros(0, U)
 

@@ -13,7 +13,8 @@ source, and applying it moves no text.
 
 Null text has size 0 and null is a source of its own, the last. The order goes
 by a hash of id and text, so rows without an id, or of one id with unlike texts,
-are spread like others; rows that are equal in both are taken together. Empty
+are spread like others; rows that are equal in both are numbered, and spread by
+their numbers too: which of them has which number makes no difference. Empty
 tables give empty results. Whole documents are taken, never parts. Columns that
 begin with two underscores are for the operator's own use; others pass through.
 """
@@ -39,7 +40,31 @@ def size_of(text: Column) -> Column:
 
 
 def order_hash(id_col: str, seed: int, text_col: str = "text") -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    """The place of a row in the shuffled order: a hash of id and text, and of the row's number among those that are equal in both."""
+    own = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    return F.when(F.col("__copy") == 0, own).otherwise(F.xxhash64(own, F.col("__copy")))
+
+
+def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with __copy: 0, or the number of a row among rows of its id and text. Only repeated rows move, in pieces as they lie."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    same = F.xxhash64(F.col(id_col), F.col(text_col))
+    again = scratch.keep(docs.groupBy(same.alias("__same2")).agg(F.count(F.lit(1)).alias("__n2")).where("__n2 > 1").select("__same2"), "again")
+    n = again.count()
+    if not n:
+        return docs.withColumn("__copy", F.lit(0).cast("long"))
+    rows = docs.withColumn("__same", same)
+    on = F.col("__same") == F.col("__same2")
+    repeated = rows.join(sized_broadcast(again, n), on).drop("__same2").withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
+    repeated = scratch.keep(repeated, "repeated")
+    counts = repeated.groupBy(F.col("__same").alias("__same2"), F.col("__p").alias("__p2")).agg(F.count(F.lit(1)).alias("__n2"))
+    before = F.coalesce(F.sum("__n2").over(W.partitionBy("__same2").orderBy("__p2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    counts = counts.withColumn("__before", before)
+    rank = F.row_number().over(W.partitionBy("__same", "__p").orderBy("__m")) - 1 + F.col("__before")
+    numbered = repeated.join(counts, on & (F.col("__p") == F.col("__p2"))).withColumn("__copy", rank.cast("long"))
+    columns = [*[F.col(f"`{c}`") for c in docs.columns], F.col("__copy")]
+    alone = rows.join(sized_broadcast(again, n), on, "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    return alone.select(*columns).unionByName(numbered.select(*columns))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES) -> DataFrame:
@@ -73,6 +98,7 @@ def _range(h: Column, bits: int) -> Column:
 
 def cuts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
     """Per source: its row of targets() with last1 and last2, the (hash, id) of the last document taken in each round."""
+    docs = docs if "__copy" in docs.columns else with_copies(docs, id_col)
     scratch = Scratch(spark, "mixing")
     rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col("source"), order_hash(id_col, seed).alias("h"), size_of(F.col("text")).alias("size")), "sizes")
     by = scratch.keep(targets(rows), "targets")
@@ -107,6 +133,7 @@ def cuts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", seed: int
 
 def with_taken(docs: DataFrame, cut: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
     """docs with __size, __cut (the source's row) and __times, how often the mix takes the document."""
+    docs = docs if "__copy" in docs.columns else with_copies(docs, id_col)
     side = cut.select(F.col("source").alias("__source"), F.struct("source_size", "target", "last1", "last2").alias("__cut"))
     rows = docs.join(sized_broadcast(side, cut.count()), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     own = F.struct(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("id"))

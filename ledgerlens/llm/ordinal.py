@@ -12,7 +12,10 @@ the size of the logarithm of that ratio, plus EVEN.
 Grades of a label: 0 toxic, 1 bad, 2 good. Null texts and texts without
 features get the grade that the thresholds alone give, and so does every
 document where there are no labels or one grade only. Repeated rows and labels
-count as often as they occur; labels without an id meet no document. An empty
+count as often as they occur, in the sample of those that are fitted as well:
+a label that is there k times is taken k times the sample's rate, rounded by a
+hash. Labels without an id meet no document. Texts of any length are read in
+parts, a run without spaces as one. A document at KEEP_TAIL is kept. An empty
 table of documents gives an empty result; other columns are ignored.
 """
 
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import whole
+from ledgerlens.llm.common import Scratch, sized_broadcast, whole
 from ledgerlens.llm.kernels import ALNUM, PIECE, joined_hashes, slices
 
 BITS, GRADES = 18, 3
-#: About so many labelled rows, and bytes of text, chosen by a hash of the id, are fitted; all if there are fewer.
+#: About so many labelled rows, and bytes of text, chosen by a hash, are fitted; all if there are fewer, and never more than twice as many rows.
 TRAIN_ROWS, TRAIN_BYTES = 12_000, 60_000_000
 STEPS, MEMORY, RIDGE, EVEN = 120, 8, 3e-5, 0.05
 #: Features that are expanded at once in fitting.
@@ -184,22 +187,29 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
     """Fits a bounded number of labelled documents; their features, not their texts, come to the driver."""
     graded = labels.where("quality is not null").select(F.col(id_col).alias("__id"), F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1).cast("long").alias("__grade"))
-    total = graded.count()
+    graded = graded.groupBy("__id", "__grade").agg(F.count(F.lit(1)).alias("__n"))
+    total = graded.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     mean = docs.agg(F.avg(F.octet_length(whole(F.col("text"))))).first()[0] or 0.0
     rate = min(1.0, train_rows / max(1, total), TRAIN_BYTES / max(1.0, total * mean))
-    if rate < 1:
-        graded = graded.where(F.pmod(F.xxhash64(F.lit("grade"), "__id"), F.lit(1_000_000)) < int(1e6 * rate))
+    chance = F.pmod(F.xxhash64(F.lit("grade"), "__id", "__grade"), F.lit(1_000_000)) / 1e6
+    taken = F.floor(F.col("__n") * rate + chance).cast("long") if rate < 1 else F.col("__n")
+    graded = Scratch(docs.sparkSession, "grades").keep(graded.select("__id", "__grade", taken.alias("__times")).where("__times > 0"), "graded")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 t, f = features(texts)
                 cut = np.searchsorted(t, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__grade"), pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["__id", "__grade", "f"])
-
-    # About train_rows rows of a few numbers: bounded, so broadcast, and the texts stay where they are.
-    rows = docs.join(F.broadcast(graded), F.col(id_col) == F.col("__id")).select("__id", "__grade", "text")
-    own = rows.mapInArrow(reduce, f"__id {dict(labels.dtypes)[id_col]}, __grade long, f binary").toArrow().sort_by("__id")
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__grade"), part.column("__h"), pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["__id", "__grade", "__h", "f"])
+
+    # The sample's ids are few, so texts stay where they are; rows that an id's repeats make beyond it are cut by hash.
+    rows = docs.join(sized_broadcast(graded, graded.count()), F.col(id_col) == F.col("__id"))
+    rows = rows.select("__id", "__grade", F.explode(F.sequence(F.lit(1), F.least("__times", F.lit(2 * train_rows)).cast("int"))).alias("__time"), "text")
+    rows = rows.withColumn("__h", F.xxhash64("__id", "__grade", "__time", "text"))
+    chosen = rows.select("__h").orderBy("__h").limit(2 * train_rows).agg(F.count(F.lit(1)), F.max("__h")).first()
+    rows = rows.where(F.col("__h") <= F.lit(chosen[1])) if chosen[0] == 2 * train_rows else rows
+    kind = dict(labels.dtypes)[id_col]
+    own = rows.select("__id", "__grade", "__h", "text").mapInArrow(reduce, f"__id {kind}, __grade long, __h long, f binary").orderBy("__h").limit(2 * train_rows).toArrow()
     return fit([np.frombuffer(x, np.int32) for x in own["f"].to_pylist()], own["__grade"].to_numpy() if own.num_rows else np.zeros(0, np.int64))
 
 

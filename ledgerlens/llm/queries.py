@@ -68,7 +68,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     rows = mixing.with_taken(docs, mixing.cuts(spark, docs))
     return rows.select("doc_id", F.col("__size").alias("size"), F.col("__cut.source_size").alias("source_size"), F.col("__cut.target").alias("target"), (F.col("__size") * F.col("__times")).alias("taken"))
 

@@ -309,6 +309,43 @@ def test_mix_of_awkward_rows(spark):
     assert all(abs(r.taken - r.target) <= 20 for r in taken) and max(r.kinds for r in taken) > 1
 
 
+def plain_queue(rows):
+    """Times that each (source, hash, id) of (source, hash, id, size) rows is taken by a fair queue of all finish times."""
+    sizes = Counter()
+    for s, _, _, n in rows:
+        sizes[s] += n
+    target = mix_targets(sizes)
+    rank = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
+    events, budget = [], sum(target.values())
+    for s in sizes:
+        done = 0
+        for _, h, i, n in sorted(r for r in rows if r[0] == s and r[3]):
+            done += n
+            events.append((done / target[s], rank[s], h, i, 1, n, s))
+            if target[s] > sizes[s]:
+                events.append(((done + sizes[s]) / target[s], rank[s], h, i, 2, n, s))
+    taken, total = Counter(), 0
+    for _, _, h, i, _, n, s in sorted(events):
+        total += n
+        if total > budget:
+            break
+        taken[s, h, i] += 1
+    return taken, target
+
+
+def test_mix_is_a_plain_fair_queue(spark):
+    equal = [(1, "ten words " * 5, "a")] * 900 + [(2 + i, f"w{i} " * (1 + i % 19), "b") for i in range(300)]
+    others = [(i, f"w{i} " * (1 + i % 23), ["x", "y", None, "é"][i % 4 if i % 3 else 0]) for i in range(700)]
+    for rows in (equal, others, others + equal):
+        numbered = mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+        got = mixing.with_taken(numbered, mixing.cuts(spark, numbered)).select("source", mixing.order_hash("doc_id", 7).alias("h"), "doc_id", "__size", "__times", "__cut.target").collect()
+        assert len(got) == len(rows)
+        want, target = plain_queue([tuple(r)[:4] for r in got])
+        assert {(r.source, r.h, r.doc_id): r["__times"] for r in got if r["__times"]} == dict(want)
+        for s in target:  # within a document of the target, repeated rows as well
+            assert abs(sum(r["__size"] * r["__times"] for r in got if r.source == s) - target[s]) <= 25
+
+
 # -- sharding ----------------------------------------------------------------------------------
 def test_shards_fit_and_only_oversized_buckets_split(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -442,8 +479,8 @@ def test_languages_match_plain_naive_bayes(spark, docs, monkeypatch):
     size, half = 1 << language_id.BITS, language_id.SMOOTH
     total = {x: [sum(n for b, n in counts[x].items() if b >> language_id.BITS == k) for k in range(2)] for x in langs}
     frame = spark.createDataFrame(own, "doc_id long, text string, lang string")
-    model = language_id.train(frame)
-    assert model.languages == langs
+    (block,) = language_id.train(frame).blocks()
+    assert block.languages == langs
     monkeypatch.setattr(language_id, "PIECE_CHARS", 50)
     for d, t, _ in own[:25]:
         grams = list(plain_grams(t))
@@ -451,11 +488,23 @@ def test_languages_match_plain_naive_bayes(spark, docs, monkeypatch):
         top = max(logs)
         want = langs[logs.index(top)], 1 / sum(math.exp(v - top) for v in logs)
         for texts_ in ([t.encode()], [t.encode(), b"other text"]):  # piece by piece, and with others
-            got, score = model.score(texts_)
-            assert got[0] == want[0] and score[0] == pytest.approx(want[1], abs=1e-3)
+            scores = block.logs(texts_)[0]
+            assert block.languages[scores[0].argmax()] == want[0] and 1 / np.exp(scores[0] - scores[0].max()).sum() == pytest.approx(want[1], abs=1e-3)
     many = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang"))
-    with pytest.raises(ValueError):
-        language_id.train(many)
+    learned = language_id.train(many)
+    one, parts = (sorted(map(tuple, language_id.predict(many, learned, block=n).collect())) for n in (200, 37))
+    assert [r[:2] for r in one] == [r[:2] for r in parts] and [r[2] for r in one] == pytest.approx([r[2] for r in parts]) and one[0][1:] == ("0", pytest.approx(1 / 200))
+
+
+def test_sample_of_repeated_labels(spark, monkeypatch):
+    """A label that is there many times is taken by the sample's rate, whatever its id."""
+    seen = []
+    monkeypatch.setattr(ordinal, "fit", lambda rows, grades: seen.append(len(rows)))
+    docs_ = spark.createDataFrame([(i, f"text {i}") for i in (1, 2, 3)] + [(3, "another text")] * 50, "doc_id long, text string")
+    for i in (1, 2):
+        ordinal.train(docs_, labels(spark, [(i, 1, 0)] * 4000), train_rows=400)
+    ordinal.train(docs_, labels(spark, [(3, 1, 0)] * 4000), train_rows=400)
+    assert 399 <= seen[0] <= 401 and 399 <= seen[1] <= 401 and seen[2] <= 800
 
 
 def test_grades_match_plain_likelihood(monkeypatch):
