@@ -33,6 +33,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them."""
     own = [F.col(f"`{c}`") for c in docs.columns]
+    docs = mixing.with_copies(docs)
     rows = mixing.with_taken(docs, mixing.cuts(spark, docs)).where("__times > 0")
     return rows.select(*own, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy")).select(*own)
 
