@@ -8,17 +8,19 @@ plain double sums are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import boosting as B
 from ledgerlens.operators import drift as D
 from ledgerlens.operators import evaluation as E
 from ledgerlens.operators import features as X
 from ledgerlens.operators import learning as M
 from ledgerlens.operators import logs as L
 from ledgerlens.sources import tables as S
-from ledgerlens.sources.scratch import shared_folder
+from ledgerlens.sources.scratch import Scratch, shared_folder
 from ledgerlens.streaming import monitor
 
 AS_OF, DAY, SPLIT = "2024-01-29 12:00:00", "2024-01-15", "2024-01-16"
@@ -545,31 +547,64 @@ def stream_alerts(spark, d):
 
 
 # -- learning ----------------------------------------------------------------------------------
-MODEL_FEATURES = ["amt", "hour", "merchant_fraud_rate", "amt_zscore", "total_risk_score"]
+RATIO = 0.08
+WHOLE = [c for c in SCHEMA if c not in ("hour_sin", "hour_cos", "amt_log")]
+
+
+def learnable(spark, d):
+    """Every feature of each transaction, those of transcendental functions rounded."""
+    return wide(spark, d).select("trans_num", "is_fraud", *WHOLE, *six("hour_sin", "hour_cos", "amt_log"))
 
 
 def _folds(spark, d):
-    rows = E.stratified_split(wide(spark, d).select("trans_num", "is_fraud", *MODEL_FEATURES), "trans_num", "is_fraud")
+    rows = E.stratified_split(Scratch(spark, "folds").keep(learnable(spark, d), "rows"), "trans_num", "is_fraud")
     return rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
 
 
 @query(None)
 def adasyn(spark, d):
-    rows = wide(spark, d).select("trans_num", "is_fraud", *MODEL_FEATURES)
-    return M.oversampled(rows, MODEL_FEATURES, ratio=0.08)[0]
+    return M.oversampled(learnable(spark, d), SCHEMA, ratio=RATIO)[0]
+
+
+@query(f"""WITH {FEATURES}, p AS (SELECT trans_num, is_fraud AS y, {", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in WHOLE)}, round(hour_sin, 6) + 0 AS hour_sin, round(hour_cos, 6) + 0 AS hour_cos, round(amt_log, 6) AS amt_log FROM feat),
+ d AS (SELECT a.trans_num AS t, b.y, {" + ".join(f"(b.{c} - a.{c}) * (b.{c} - a.{c})" for c in SCHEMA)} AS d2 FROM p a JOIN p b ON a.y = 1 AND a.trans_num <> b.trans_num),
+ k AS (SELECT t, y FROM d QUALIFY row_number() OVER (PARTITION BY t ORDER BY d2, y) <= 5),
+ m AS (SELECT t AS trans_num, count(*) FILTER (y = 0) AS majority FROM k GROUP BY t), n AS (SELECT count(*) FILTER (y = 1) AS ones, count(*) FILTER (y = 0) AS zeros FROM p)
+ SELECT trans_num, majority, round_even(majority::DOUBLE / (SELECT sum(majority) FROM m)::DOUBLE * floor({RATIO} * zeros - ones), 0)::BIGINT AS copies FROM m, n""")
+def adasyn_shares(spark, d):
+    """How many of the five nearest rows of each minority row are of the majority, and how many synthetic rows it gets."""
+    own = M.Minority(learnable(spark, d), SCHEMA, keep=("trans_num",))
+    return own.shares.select("trans_num", "majority", own.copies(RATIO).alias("copies"))
 
 
 @query(None)
 def train_and_score(spark, d):
+    """The production configuration, boosted trees that are dropped at times, in the image's number of rounds, on all features and oversampled rows."""
     train, test = _folds(spark, d)
-    model = M.train(train, MODEL_FEATURES, maxIter=5, maxDepth=4)
+    rows = M.oversampled(train, SCHEMA, ratio=0.05)[0]
+    model = B.train(rows, SCHEMA, settings=replace(B.CONFIGS["aggressive"], rounds=100))
     return M.score(model, test).select("trans_num", "is_fraud", "fraud_probability", "prediction", "confidence")
 
 
+@query(None)
+def training_factors(spark, d):
+    """Second-order boosted trees with each of three factors that positives weigh."""
+    train, test = _folds(spark, d)
+    return spark.createDataFrame(M.weighted(train, test, SCHEMA, rounds=30), "config string, factor double, tp long, fp long, fn long, tn long, precision double, recall double, f1 double, accuracy double")
+
+
+@query(None)
+def training_grid(spark, d):
+    """Four configurations by four ratios of oversampling."""
+    train, test = _folds(spark, d)
+    found = M.grid(train, test, SCHEMA, rounds=10)
+    return spark.createDataFrame(found, "config string, ratio double, oversampled boolean, trees int, loss double, tp long, fp long, fn long, tn long, precision double, recall double, f1 double, accuracy double, best_threshold double, best_f1 double")
+
+
 @query(None)
 def feature_importance(spark, d):
-    model = M.train(_folds(spark, d)[0], MODEL_FEATURES, kind="rf", numTrees=10, maxDepth=5)
-    return spark.createDataFrame(M.importances(model, MODEL_FEATURES), "feature string, importance double")
+    model = M.train(_folds(spark, d)[0], SCHEMA, kind="rf")
+    return spark.createDataFrame(M.importances(model, SCHEMA), "feature string, importance double")
 
 
 # -- privacy and quality checks that the application's documents describe ----------------------
