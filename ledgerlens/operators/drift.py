@@ -8,8 +8,10 @@ follow from these, so no task holds a feature.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,14 +37,33 @@ class MonitoringConfig:
     p_limit: float = P_LIMIT
 
 
+def few_values(df: DataFrame, columns: list[str], most: int = MAX_CATEGORIES) -> DataFrame:
+    """column and n of distinct values that aren't null, counted up to most + 1: a task hands on no more of a column, in one pass over df."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, set] = {c: set() for c in columns}
+        for b in batches:
+            for c in columns:
+                if len(found[c]) <= most:
+                    found[c] |= set(b.column(c).unique().to_pylist()[: most + 2])
+                    found[c].discard(None)
+        rows = [(c, v) for c in columns for v in sorted(found[c])[: most + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["column", "value"])
+
+    values = df.select(*columns).mapInArrow(seen, "column string, value string").dropDuplicates()
+    return values.groupBy("column").agg(F.least(F.count(F.lit(1)), F.lit(most + 1)).alias("n"))
+
+
 def monitored_features(df: DataFrame) -> DataFrame:
     """feature, kind and distinct values: every numeric column, and text columns of at most 50 values."""
     numeric = [c for c, k in df.dtypes if k in ("int", "bigint", "double", "float", "smallint", "tinyint")]
     text = [c for c, k in df.dtypes if k == "string"]
-    counts = df.agg(*[F.countDistinct(c).alias(c) for c in text]) if text else df.sparkSession.range(1)
-    rows = [F.struct(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"), F.lit(None).cast("long").alias("n_values")) for c in numeric]
-    rows += [F.struct(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"), F.col(c).alias("n_values")) for c in text]
-    return counts.select(F.inline(F.array(*rows))).where(f"kind = 'numeric' or n_values <= {MAX_CATEGORIES}")
+    rows = [df.sparkSession.createDataFrame([(c, "numeric", None) for c in numeric], "feature string, kind string, n_values long")]
+    if text:
+        counts = _all_features(df, text).join(few_values(df, text), F.col("feature") == F.col("column"), "left")
+        n = F.coalesce("n", F.lit(0).cast("long"))
+        rows.append(counts.where(n <= MAX_CATEGORIES).select("feature", F.lit("categorical").alias("kind"), n.alias("n_values")))
+    return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
 
 
 def long_form(df: DataFrame, features: list[str], kind: str = "double") -> DataFrame:
@@ -89,51 +110,81 @@ def profile(df: DataFrame, features: list[str]) -> DataFrame:
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """Counts and shares of a column's values, nulls left out."""
-    by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()).cast("double"))
+    own = df.where(F.col(column).isNotNull())
+    by = own.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return by.join(F.broadcast(own.agg(F.count(F.lit(1)).alias("__all"))), F.lit(True)).withColumn("share", F.col("n") / F.col("__all").cast("double")).drop("__all")  # one row
 
 
-def ks(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and p-value per feature: asymptotic, or exact where both samples are of at most EXACT_VALUES."""
-    run = counted(base, other, features) if counts is None else counts
+def _ks_columns() -> list[Column]:
     apart = F.abs(F.try_divide(F.col("a_upto").cast("double"), F.col("a_all")) - F.try_divide(F.col("b_upto").cast("double"), F.col("b_all")))
-    done = run.groupBy("feature").agg(F.max(apart).alias("statistic"), F.first("a_all").alias("n_base"), F.first("b_all").alias("n_other"))
+    return [F.max(apart).alias("statistic"), F.first("a_all").alias("n_base"), F.first("b_all").alias("n_other")]
+
+
+def _with_ks(df: DataFrame, exact: bool) -> DataFrame:
     p = ks_p(F.col("statistic"), F.col("n_base"), F.col("n_other"))
     if exact:
         small = F.greatest("n_base", "n_other") <= EXACT_VALUES
         run_exact = F.pandas_udf(ks_exact, "double")
         p = F.coalesce(run_exact(F.when(small, F.col("statistic")), F.col("n_base"), F.col("n_other")), p)  # a row per feature
-    return done.withColumn("p_value", p)
+    return df.withColumn("p_value", p)
 
 
-def mann_whitney(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """Two-sided Mann-Whitney U with tie and continuity corrections."""
+def ks(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and p-value per feature: asymptotic, or exact where both samples are of at most EXACT_VALUES."""
     run = counted(base, other, features) if counts is None else counts
+    return _with_ks(run.groupBy("feature").agg(*_ks_columns()), exact)
+
+
+def _rank_columns() -> list[Column]:
+    """Sums that Mann-Whitney follows from: r (ranks of the baseline), n, m and ties."""
     t = F.col("a") + F.col("b")
-    ranked = run.select("feature", "a", "b", t.alias("t"), (F.col("a_upto") + F.col("b_upto") - t).alias("before"))
-    rank = F.col("before") + (F.col("t") + 1) / 2
-    t_ = F.col("t").cast("decimal(19,0)")
-    sums = ranked.groupBy("feature").agg(F.sum(F.col("a") * rank).alias("r"), F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum((t_ * t_ * t_ - t_).cast("decimal(38,0)")).cast("double").alias("ties"))
+    rank = F.col("a_upto") + F.col("b_upto") - t + (t + 1) / 2
+    t_ = t.cast("decimal(19,0)")
+    return [F.sum(F.col("a") * rank).alias("r"), F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum((t_ * t_ * t_ - t_).cast("decimal(38,0)")).cast("double").alias("ties")]
+
+
+def _ranked() -> tuple[Column, Column, Column]:
+    """u, z and the p-value of _rank_columns()."""
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     u = F.col("r") - n * (n + 1) / 2
     sigma = F.sqrt(n * m / 12 * ((n + m + 1) - F.col("ties") / ((n + m) * (n + m - 1))))
     z = F.try_divide(F.greatest(F.abs(u - n * m / 2) - 0.5, F.lit(0.0)), sigma)
-    return sums.select("feature", u.alias("u"), z.alias("z"), F.when(z.isNull(), 1.0).otherwise(erfc(z / F.sqrt(F.lit(2.0)))).alias("p_value"))
+    return u, z, F.when(z.isNull(), 1.0).otherwise(erfc(z / F.sqrt(F.lit(2.0))))
+
+
+def mann_whitney(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Two-sided Mann-Whitney U with tie and continuity corrections."""
+    run = counted(base, other, features) if counts is None else counts
+    u, z, p = _ranked()
+    return run.groupBy("feature").agg(*_rank_columns()).select("feature", u.alias("u"), z.alias("z"), p.alias("p_value"))
+
+
+def numeric_summary(counts: DataFrame, exact: bool = False) -> DataFrame:
+    """Per feature of counted(): statistic, p_value, mw (the Mann-Whitney p-value), and mean and deviation of both sides (m0, s0, m1, s1), in two passes."""
+    v = F.col("value")
+    own = lambda c, x: F.sum(F.when(F.col(c) > 0, x))
+    means = [F.try_divide(own(c, v * F.col(c)), F.sum(c)).alias(m) for c, m in (("a", "m0"), ("b", "m1"))]
+    one = _with_ks(counts.groupBy("feature").agg(*_ks_columns(), *_rank_columns(), *means), exact)
+    one = Scratch(counts.sparkSession, "drift").keep(one.withColumn("mw", _ranked()[2]), "features")  # a row per feature
+    off = lambda c, m: F.when(F.sum(c) > 1, F.sqrt(F.try_divide(own(c, F.col(c) * (v - F.col(m)) * (v - F.col(m))), F.sum(c) - 1)))
+    spread = counts.join(one.select(F.col("feature").alias("of"), "m0", "m1"), F.col("feature") == F.col("of")).groupBy("feature").agg(off("a", "m0").alias("s0"), off("b", "m1").alias("s1"))
+    return one.join(spread, "feature").where("n_base > 0 and n_other > 0")
 
 
-def chi_square(base: DataFrame, other: DataFrame, features: list[str]) -> DataFrame:
+def chi_square(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Goodness of fit of the comparison's categories to the baseline's shares; one category cannot drift."""
     whole = W.partitionBy("feature")
-    aligned = two_sided(base, other, features, "string").withColumns({"na": F.sum("a").over(whole), "nb": F.sum("b").over(whole)})
+    own = two_sided(base, other, features, "string") if counts is None else counts
+    aligned = own.withColumns({"na": F.sum("a").over(whole), "nb": F.sum("b").over(whole)})
     e = F.col("a").cast("double") / F.col("na") * F.col("nb") + TINY
     o = F.col("b").cast("double") + TINY
     done = aligned.where("na > 0 and nb > 0").groupBy("feature").agg(F.sum((o - e) * (o - e) / e).alias("statistic"), F.count(F.lit(1)).alias("k"))
     return done.withColumn("p_value", chisq_p(F.col("statistic"), F.col("k") - 1)).withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
 
 
-def new_categories(base: DataFrame, other: DataFrame, features: list[str]) -> DataFrame:
+def new_categories(base: DataFrame, other: DataFrame, features: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Values of the comparison that the baseline lacks."""
-    return two_sided(base, other, features, "string").where("a = 0").select("feature", "value")
+    return (two_sided(base, other, features, "string") if counts is None else counts).where("a = 0").select("feature", "value")
 
 
 #: Fixed: recommendations for a numeric feature by its statistic, and for a categorical one.
@@ -159,10 +210,7 @@ def feature_drift(base: DataFrame, other: DataFrame, numeric: list[str], categor
     none, p = F.lit(""), F.coalesce("p_value", F.lit(1.0))
     statistic = F.coalesce("statistic", F.lit(0.0))
     if numeric:
-        counts = counted(base, other, numeric)
-        side = lambda s, i: profile_of(counts, s).select("feature", F.col("mean").alias(f"m{i}"), F.col("std").alias(f"s{i}"))
-        n = ks(base, other, numeric, counts, exact).where("n_base > 0 and n_other > 0").select("feature", "statistic", "p_value")
-        n = n.join(side("a", 0), "feature").join(side("b", 1), "feature").join(mann_whitney(base, other, numeric, counts).select("feature", F.col("p_value").alias("mw")), "feature")
+        n = numeric_summary(counted(base, other, numeric), exact)
         n = _all_features(base, numeric).join(n, "feature", "left")
         shift, ratio = F.abs(F.col("m1") - F.col("m0")) / (F.col("s0") + TINY), F.col("s1") / (F.col("s0") + TINY)
         info = F.concat(
@@ -174,8 +222,9 @@ def feature_drift(base: DataFrame, other: DataFrame, numeric: list[str], categor
         advice = F.when(F.col("statistic").isNull(), NO_TEST).otherwise(_numeric_advice(statistic, drifted, info))
         parts.append(n.select("feature", drifted.alias("drift_detected"), statistic.alias("drift_score"), F.lit("distributional").alias("drift_type"), statistic.alias("test_statistic"), p.alias("p_value"), advice.alias("recommendation")))
     if categorical:
-        new = new_categories(base, other, categorical).groupBy("feature").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 5).alias("new"))
-        c = chi_square(base, other, categorical).join(new, "feature", "left")
+        both = Scratch(base.sparkSession, "drift").keep(two_sided(base, other, categorical, "string"), "categories")
+        new = new_categories(base, other, categorical, both).groupBy("feature").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 5).alias("new"))
+        c = chi_square(base, other, categorical, both).join(new, "feature", "left")
         c = _all_features(base, categorical).join(c, "feature", "left")
         drifted = p < p_limit
         advice = F.when(F.col("statistic").isNull(), NO_TEST).when(F.col("new").isNotNull(), F.concat(F.lit(NEW_VALUES), F.array_join("new", ", "), F.lit(". Consider retraining."))).when(drifted, CHANGED).otherwise(NO_ACTION)

@@ -8,7 +8,7 @@ LookupError where a dataset or model is missing.
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from ledgerlens.operators import logs as L
 from ledgerlens.operators.trees import TreeModel, from_pipeline
 from ledgerlens.sources import sinks
 from ledgerlens.sources import tables as S
+from ledgerlens.sources.logstore import LogStore
 
 NUMERIC_KINDS = ("int", "bigint", "double", "float")
 
@@ -31,7 +32,7 @@ class RiskService:
 
     def __init__(self, spark: SparkSession, data_dir: str, storage_dir: str, threshold: float = 0.5):
         self.spark, self.data, self.storage, self.threshold = spark, data_dir, storage_dir, threshold
-        self.registry = M.ModelRegistry(spark, f"{storage_dir}/models")
+        self.registry, self.logs = M.ModelRegistry(spark, f"{storage_dir}/models"), LogStore(spark, f"{storage_dir}/logs")
         self.monitor: D.DriftMonitor | None = None
         self.model, self.features, self.trees = None, [], None
         if name := self.registry.latest():
@@ -73,8 +74,7 @@ class RiskService:
         return {"path": path, **summary}
 
     def datasets(self) -> list[str]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.storage}/datasets/*")
-        return sorted(str(s.getPath()) for s in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or [])
+        return sinks.versions(self.spark, f"{self.storage}/datasets")
 
     def train_model(self, ratio: float = 0.03, seed: int = 42, kind: str = "aggressive", **settings) -> dict:
         """Trains on the latest dataset, evaluates on exact stratified shares, saves and uses the model.
@@ -136,11 +136,9 @@ class RiskService:
         path = sinks.append_logs(self.spark, [event], f"{self.storage}/logs")
         return {"logger_exists": True, "log_dir": f"{self.storage}/logs", "test_log_created": path, "current_time": event["system_timestamp"]}
 
-    def _logs(self) -> DataFrame:
-        return S.load_logs(self.spark, f"{self.storage}/logs")
-
     def system_metrics(self, as_of: str, hours: int = 24) -> dict:
-        own = L.recent(self._logs(), as_of, hours)
+        since = datetime.fromisoformat(as_of) - timedelta(hours=hours)
+        own = L.recent(self.logs.read(since.isoformat(sep=" ")), as_of, hours)
         return L.metrics(own).first().asDict() | L.usage_maps(own).first().asDict()
 
     def drift_check(self) -> dict:

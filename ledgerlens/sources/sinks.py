@@ -13,14 +13,53 @@ from pyspark.sql import functions as F
 EVENTS = {"prediction_request": "/predict", "dataset_creation": "/create_dataset", "model_training": "/train_model", "system_error": None}
 
 
+MANIFEST = "_manifest.json"
+
+
+def put(spark, path: str, text: str) -> None:
+    """A new small file; an error if there is one of that name already. No job runs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get(spark, path: str) -> str:
+    """The text of a small file. No job runs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def write_dataset(df: DataFrame, folder: str, name: str = "engineered", form: str = "parquet", as_of: datetime | None = None) -> str:
-    """A dataset version: a folder named by time, in Parquet, CSV or JSON."""
-    path = f"{folder}/{name}_{(as_of or datetime.now(timezone.utc)).strftime('%Y%m%d_%H%M%S')}"
-    writer = df.write.mode("overwrite")
+    """A dataset version: a folder named by time, in Parquet, CSV or JSON; its path.
+
+    No two versions share a folder, however close they are. A manifest of the
+    files is put last: without one, a folder is not a version, so readers of
+    versions() see whole ones only.
+    """
+    path = f"{folder}/{name}_{(as_of or datetime.now(timezone.utc)).strftime('%Y%m%d_%H%M%S_%f')}_{uuid.uuid4().hex[:8]}"
+    writer = df.write.mode("error")
     writer.csv(path, header=True) if form == "csv" else writer.format(form).save(path)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = [(s.getPath().getName(), s.getLen()) for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    put(spark, f"{path}/{MANIFEST}", json.dumps({"form": form, "columns": df.columns, "files": [f for f in files if not f[0].startswith(("_", "."))]}))
     return path
 
 
+def versions(spark, folder: str, name: str = "engineered") -> list[str]:
+    """The paths of a dataset's whole versions, the oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}_*/{MANIFEST}")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return sorted(str(s.getPath().getParent()) for s in found)
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """Labels as JSON objects: one entry a row, many rows a file; load_labels() reads them, and one object of all as well."""
     labels.select(F.to_json(F.map_from_arrays(F.array(F.col("trans_num").cast("string")), F.array(F.col("is_fraud")))).alias("value")).write.mode("overwrite").text(path)
@@ -37,13 +76,7 @@ def log_event(kind: str, as_of: datetime | None = None, **fields) -> dict:
 def append_logs(spark, events: list[dict], folder: str) -> str:
     """Log events as JSON lines in a new file of the folder, named by time to the millisecond; its path. No job runs."""
     path = f"{folder}/log_{datetime.now(timezone.utc).strftime('%Y%m%d_%H%M%S_%f')[:-3]}_{uuid.uuid4().hex[:8]}.json"
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
-    try:
-        out.write(bytearray("".join(json.dumps(e, default=str) + "\n" for e in events).encode()))
-    finally:
-        out.close()
+    put(spark, path, "".join(json.dumps(e, default=str) + "\n" for e in events))
     return path
 
 

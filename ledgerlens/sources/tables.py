@@ -88,7 +88,7 @@ def newest_and_oldest(files: DataFrame) -> DataFrame:
     return files.agg(F.max_by("path", F.struct("modified", "path")).alias("newest"), F.min_by("path", F.struct("modified", "path")).alias("oldest"))
 
 
-def load_logs(spark: SparkSession, pattern: str) -> DataFrame:
+def load_logs(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """JSON log events, one or many a file, on a line each or over several lines; malformed ones and those without a system timestamp are left out.
 
     A file is what a call or a process has appended, and is read whole.
