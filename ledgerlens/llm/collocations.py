@@ -37,12 +37,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Scratch, sized_broadcast
-from ledgerlens.llm.kernels import LOWER, slices
+from ledgerlens.llm.kernels import LOWER, P, mix, slices
 
 #: The most words of a phrase, its least occurrences, and the percentage of a phrase's occurrences that a longer one needs to stand for it.
 LONGEST, LEAST, COVERED, TOP = 5, 100, 100, 2000
 #: Words broadcast with their order, the most bytes of one, and bits of the bitmap of further frequent words.
 HEAD, HEAD_BYTES, FILTER_BITS = 400_000, 64, 26
+#: Bits of the bitmap of pairs of words, and places whose pairs are counted at once.
+PAIR_BITS, PAIRS = 26, 4_000_000
 #: Distinct words that a task counts before it hands them on; texts rewritten at once; the places of a pivot from which on it may be, and is, dealt to more tasks.
 COUNTED, TOGETHER, DEALT = 300_000, 4 << 20, (20_000, 2_000_000)
 #: Fragments that are mined at once, if their pivots are complete.
@@ -138,15 +140,52 @@ def word_order(frequent: DataFrame, head: int = HEAD) -> Order:
     return Order(dict(by), len(top), bitmap)
 
 
-def windows(ranks: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """How many words before and behind each place its own word, as pivot, reaches: those before are more frequent, those behind not rarer."""
+def pair_hashes(lang: str, ranks: np.ndarray, further: list[bytes], places: int) -> np.ndarray:
+    """A hash of every place's word and the next: of their places in the order, or of the words beyond it."""
+    ids = ranks
+    if further:
+        ids, far = ranks.copy(), ranks >= places
+        ids[far] = (np.array([zlib.crc32(w) for w in further], np.int64) + (1 << 40))[ranks[far] - places]
+    own = np.uint64(zlib.crc32(lang.encode()) << 8)
+    return (mix(ids[:-1].astype(np.uint64) + own) + mix(ids[1:].astype(np.uint64) ^ np.uint64(P))) * np.uint64(P) >> np.uint64(64 - PAIR_BITS)
+
+
+def pair_filter(docs: DataFrame, order: Order, least: int) -> np.ndarray:
+    """A bitmap of hashes of adjacent words that occur often enough together; hashes that others share may be set as well."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = shared.value, [np.zeros(0, np.uint64)]
+        for batch in batches:
+            for lang, texts in _by_lang(batch):
+                ranks, further = own.ranks(lang, [w for text in texts for w in (*tokens(text), b".")])
+                found.append(pair_hashes(lang, ranks, further, own.places)[(ranks[:-1] >= 0) & (ranks[1:] >= 0)])
+                if sum(map(len, found)) > PAIRS:
+                    yield handed(found)
+        yield handed(found)
+
+    def handed(found: list[np.ndarray]) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(found), return_counts=True)
+        found[:] = [np.zeros(0, np.uint64)]
+        return pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(n.astype(np.int32))], names=["pair", "n"])
+
+    often = docs.mapInArrow(count, "pair int, n int").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = often.groupBy(F.expr("pair div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, pair % 64)")).alias("bits")).toArrow()  # at most 2**PAIR_BITS / 64 rows
+    out = np.zeros(1 << PAIR_BITS - 6, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def windows(ranks: np.ndarray, longest: int = LONGEST, linked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many words before and behind each place its own word, as pivot, reaches: those before are more frequent, those behind not rarer, and each is linked to the next."""
     n, reach = len(ranks), longest - 1
+    linked = np.ones(max(0, n - 1), bool) if linked is None else linked
     before, behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
     open_before, open_behind = ranks >= 0, ranks >= 0
     for d in range(1, min(reach, n - 1) + 1):
         a, b = np.zeros(n, bool), np.zeros(n, bool)
-        a[d:] = (ranks[:-d] >= 0) & (ranks[:-d] < ranks[d:])
-        b[:-d] = (ranks[d:] >= 0) & (ranks[d:] <= ranks[:-d])
+        a[d:] = (ranks[:-d] >= 0) & (ranks[:-d] < ranks[d:]) & linked[: n - d]
+        b[:-d] = (ranks[d:] >= 0) & (ranks[d:] <= ranks[:-d]) & linked[d - 1 :]
         open_before, open_behind = open_before & a, open_behind & b
         before += open_before
         behind += open_behind
@@ -169,13 +208,13 @@ def distinct_rows(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate((rows[first], rows[odd])), np.concatenate((n, times[odd]))
 
 
-def fragments(docs: DataFrame, order: Order, longest: int = LONGEST) -> DataFrame:
-    """(lang, pivot, fragment, at, n): words around each pivot, space-joined, its place among them, and how often."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def fragments(docs: DataFrame, order: Order, pairs: np.ndarray, longest: int = LONGEST) -> DataFrame:
+    """(lang, pivot, fragment, at, n): words around each pivot, space-joined, its place among them, and how often. pairs: of pair_filter()."""
+    shared = docs.sparkSession.sparkContext.broadcast((order, pairs))
     reach = longest - 1
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, often = shared.value
         names: dict[str, pa.Array] = {}
         for batch in batches:
             for lang, texts in _by_lang(batch):
@@ -184,7 +223,8 @@ def fragments(docs: DataFrame, order: Order, longest: int = LONGEST) -> DataFram
                 if lang not in names:
                     head = own.head.get(lang, {})
                     names[lang] = pa.array(list(head), pa.binary()).cast(pa.string()), np.array(list(head.values()), np.int64)
-                before, behind = windows(ranks, longest)
+                pair = pair_hashes(lang, ranks, further, own.places)
+                before, behind = windows(ranks, longest, (often[pair >> np.uint64(3)] >> (pair & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
                 at = np.flatnonzero(before + behind)
                 if not len(at):
                     continue
@@ -270,14 +310,15 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, head: i
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = scratch.keep(word_counts(docs), "words")
     frequent = words.where(F.col("n") >= least)
-    found = fragments(docs, word_order(frequent, head), longest)
+    order = word_order(frequent, head)
+    found = fragments(docs, order, pair_filter(docs, order, least), longest)
     # Pivots of over a quarter of a task's places are dealt to as many tasks as they need.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = min(max(DEALT[0], (words.agg(F.sum("n")).first()[0] or 0) // (4 * tasks)), DEALT[1])
     hot = scratch.keep(words.where(F.col("n") > dealt).select(F.col("lang").alias("__lang"), F.col("word").alias("__word"), F.ceil(F.col("n") / dealt).cast("long").alias("__tasks")), "hot")
     found = found.join(sized_broadcast(hot, hot.count()), (F.col("lang") == F.col("__lang")) & (F.col("pivot") == F.col("__word")), "left")
     part = F.coalesce(F.pmod(F.xxhash64("fragment"), F.col("__tasks")), F.lit(-1).cast("long"))
-    routed = found.select("lang", F.xxhash64("pivot", part).alias("key"), F.col("__tasks").isNotNull().alias("dealt"), "fragment", F.col("at").cast("byte").alias("at"), "n")
+    routed = found.select("lang", F.hash("pivot", part).alias("key"), F.col("__tasks").isNotNull().alias("dealt"), "fragment", F.col("at").cast("byte").alias("at"), "n")
     routed = routed.repartition("key").sortWithinPartitions("key", "dealt", "lang")
     own = scratch.keep(mined(routed, least, longest), "mined")
     again = own.where("dealt").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
