@@ -255,8 +255,8 @@ def drift_report(results: DataFrame) -> DataFrame:
     return one.select("features", "drifted", "drift_percentage", F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"), severity(F.col("features"), F.col("drifted"), F.col("mean_score")).alias("severity"), advice.alias("recommendations"))
 
 
-def drift_by_period(base: DataFrame, other: DataFrame, period: str, features: list[str]) -> DataFrame:
-    """KS of every period of the comparison against the baseline: one job over (period, feature), not a loop.
+def drift_by_period(base: DataFrame, other: DataFrame, period: str, features: list[str], categorical: list[str] | None = None) -> DataFrame:
+    """KS of every period of the comparison against the baseline: one job over (period, feature), not a loop; for categorical features categories_by_period().
 
     Between two values of a period its distribution is level, so the largest
     distance to the baseline's is at its own values or just below them. The
@@ -272,7 +272,24 @@ def drift_by_period(base: DataFrame, other: DataFrame, period: str, features: li
     here = F.abs(share(F.col("a_upto"), "a_all") - share(F.col("c_upto"), "c_all"))
     below = F.abs(share(F.col("a_upto") - F.col("a"), "a_all") - share(F.col("c_upto") - F.col("c"), "c_all"))
     done = run.groupBy("period", "feature").agg(F.max(F.greatest(here, below)).alias("statistic"), F.first("a_all").alias("na"), F.first("c_all").alias("nb"))
-    return done.select("period", "feature", "statistic", F.coalesce(ks_p(F.col("statistic"), F.col("na"), F.col("nb")) < P_LIMIT, F.lit(False)).alias("drift_detected"))
+    done = done.select("period", "feature", "statistic", F.coalesce(ks_p(F.col("statistic"), F.col("na"), F.col("nb")) < P_LIMIT, F.lit(False)).alias("drift_detected"))
+    return done.unionByName(categories_by_period(base, other, period, categorical).drop("k")) if categorical else done
+
+
+def categories_by_period(base: DataFrame, other: DataFrame, period: str, features: list[str]) -> DataFrame:
+    """Chi-square of every period of the comparison against the baseline's shares, over the categories of either: period, feature, statistic, k, drift_detected."""
+    values = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in features]))
+    scratch, key = Scratch(base.sparkSession, "periods"), ["period", "feature", "value"]
+    own = scratch.keep(other.select(F.col(period).alias("period"), values).where("value is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("b")), "categories")
+    known = scratch.keep(base.select(values).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("a")), "baseline")
+    sizes = own.groupBy("period", "feature").agg(F.sum("b").alias("nb")).join(known.groupBy("feature").agg(F.sum("a").alias("na")), "feature")  # a row per period and feature
+    # A period has a row for each category of the baseline, and for its own new ones.
+    old = sizes.join(known, "feature").join(own, key, "left").select(*key, "a", F.coalesce("b", F.lit(0)).alias("b"), "na", "nb")
+    new = own.join(known, ["feature", "value"], "left_anti").join(sizes, ["period", "feature"]).select(*key, F.lit(0).cast("long").alias("a"), "b", "na", "nb")
+    e = F.col("a").cast("double") / F.col("na") * F.col("nb") + TINY
+    o = F.col("b").cast("double") + TINY
+    done = old.unionByName(new).groupBy("period", "feature").agg(F.sum((o - e) * (o - e) / e).alias("statistic"), F.count(F.lit(1)).alias("k"))
+    return done.withColumn("drift_detected", F.coalesce(chisq_p(F.col("statistic"), F.col("k") - 1) < P_LIMIT, F.lit(False)))
 
 
 def drift_trend(periods: DataFrame) -> DataFrame:

@@ -466,6 +466,18 @@ def drift_trend(spark, d):
     return D.drift_trend(_weeks(spark, d)).select("periods", *six("avg_drift_percentage", "recent", "earlier"), "trend")
 
 
+@query(f"""WITH {SIDES}, o AS (SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 4 AS period, feature, value, count(*) AS b FROM (SELECT ts, unnest(['category', 'daypart']) AS feature, unnest([category, daypart]) AS value FROM h) WHERE ts >= '{SPLIT}' GROUP BY 1, 2, 3),
+ base AS (SELECT feature, value, sum(a) AS a FROM cat WHERE a = 1 GROUP BY 1, 2), p AS (SELECT period, feature, sum(b) AS nb FROM o GROUP BY 1, 2), n AS (SELECT feature, sum(a) AS na FROM base GROUP BY 1),
+ v AS (SELECT feature, value FROM base UNION SELECT feature, value FROM o),
+ x AS (SELECT p.period, p.feature, coalesce(base.a, 0)::DOUBLE / na * nb + 1e-8::DOUBLE AS e, coalesce(o.b, 0) + 1e-8::DOUBLE AS q FROM p JOIN n ON n.feature = p.feature JOIN v ON v.feature = p.feature
+       LEFT JOIN base ON base.feature = v.feature AND base.value = v.value LEFT JOIN o ON o.period = p.period AND o.feature = v.feature AND o.value = v.value WHERE base.a IS NOT NULL OR o.b IS NOT NULL)
+ SELECT period, feature, round(ln(sum((q - e) * (q - e) / e)), 6) AS log_statistic, count(*) AS k FROM x GROUP BY 1, 2""")
+def drift_periods_categorical(spark, d):
+    base, other = sides(spark, d)
+    weeks = other.withColumn("week", F.floor(F.datediff("trans_date_trans_time", F.lit("2024-01-01").cast("date")) / 4))
+    return D.categories_by_period(base, weeks, "week", CATEGORICAL).select("period", "feature", F.round(F.log("statistic"), 6).alias("log_statistic"), "k")
+
+
 # -- logs --------------------------------------------------------------------------------------
 @query(f"WITH {LOGS} SELECT id, ts, event_type FROM logs WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '{AS_OF}'")
 def logs_recent(spark, d):
