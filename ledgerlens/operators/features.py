@@ -7,7 +7,7 @@ come from first-occurrence flags on the same sort, without a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,8 +38,9 @@ def join_customers(df: DataFrame, customers: DataFrame) -> DataFrame:
     return df.join(customers.select(*extra), CARD, "left")
 
 
-def velocity(df: DataFrame) -> DataFrame:
-    before = F.lag(TIME).over(_card())
+def velocity(df: DataFrame, before: Column | None = None) -> DataFrame:
+    """Seconds since the card's last transaction; before: its time, by default that of the row before."""
+    before = F.lag(TIME).over(_card()) if before is None else before
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
     seconds = F.coalesce((micros(F.col(TIME)) - micros(before)) / 1e6, F.lit(float(DAY_SECONDS)))
     return df.withColumn("seconds_since_last_trans", seconds).withColumn("is_rapid_trans", flag(F.col("seconds_since_last_trans") < RAPID_SECONDS))
@@ -59,7 +60,8 @@ def daily_velocity(df: DataFrame) -> DataFrame:
 
 
 def first_merchant(df: DataFrame) -> DataFrame:
-    df = df.withColumn("merchant_use_count", (F.row_number().over(_card("merchant")) - 1).cast("long"))
+    if "merchant_use_count" not in df.columns:
+        df = df.withColumn("merchant_use_count", (F.row_number().over(_card("merchant")) - 1).cast("long"))
     return df.withColumn("is_first_merchant_use", flag(F.col("merchant_use_count") == 0))
 
 
@@ -75,6 +77,10 @@ def customer_profile(df: DataFrame) -> DataFrame:
         "customer_amt_min": F.min("amt").over(w), "customer_amt_max": F.max("amt").over(w),
         "customer_merchant_nunique": F.sum("__m").over(w).cast("long"), "customer_category_nunique": F.sum("__c").over(w).cast("long"),
     }).drop("__m", "__c", "__n", "__s", "__q")
+    return against_profile(df)
+
+
+def against_profile(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "amt_vs_customer_median": F.col("amt") / (F.col("customer_amt_median") + 1),
         "amt_vs_customer_max": F.col("amt") / (F.col("customer_amt_max") + 1),
@@ -114,9 +120,9 @@ def time_features(df: DataFrame) -> DataFrame:
     })
 
 
-def amount_patterns(df: DataFrame) -> DataFrame:
+def amount_patterns(df: DataFrame, before: Column | None = None) -> DataFrame:
     amt = F.col("amt")
-    df = df.withColumn("prev_amt", F.lag("amt").over(_card()))
+    df = df.withColumn("prev_amt", F.lag("amt").over(_card()) if before is None else before)
     return df.withColumns({
         "is_round_amount": flag(F.pmod(amt, F.lit(10.0)) == 0), "is_whole_dollar": flag(amt == amt.cast("long")), "amt_log": F.log1p(amt),
         "amt_change_ratio": F.try_divide(amt, F.col("prev_amt") + 1), "is_increasing_amounts": flag(amt > F.col("prev_amt")),
@@ -124,10 +130,11 @@ def amount_patterns(df: DataFrame) -> DataFrame:
     })
 
 
-def geo_velocity(df: DataFrame) -> DataFrame:
+def geo_velocity(df: DataFrame, before: tuple[Column, Column] | None = None) -> DataFrame:
     """Planar distance and speed from the card's last transaction; needs velocity()."""
     w = _card()
-    df = df.withColumns({"prev_lat": F.lag("merch_lat").over(w), "prev_long": F.lag("merch_long").over(w)})
+    lat, long = before or (F.lag("merch_lat").over(w), F.lag("merch_long").over(w))
+    df = df.withColumns({"prev_lat": lat, "prev_long": long})
     a, b = F.col("merch_lat") - F.col("prev_lat"), F.col("merch_long") - F.col("prev_long")
     df = df.withColumn("distance_from_prev", F.coalesce(F.sqrt(a * a + b * b) * 111, F.lit(0.0)))
     df = df.withColumn("speed_kmh", F.try_divide(F.col("distance_from_prev"), F.col("seconds_since_last_trans") / 3600 + 0.001))
@@ -145,11 +152,25 @@ def risk_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("total_risk_score", c("velocity_risk") + c("merchant_risk") + c("time_risk") + c("amount_risk") + c("is_high_risk_category"))
 
 
-def engineered(df: DataFrame, stats_from: DataFrame | None = None, fill_text: bool = False) -> DataFrame:
-    """All features, nulls filled with 0 last. stats_from: rows that merchant and category rates are learned from (all by default)."""
-    df = df.withColumn("amt", clean(F.col("amt").cast("double")))
+def by_card(df: DataFrame) -> DataFrame:
+    """The features that follow from a card's other rows, and those of a row's own."""
     for step in (velocity, daily_velocity, first_merchant, customer_profile, amount_patterns, geo_velocity, time_features):
         df = step(df)
+    return df
+
+
+def engineered(df: DataFrame, stats_from: DataFrame | None = None, fill_text: bool = False, hot_rows: int | None = None) -> DataFrame:
+    """All features, nulls filled with 0 last. stats_from: rows that merchant and category rates are learned from (all by default).
+
+    hot_rows: cards with more rows are worked out in ranges of time (`hot_cards`), so that no task holds one; cards are counted first.
+    """
+    df = df.withColumn("amt", clean(F.col("amt").cast("double")))
+    if hot_rows is None:
+        df = by_card(df)
+    else:
+        from ledgerlens.operators.hot_cards import by_card_in_ranges
+
+        df = by_card_in_ranges(df, hot_rows)
     df = risk_scores(category_risk(merchant_risk(df, stats_from), stats_from)).na.fill(0)
     return df.na.fill("0") if fill_text else df
 

@@ -24,7 +24,8 @@ from ledgerlens.sources import sinks
 from ledgerlens.sources import tables as S
 from ledgerlens.sources.logstore import LogStore
 
-NUMERIC_KINDS = ("int", "bigint", "double", "float")
+#: Cards with more rows than a task should hold.
+HOT_ROWS = 2_000_000
 
 
 class RiskService:
@@ -68,7 +69,7 @@ class RiskService:
         df = X.join_labels(df, S.load_labels(self.spark, labels) if labels else None, fallback)
         if people:
             df = X.join_customers(df, S.load_customers(self.spark, people))
-        path = sinks.write_dataset(X.engineered(df), f"{self.storage}/datasets", form=form)
+        path = sinks.write_dataset(X.engineered(df, hot_rows=HOT_ROWS), f"{self.storage}/datasets", form=form)
         summary = X.dataset_summary(S.load_dataset(self.spark, path)).first().asDict()
         self._log("dataset_creation", dataset_info={k: str(v) for k, v in summary.items()})
         return {"path": path, **summary}
