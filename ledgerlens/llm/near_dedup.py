@@ -19,9 +19,15 @@ written tables. The forest is only a short cut: where members of a bucket are
 still in different components, all their pairs of estimate MAYBE or more are
 compared too unless links have connected them by then, in cells of two blocks
 of bounded size that give a spanning forest of what they verify, and the
-components of both kinds of links are the classes. So all pairs of a bucket
-are compared or connected; a bucket of n unlike members costs up to n^2 / 2
-comparisons, and a copy of each text for every BLOCK of them. No group of documents is held by one task or the driver.
+components of both kinds of links are the classes. A bucket of more than LARGE
+blocks is refined first: a pair of estimate MAYBE agrees in 77 of 120
+components, so if each member lists the 44 of its components that are rarest
+in the bucket, in one order for all, such a pair meets in a listed one, and is
+compared at the first of them only. Passages that all members of a bucket share
+are their common components and bring nobody together, so unlike members cost
+44 short rows each; only where members agree in more than 76 components with
+most others, without being linked, do the cells grow with the square. No
+group of documents is held by one task or the driver.
 
 Texts are known by a hash of their words, not by their ids, so rows without an
 id and rows that repeat one are classed by their words like others. The class
@@ -54,6 +60,10 @@ MAYBE, SURE = 0.64, 0.88
 CHUNK, SHARE = 256, 64
 #: Members, and shingles, of a block of a bucket that is searched pair by pair.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Blocks above which a bucket is refined; members whose components are counted at once; a component is common if a RARE-th of the members agree in it.
+LARGE, TALLY, RARE = 4, 4096, 256
+#: Components that a member lists: two signatures that agree in MAYBE of them can't differ in all of these.
+PREFIX = M - int(np.ceil(MAYBE * M)) + 1
 
 
 def bag_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,17 +242,21 @@ def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Sche
 
 
 def unlike_pairs(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each of a cell's rows (key, i, j, block, node, root, size, sig, ...) and later rows in other components that may be SIMILAR to it."""
+    """Each of a cell's rows (key, i, j, block, node, root, size, seen, sig, ...) and later rows in other components that may be SIMILAR to it, but for those met at a component in seen."""
     root = _codes([r[5] for r in rows])
     block, size = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
-    sigs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), M)
+    sigs = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), M)
     for p in range(len(rows) - 1 if root.any() else 0):
         q = slice(p + 1, None)
         fine = (root[q] != root[p]) & (np.minimum(size[q], size[p]) >= SIMILAR * np.maximum(size[q], size[p]) - 1e-6)  # no similarity exceeds the ratio of sizes
         if rows[p][1] != rows[p][2]:
             fine &= block[q] != block[p]
         at = np.flatnonzero(fine) + p + 1
-        at = at[(sigs[at] == sigs[p]).mean(axis=1) >= MAYBE]
+        agree = sigs[at] == sigs[p]
+        close = agree.mean(axis=1) >= MAYBE
+        if rows[p][7] is not None:
+            close &= ~(agree & np.unpackbits(np.frombuffer(rows[p][7], np.uint8))[:M].astype(bool)).any(axis=1)
+        at = at[close]
         if len(at):
             yield p, at
 
@@ -265,7 +279,7 @@ def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cell_links(rows: list[tuple]) -> list[tuple]:
     """SIMILAR pairs (a, b) of a cell's rows with their texts, that connect what all such pairs connect."""
     root = _codes([r[5] for r in rows])
-    bags = [np.unique(bag_shingles([(r[8] or "").encode()])[0], return_counts=True) for r in rows]
+    bags = [np.unique(bag_shingles([(r[9] or "").encode()])[0], return_counts=True) for r in rows]
     out = []
     for p, at in unlike_pairs(rows):
         x, k = bags[p]
@@ -289,22 +303,84 @@ def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found)], names=["a", "b"])
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk (key, chunk) of rows (..., sig): the component values that are common in it, with their counts."""
+    for _, rows in _groups(batches, 2):
+        values, n = np.unique(component_values([r[-1] for r in rows]), return_counts=True)
+        often = n > max(1, len(rows) // RARE)
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * int(often.sum()), pa.int64()), pa.array(values[often]), pa.array(n[often])], names=["key", "value", "n"])
+
+
+def component_values(sigs: list[bytes]) -> np.ndarray:
+    """A row per signature: its components' values, with their places."""
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), M) + (np.arange(M) << 16)
+
+
+def rarest(values: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of component values: the PREFIX of least count, and for each a mask of the components before it."""
+    n, weight = len(values), np.zeros(values.shape, np.int64)
+    if len(common):
+        order = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[order], values), len(common) - 1)
+        weight = np.where(common[order][at] == values, counts[order][at], 0)
+    first = np.argsort((weight << 23) + values, axis=1)[:, :PREFIX]
+    seen = np.zeros((n, PREFIX, M), bool)
+    for i in range(1, PREFIX):
+        seen[:, i] = seen[:, i - 1]
+        seen[np.arange(n), i, first[:, i - 1]] = True
+    return np.take_along_axis(values, first, 1), np.packbits(seen, axis=2)
+
+
+def _listed(members: pa.Table, common: pa.Table) -> pa.Table:
+    """The rows of a chunk of members once for each component that they list."""
+    values, seen = rarest(component_values(members.column("sig").to_pylist()), common.column("value").to_numpy(), common.column("total").to_numpy())
+    rows = members.select(["key", "node", "root", "size"]).take(pa.array(np.repeat(np.arange(len(values)), PREFIX)))
+    return rows.append_column("value", pa.array(values.ravel())).append_column("seen", pa.array([x.tobytes() for x in seen.reshape(-1, seen.shape[2])], pa.binary()))
+
+
+def _refined(own: DataFrame, large: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (key, node, root, size, seen) of large buckets, under a key for each component that a member lists and another one may share."""
+    chunks = F.ceil(F.col("n") / TALLY)
+    rows = own.join(large.select("key", "n"), "key").join(members.select("node", "sig"), "node")
+    rows = scratch.keep(rows.select("key", F.pmod(F.xxhash64(F.lit("tally"), "node"), chunks).alias("chunk"), "node", "root", "size", "sig"), "large")
+    chunk = ["key", "chunk"]
+    common = rows.repartition(*chunk).sortWithinPartitions(*chunk).mapInArrow(_tally, "key long, value long, n long")
+    common = common.groupBy("key", "value").agg(F.sum("n").alias("total")).join(large.select("key", "n"), "key")
+    common = scratch.keep(common.where(F.col("total") * RARE >= F.col("n")).select("key", "value", "total", chunks.alias("chunks")), "common")  # at most M * RARE of a bucket
+    every = common.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "value", "total")
+    listed = rows.groupBy(*chunk).cogroup(every.groupBy(*chunk)).applyInArrow(_listed, "key long, node binary, root binary, size long, value long, seen binary")
+    return scratch.keep(listed.select(F.xxhash64("key", "value").alias("key"), "node", "root", "size", "seen"), "listed")
+
+
+def _unlike_buckets(own: DataFrame, least: int) -> DataFrame:
+    """Keys of over `least` members that aren't all in one component, with their members and blocks."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return sizes.where((F.col("n") > least) & (F.col("low") != F.col("high"))).select("key", "n", blocks.alias("blocks"))
+
+
 def _across(rows: DataFrame, members: DataFrame, roots: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified links between members of a bucket that links haven't connected: of rows (key, node), with members' sig and size."""
     own = rows.join(members.select("node", "size"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = scratch.keep(own, "rooted")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
-    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"))
-    sizes = scratch.keep(sizes.where("n > 2 and low <> high").select("key", "n", blocks.alias("blocks")), "unlike")  # two members were compared; written, so that a join can split hot keys
+    own = scratch.keep(own.select("key", "node", "root", "size"), "rooted")
+    sizes = scratch.keep(_unlike_buckets(own, 2), "unlike")  # two members were compared; written, so that a join can split hot keys
+    large = sizes.where(F.col("blocks") > LARGE)
+    cells = own.withColumn("seen", F.lit(None).cast("binary")).join(sizes.where(F.col("blocks") <= LARGE), "key")
+    if not large.isEmpty():
+        listed = _refined(own, large, members, scratch)
+        cells = cells.unionByName(listed.join(scratch.keep(_unlike_buckets(listed, 1), "met"), "key"))
     block, other = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = own.join(sizes, "key").join(members.select("node", "sig"), "node").withColumn("block", block).withColumn("other", other)
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "sig")
+    cells = cells.join(members.select("node", "sig"), "node").withColumn("block", block).withColumn("other", other)
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "seen", "sig")
     cell = ["key", "i", "j"]
     found = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_unlike, cells.schema)
     found = scratch.keep(found, "unlikerows")
+    scratch.drop("rooted", "large", "common", "listed")
     used = scratch.keep(_texts(found.select("node").distinct(), members, docs), "unliketexts")
     full = found.join(used, "node").select(*cells.columns, "text")
-    return scratch.keep(full.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify_cells, "a binary, b binary"), "across")
+    across = scratch.keep(full.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify_cells, "a binary, b binary"), "across")
+    scratch.drop("unlike", "met", "unlikerows", "unliketexts")
+    return across
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -348,11 +424,13 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = scratch.keep(rows.join(shared, "key"), "shared")
     links = scratch.keep(_bucket_links(rows.join(exact.select("node", "sig"), "node"), scratch), "links")
     roots = components(scratch.keep(_verified(links, exact, own, scratch), "verified"), scratch)
+    scratch.drop("keys", "links", "ends", "used")
     more = _across(rows, exact.select("node", "first", "sig", "size"), roots, own, scratch)
     if not more.isEmpty():
         again = Scratch(docs.sparkSession, "near-again")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), again)
     nodes = scratch.keep(exact.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    scratch.drop("shared", "exact", "across", "verified")
     best = nodes.groupBy("root").agg(F.min("first").alias("best"))
     nodes = nodes.join(best, "root").select(F.col("node").alias("words"), "best")
     rows = signed.select("id", "h", "words").join(nodes, "words", "left")

@@ -228,6 +228,51 @@ def test_pairs_in_a_bucket_of_unlike_members(spark, monkeypatch, block):
     assert got == want
 
 
+def test_listed_components_bring_pairs_together():
+    """Signatures that agree in MAYBE of their components meet at exactly one listed component; those that only share a passage nowhere."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 16, near_dedup.M)
+    alike = [int(k) for k in rng.integers(40, near_dedup.M + 1, 400)]
+    sigs = np.array([np.where(rng.permutation(near_dedup.M) < k, shared, rng.integers(0, 1 << 16, near_dedup.M)) for k in alike], np.uint16)
+    values = near_dedup.component_values([x.tobytes() for x in sigs])
+    common, counts = np.unique(values, return_counts=True)
+    often = counts > 2
+    listed, seen = near_dedup.rarest(values, common[often], counts[often])
+    at = [dict(zip(v.tolist(), np.unpackbits(m, axis=1).astype(bool))) for v, m in zip(listed, seen)]
+    close = 0
+    for i in range(len(sigs)):
+        for j in range(i):
+            agree = sigs[i] == sigs[j]
+            owners = [v for v in at[i].keys() & at[j].keys() if not (agree & at[i][v]).any()]
+            assert owners == [v for v in at[i].keys() & at[j].keys() if not (agree & at[j][v]).any()] and len(owners) <= 1
+            if agree.mean() >= near_dedup.MAYBE:
+                close += 1
+                assert len(owners) == 1
+    assert close > 1000
+    shared_by_all = np.where(np.arange(near_dedup.M) < 60, shared, rng.integers(0, 1 << 16, (3000, near_dedup.M))).astype(np.uint16)
+    values = near_dedup.component_values([x.tobytes() for x in shared_by_all])
+    listed, _ = near_dedup.rarest(values, values[0, :60], np.full(60, 3000))
+    assert np.unique(listed, return_counts=True)[1].max() < 8
+
+
+@pytest.mark.parametrize("large", [1, 1000])
+def test_large_buckets_are_searched_whole(spark, monkeypatch, large):
+    """Texts that share most of their words, at 0.6 to each other, with a few partners among them: same classes with and without refinement."""
+    refined, ran = near_dedup._refined, []
+    monkeypatch.setattr(near_dedup, "_refined", lambda *a: ran.append(1) or refined(*a))
+    for name, value in (("CHUNK", 16), ("BLOCK", 16), ("TALLY", 64), ("LARGE", large)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(14)
+    passage = " ".join(f"p{i}" for i in range(220))
+    texts = [passage + " " + " ".join(f"t{k}w{i}" for i in range(70)) for k in range(200)]
+    for k in range(0, 200, 10):  # the partner of a text differs in four words of its own part
+        gone = rng.sample(range(226, 286, 6), 4)
+        texts.append(" ".join(f"x{i}" if i in gone else w for i, w in enumerate(texts[k].split())))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and bool(ran) == (large == 1)
+
+
 def test_classes_of_a_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     want = brute_classes([tuple(r) for r in docs.collect()])
